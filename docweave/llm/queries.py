@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .packing import pack_documents
+from .simple8b import read_tokens, write_tokens
 from .suffix_dedup import suffix_dedup
 
 
@@ -16,3 +18,25 @@ def op1_suffix_dedup_digest(docs: DataFrame) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_suffix_dedup_digest(table(spark, sf_dir, "documents"))
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_simple8b_digest(docs: DataFrame, path: str) -> DataFrame:
+    return read_tokens(write_tokens(docs, path)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_simple8b_digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op10_packing_rows(docs: DataFrame, path: str) -> DataFrame:
+    return pack_documents(docs, path)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_packing_rows(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
