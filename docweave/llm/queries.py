@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination
+from .jaccard import jaccard_components
+from .language import held_out, identify, learn
 from .packing import pack_documents
 from .simple8b import read_tokens, write_tokens
 from .suffix_dedup import suffix_dedup
+from .topk import quantized, top_k
 
 
 def op1_suffix_dedup_digest(docs: DataFrame) -> DataFrame:
@@ -40,3 +44,38 @@ def op10_packing_rows(docs: DataFrame, path: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_packing_rows(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op2_topk_rows(vectors: DataFrame) -> DataFrame:
+    return top_k(vectors.select("vec_id", quantized("embedding").alias("v")), F.col("vec_id") % 20 == 0)
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_topk_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op3_language_rows(docs: DataFrame) -> DataFrame:
+    found = identify(docs.select("doc_id", "text"), learn(docs, F.col("doc_id").isNotNull() & ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_language_rows(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    found = contamination(docs, benchmark).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"))
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_decontaminate_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_jaccard_rows(docs: DataFrame) -> DataFrame:
+    return jaccard_components(docs).drop("tc")
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_jaccard_rows(table(spark, sf_dir, "documents"))
