@@ -10,9 +10,12 @@ from .decontaminate import contamination
 from .jaccard import jaccard_components
 from .language import held_out, identify, learn
 from .packing import pack_documents
+from .secrets import named, secrets
+from .sharding import documents, minimax_shards
 from .simple8b import read_tokens, write_tokens
 from .suffix_dedup import suffix_dedup
 from .topk import quantized, top_k
+from .url_rules import judge
 
 
 def op1_suffix_dedup_digest(docs: DataFrame) -> DataFrame:
@@ -79,3 +82,79 @@ def op9_jaccard_rows(docs: DataFrame) -> DataFrame:
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_jaccard_rows(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding_rows(docs: DataFrame, shards: int = 8) -> DataFrame:
+    placed = minimax_shards(documents(docs), shards)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_sharding_rows(table(spark, sf_dir, "documents"))
+
+
+#: The query's rules.
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
+def op7_secrets_rows(docs: DataFrame) -> DataFrame:
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return secrets(docs).select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_secrets_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_topk": op2_topk,
+    "op3_language": op3_language,
+    "op4_simple8b": op4_simple8b,
+    "op5_sharding": op5_sharding,
+    "op6_url_rules": op6_url_rules,
+    "op7_secrets": op7_secrets,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_jaccard": op9_jaccard,
+    "op10_packing": op10_packing,
+}
+
+ORACLE_SQL = {
+    "op2_topk": """
+with v as (
+  select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+    cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 20
+""",
+    "op6_url_rules": """
+with u as (
+  select page_id, coalesce(url, '') as url, position('://' in coalesce(url, '')) as p from pages
+), h as (
+  select page_id, case when p = 0 then '' else regexp_extract(substr(url, p + 3), '^([^/?#]*)([^?#]*)', 1) end as raw,
+    case when p = 0 then '' else regexp_extract(substr(url, p + 3), '^([^/?#]*)([^?#]*)', 2) end as path from u
+), j as (
+  select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from h
+), f as (
+  select *, host = 'org' or ends_with(host, '.org') as org, host = 'com' or ends_with(host, '.com') as com,
+    host = 'example.org' or ends_with(host, '.example.org') as example from j
+), r as (
+  select page_id, host, path, case
+    when example and starts_with(path, '/en/1') then 'example.org/en/1' when example and starts_with(path, '/es/') then 'example.org/es/'
+    when org and starts_with(path, '/') then 'org/' when com and starts_with(path, '/fr/') then 'com/fr/'
+    when com and starts_with(path, '/de/') then 'com/de/' end as rule from f
+)
+select page_id, host, path, rule, case when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block' else 'allow' end as verdict from r
+""",
+}
