@@ -208,7 +208,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct("did", "tc")).alias("at"), F.max("n_shingles").alias("n"))
     member = written(one.join(family, "node").select("at.did", "at.tc", "node", "family", "n"))
     tiles = member.groupBy("family").agg(F.ceil(F.sum("n") * 8 / FAMILY_BYTES).cast("int").alias("tiles"))
-    sets = rows.join(member, ["did", "tc"]).select("node", "family", "text").mapInArrow(_sets(n), "node long, family long, items binary")
+    sets = rows.join(member.hint("merge"), ["did", "tc"]).select("node", "family", "text").mapInArrow(_sets(n), "node long, family long, items binary")
     dealt = sets.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     dealt = dealt.select("family", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "items", "tile")
