@@ -31,7 +31,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = written(found.groupBy(F.col("doc_id").alias("i")).agg(F.min("tc").alias("k")))
     nameless = docs.where("doc_id is null").select(COLUMNS).dropDuplicates(["text"])
     code = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    named = docs.join(kept, (F.col("doc_id") == F.col("i")) & (code == F.col("k"))).select(COLUMNS)
+    named = docs.join(kept.hint("merge"), (F.col("doc_id") == F.col("i")) & (code == F.col("k"))).select(COLUMNS)
     return named.dropDuplicates(["doc_id"]).union(nameless)
 
 
@@ -41,7 +41,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = contamination(docs, table(spark, sf_dir, "benchmark")).withColumn("n_hit", n_hit)
     bad = found.where("n_hit > 0 and 20 * n_hit >= n_words").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("key").alias("k")).distinct()
     keyed = docs.withColumn("i", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("k", F.xxhash64("doc_id", "text"))
-    return keyed.join(bad, ["i", "k"], "left_anti").select(COLUMNS)
+    return keyed.join(bad.hint("merge"), ["i", "k"], "left_anti").select(COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secrets(docs).where("size(spans) > 0").dropDuplicates(["doc_id", "key"])
     found = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("key").alias("k"), "spans")
     keyed = docs.withColumn("i", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("k", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(found, ["i", "k"], "left")
+    joined = keyed.join(found.hint("merge"), ["i", "k"], "left")
     text = F.when(F.col("spans").isNotNull(), redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
     chars = F.when(F.col("spans").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars"))
     return joined.select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
