@@ -1,4 +1,140 @@
 """Registered queries of the document operators, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import chunking as C
+from .operators import layout as L
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+S = "[ \\t\\n\\r\\f]"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def scalar(name: str, source: str, key: str, column: Callable[[], Column], out: str, sql: str) -> None:
+    """A query that applies one column function to a whole table."""
+    QUERIES[name] = lambda spark, sf_dir: table(spark, sf_dir, source).select(key, column().alias(out))
+    ORACLE_SQL[name] = f"select {key}, {sql} as {out} from {source}"
+
+
+scalar("clean_text", "documents", "doc_id", lambda: T.clean_text(F.col("text")), "cleaned", f"regexp_replace(regexp_replace(text, '\\n{S}*\\n{S}*\\n+', chr(10) || chr(10), 'g'), '^{S}+|{S}+$', '', 'g')")
+scalar("clean_code_text", "documents", "doc_id", lambda: T.clean_code(F.col("text")), "cleaned", f"replace(regexp_replace(text, '{S}+$', ''), chr(9), '    ')")
+scalar("sanitize_text", "documents", "doc_id", lambda: T.sanitize(F.col("text")), "sanitized", r"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{E000}-\x{F8FF}\x{FFFE}\x{FFFF}]', '', 'g')")
+scalar("text_sufficient", "documents", "doc_id", lambda: T.is_sufficient(F.col("text")), "sufficient", r"length(text) >= 500 and length(regexp_replace(text, '[^\p{L}\p{N}_]', '', 'g')) >= 0.6 * length(text)")
+scalar("estimate_chunks", "documents", "doc_id", lambda: C.estimated_chunks(F.col("text")), "chunks", "cast(case when length(text) = 0 then 0 when length(text) <= 1000 then 1 else greatest(1, floor((length(text) - 200) / 800.0) + 1) end as int)")
+scalar("page_map_chars", "documents", "doc_id", lambda: (F.floor((F.length("text") - 1) / 1500) + 1).cast("int"), "last_page", "cast(floor((length(text) - 1) / 1500.0) + 1 as int)")
+scalar("column_letters", "part", "p_partkey", lambda: T.column_letter(F.col("p_partkey")), "letter", "(case when p_partkey < 1 then '' else case when p_partkey > 702 then chr(cast(65 + ((p_partkey - 703) // 676) % 26 as int)) else '' end || case when p_partkey > 26 then chr(cast(65 + ((p_partkey - 27) // 26) % 26 as int)) else '' end || chr(cast(65 + (p_partkey - 1) % 26 as int)) end)")
+scalar("is_numeric_cell", "part", "p_partkey", lambda: T.is_numeric(F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit("$"), F.format_number("p_retailprice", 2)))), "numeric", r"p_partkey % 3 <> 0 or regexp_matches(trim(p_name), '^[-+]?[$₩]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\.[0-9]+)?%?$')")
+scalar("file_sizes", "documents", "doc_id", lambda: T.file_size(F.col("n_chars") * 37), "size", "case when n_chars * 37 < 1024 then (n_chars * 37)::bigint || ' B' when n_chars * 37 < 1048576 then printf('%.1f KB', round(n_chars * 37 / 1024.0, 1)) else printf('%.1f MB', round(n_chars * 37 / 1048576.0, 1)) end")
+scalar("category_dispatch", "pages", "page_id", lambda: T.category(T.extension(F.regexp_replace("url", "[?#].*", ""))), "category", "case when lower(regexp_extract(regexp_replace(url, '[?#].*', ''), '\\.([A-Za-z0-9]+)$', 1)) = 'html' then 'code' when lower(regexp_extract(regexp_replace(url, '[?#].*', ''), '\\.([A-Za-z0-9]+)$', 1)) in ('htm', 'xhtml') then 'web' else 'unknown' end")
+scalar("html_title", "pages", "page_id", lambda: F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), "title", "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+scalar("html_to_text", "pages", "page_id", lambda: T.html_to_text(F.col("html")), "plain", "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|iframe)[^>]*>.*?</(script|style|noscript|iframe)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '" + S + "+', ' ', 'g'))")
+scalar("html_table_rows", "supplier", "s_suppkey", lambda: F.concat(F.lit("<tr><td>"), T.escaped(F.col("s_name")), F.lit("</td></tr>")), "row_html", "'<tr><td>' || replace(replace(replace(s_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td></tr>'")
+scalar("metadata_blocks", "customer", "c_custkey", lambda: T.metadata_block({"name": F.col("c_name"), "segment": F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")), "nation": F.col("c_nationkey")}), "block", "'<Document-Metadata>' || chr(10) || concat_ws(chr(10), '  name: ' || c_name, case when c_custkey % 2 = 0 then '  segment: ' || c_mktsegment end, '  nation: ' || c_nationkey) || chr(10) || '</Document-Metadata>'")
+
+
+@query("select doc_id, cast(i as int) as chunk_index, substring(text, cast(i * 800 + 1 as bigint), 1000) as text, cast(i * 800 as int) as start from documents, unnest(range(0, cast(greatest(0, ceil((length(text) - 1000) / 800.0)) as bigint) + 1)) as r(i) where length(text) > 0")
+def chunk_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.fixed_windows(table(spark, sf_dir, "documents"))
+
+
+@query("with l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as line from documents) select doc_id, cast(line as int) as line, cast(coalesce(sum(length(s) + 1) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0) as int) as start, cast(length(s) as int) as length from l")
+def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.line_table(table(spark, sf_dir, "documents"))
+
+
+@query("with r as (select l_orderkey as doc, cast(l_partkey % 400 as int) as s, cast(l_partkey % 400 + l_quantity as int) as e from lineitem), m as (select *, max(e) over (partition by doc order by s, e rows between unbounded preceding and 1 preceding) as b from r), g as (select *, sum(case when b is null or s >= b then 1 else 0 end) over (partition by doc order by s, e rows unbounded preceding) as i from m) select doc, min(s) as s, max(e) as e from g group by doc, i")
+def protected_regions_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc", "cast(l_partkey % 400 as int) as s", "cast(l_partkey % 400 + l_quantity as int) as e")
+    return L.merged_intervals(rows, ["doc"], "s", "e")
+
+
+@query("with r as (select c_nationkey as doc, c_acctbal as x, c_custkey as id from customer), f as (select *, coalesce(cast(x - lag(x) over (partition by doc order by x) > 50 as int), 0) as far from r) select doc, id, cast(sum(far) over (partition by doc order by x) as int) as cluster from f")
+def column_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").selectExpr("c_nationkey as doc", "c_acctbal as x", "c_custkey as id")
+    return L.islands(rows, ["doc"], "x", 50).select("doc", "id", "cluster")
+
+
+@query("with r as (select o_custkey as t, o_orderkey as r, case when o_orderkey % 3 = 0 then o_orderpriority end as v from orders) select t, r, last_value(v ignore nulls) over (partition by t order by r rows unbounded preceding) as v from r")
+def fill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey as t", "o_orderkey as r", "case when o_orderkey % 3 = 0 then o_orderpriority end as v")
+    return L.fill_down(rows, ["t"], ["r"], "v")
+
+
+@query("with m as (select conv_id, turn, coalesce(sum(length(text) + 1) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as pos from conversations), t as (select conv_id, sum(length(text) + 1) as n from conversations group by 1), s as (select conv_id, i * 500 as pos from t, unnest(range(0, cast(ceil(n / 500.0) as bigint))) as r(i)) select s.conv_id, cast(s.pos as bigint) as pos, (select max(turn) from m where m.conv_id = s.conv_id and m.pos <= s.pos) as turn from s")
+def chunk_page_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") + 1).cast("bigint").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    marks = turns.withColumn("pos", F.coalesce(before, F.lit(0).cast("bigint")))
+    totals = turns.groupBy("conv_id").agg(F.sum("n").alias("n"))
+    starts = totals.select("conv_id", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / 500) - 1)).alias("i")).selectExpr("conv_id", "cast(i * 500 as bigint) as pos")
+    return L.as_of(starts, marks, "conv_id", "pos", "turn").select("conv_id", "pos", "turn")
+
+
+@query("select n_regionkey, '| ' || string_agg(n_name, ' | ' order by n_nationkey) || ' |' as row_md from nation group by n_regionkey")
+def md_table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
+    joined = F.array_join(F.transform(cells, lambda c: F.replace(c["n_name"], F.lit("|"), F.lit("\\|"))), " | ")
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("| "), joined, F.lit(" |")).alias("row_md"))
+
+
+@query("with recursive r as (select l_suppkey as t, l_orderkey as o, l_linenumber as n, length(l_shipmode_row) as len, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as i from (select *, l_orderkey || '|' || l_partkey || '|' || l_returnflag as l_shipmode_row from lineitem)), p as (select t, o, n, i, len + 1 as used, 0 as chunk from r where i = 1 union all select r.t, r.o, r.n, r.i, case when p.used + r.len + 1 > 120 then r.len + 1 else p.used + r.len + 1 end, case when p.used + r.len + 1 > 120 then p.chunk + 1 else p.chunk end from p join r on r.t = p.t and r.i = p.i + 1) select t, o, n, cast(chunk as int) as chunk from p")
+def table_row_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as t", "l_orderkey as o", "l_linenumber as n", "concat_ws('|', l_orderkey, l_partkey, l_returnflag) as row")
+    return C.pack_rows(rows, ["t"], ["o", "n"], "row", 120)
+
+
+@query("with i as (select p_partkey as image, p_size % 5 as page, cast(p_partkey % 40 as double) as x0, cast(p_size as double) as y0 from part), c as (select s_suppkey as cell, s_nationkey % 5 as page, cast(s_suppkey % 40 as double) as x0, cast(s_nationkey * 2 as double) as y0 from supplier), r as (select i.page, image, cell, greatest(0, least(i.x0 + 6, c.x0 + 9) - greatest(i.x0, c.x0)) * greatest(0, least(i.y0 + 4, c.y0 + 7) - greatest(i.y0, c.y0)) / 24 as ratio from i join c on i.page = c.page), b as (select *, row_number() over (partition by page, image order by ratio desc, cell) as n from r) select page, image, cell, ratio from b where n = 1 and ratio >= 0.6")
+def bbox_overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "part").selectExpr("p_partkey as image", "p_size % 5 as page", "cast(p_partkey % 40 as double) as x0", "cast(p_size as double) as y0")
+    images = images.selectExpr("*", "x0 + 6 as x1", "y0 + 4 as y1")
+    cells = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as cell", "s_nationkey % 5 as page", "cast(s_suppkey % 40 as double) as x0", "cast(s_nationkey * 2 as double) as y0")
+    return L.best_cells(images, cells.selectExpr("*", "x0 + 9 as x1", "y0 + 7 as y1"))
+
+
+@query("select sha256(text) as content, min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by 1")
+def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("content")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query()
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive chunks of 1000 characters with an overlap of 200, with positions."""
+    return C.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+@query()
+def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of conversations, every turn a tagged page."""
+    turns = table(spark, sf_dir, "conversations")
+    page = F.concat(T.page_tag(F.col("turn") + 1), F.lit("\n"), "text")
+    texts = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", page.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    return C.chunk_documents(texts, size=500, overlap=50)
+
+
+@query("select lang, count(*) as docs, cast(sum(length(text)) as bigint) as chars, max(length(text)) as longest from documents group by lang")
+def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).cast("bigint").alias("longest"))
