@@ -12,6 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
+#: What Python workers remember from task to task, by module.
+REMEMBERED: list[dict] = []
+
+
+def forget() -> None:
+    """Free what earlier stages left in this worker, which Spark uses again for stages that don't need it."""
+    for kept in REMEMBERED:
+        kept.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +67,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return all_bytes[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of each is at most about `most` bytes (one longer text stands alone)."""
     for batch in batches:
         if not batch.num_rows:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, slices, text_buffer, written
+from .common import NO_ID, forget, slices, text_buffer, written
 
 SPAN, GRAM = 13, 9
 WINDOW = SPAN - GRAM + 1
@@ -134,6 +134,7 @@ def _members(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _scan(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         index: Index = shared.value
         for batch in slices(batches, "text"):
             data, at = text_buffer(batch.column(2))

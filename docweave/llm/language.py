@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import forget
+
 SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES, BLOCK, LEVEL = 256, 800, 200, 2048, 3
 _OTHER = re.compile(r"[\W\d_]+")
 #: A text is rejected when the two best languages differ by less than this share of the best one's bytes.
@@ -75,6 +77,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     schema = T.StructType([*given.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         score = scorer(dictionaries)
         for batch in batches:
             found = [score(t.as_py()) for t in batch.column(at)]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, dropped, slices, text_buffer, written
+from .common import NO_ID, dropped, forget, slices, text_buffer, written
 
 RUN, SHALLOW, HOT, BLOCK, CHUNK = 256, 16, 2048, 1 << 20, 1 << 20
 
@@ -147,6 +147,7 @@ def equal_suffixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
 
 def _emit_runs(length: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, "text"):
             data, at = text_buffer(batch.column(2))
             least, whole, begin, count, periodic = runs_of(data, at, length)

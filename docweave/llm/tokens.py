@@ -10,8 +10,10 @@ from __future__ import annotations
 import os
 import struct
 
-#: Distinct words a worker remembers at most (about 250 MB); then it starts anew.
-REMEMBERED = 1_000_000
+from .common import REMEMBERED
+
+#: Words of a generation; a worker remembers this one and the last (about 200 MB at most).
+GENERATION = 450_000
 MARKS = ".,;:!?#$%&*|)]}"
 
 
@@ -34,6 +36,7 @@ class Words(dict):
         self.spaced = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # self remembers
+        self.last: dict[str, bytes] = {}
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
     def encoded(self, text: str) -> bytes:
@@ -41,8 +44,11 @@ class Words(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, part: str) -> bytes:
-        out = self.parted(part)
-        if len(self) >= REMEMBERED:
+        out = self.last.get(part)
+        if out is None:
+            out = self.parted(part)
+        if len(self) >= GENERATION:
+            self.last = dict(self)
             self.clear()
         if len(part) < 100:
             self[part] = out
@@ -84,6 +90,7 @@ class Words(dict):
 
 
 _loaded: dict[str, Words] = {}
+REMEMBERED.append(_loaded)
 
 
 def words(path: str) -> Words:
