@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: it does so once nothing refers to their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets, without copying; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, components, dropped, forget, slices, text_buffer, written
+from .common import NO_ID, components, dropped, forget, released, slices, text_buffer, written
 from .decontaminate import _mixed, gram_hashes, word_hashes
 
 DIMS, LEAF, FAMILY_BYTES = 32, 32, 16 << 20
@@ -194,6 +194,12 @@ def _verify(percent: int):
     return verify
 
 
+def _families(found: DataFrame) -> DataFrame:
+    marks = found.select(F.explode("marks").alias("mark"), "node").repartition("mark").sortWithinPartitions("mark", "node")
+    peers = found.select(F.explode("peers").alias("a"), F.col("node").alias("b"))
+    return components(marks.mapInArrow(_pairs, "a long, b long").union(peers))
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, tc, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
 
@@ -204,10 +210,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("tc"), F.coalesce("text", F.lit("")).alias("text"))
     found = written(rows.mapInArrow(_nodes(n, percent), "did long, tc long, node long, n_shingles long, marks array<long>, peers array<long>"))
     nodes = written(found.select("did", "tc", "node", "n_shingles"))
-    marks = found.select(F.explode("marks").alias("mark"), "node").repartition("mark").sortWithinPartitions("mark", "node")
-    peers = found.select(F.explode("peers").alias("a"), F.col("node").alias("b"))
-    family = components(marks.mapInArrow(_pairs, "a long, b long").union(peers)).withColumnRenamed("component", "family")
+    family = _families(found).withColumnRenamed("component", "family")
     dropped(found)
+    released(docs.sparkSession)
     one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct("did", "tc")).alias("at"), F.max("n_shingles").alias("n"))
     member = written(one.join(family, "node").select("at.did", "at.tc", "node", "family", "n"))
     tiles = member.groupBy("family").agg(F.ceil(F.sum("n") * 8 / FAMILY_BYTES).cast("int").alias("tiles"))
