@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What Python workers remember from task to task, by module.
 REMEMBERED: list[dict] = []
 
@@ -39,9 +39,17 @@ def scratch(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write df once and read it back: cuts the lineage, and a lost executor costs only a reread."""
+    """Write df once and read it back: cuts the lineage, and a lost executor costs only a reread.
+
+    The write's own shuffle files go as soon as it has ended, since nothing reads them again.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,12 +61,6 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now: it does so once nothing refers to their plans."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets, without copying; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
