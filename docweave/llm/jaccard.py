@@ -2,11 +2,13 @@
 
 Texts become sets of shingle hashes; texts of equal sets are one node. Nodes that can link are found in three steps.
 
-1. Families. Two sets of similarity t or more, of fewer than U elements, differ in at most T = 2 (1 - t) / (1 + t) U of
-   them. Deal the elements by hash to more than T cells: some cell holds the same elements of both. Nodes that share
-   the elements of a cell (a class of sizes, a cell and the sum of its hashes, summed in a task before the shuffle)
-   are of one family. Cells of few elements are left out wherever more than T others remain, so a family is little
-   more than what links. Families are components over pairs of a cell's least node and the others, so linear in their size.
+1. Families. Two sets of sizes x and y and of similarity t or more differ in at most D = (1 - t) / (1 + t) (x + y)
+   elements. Deal the elements by hash to over D / 2 parts of three cells each: some part holds one differing element at
+   most, so two of its cells hold the same elements in both sets. Nodes that share the elements of two such cells (a
+   class of sizes, the cells and the sum of their hashes, deduplicated in a task before the shuffle) are of one family.
+   Each set leaves out pairs of cells of fewer elements than it has in all pairs of its D / 2 fullest parts: the set of
+   the higher limit still shares what it gives. Sets of few elements have parts of one cell, of which over D are taken.
+   Families are components over pairs of a mark's least node and the others, so linear in their size.
 2. Count-vector R-tree. In a family, elements are dealt by hash to DIMS groups; the group counts are a set's point.
    The sum of coordinate minima bounds the overlap of two sets, and of two boxes of the tree; what passes is verified on
    the whole sets, except pairs that links already connect.
@@ -23,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, components, dropped, forget, slices, text_buffer, written
+from .common import NO_ID, components, forget, slices, text_buffer, written
 from .decontaminate import _mixed, gram_hashes, word_hashes
 
 DIMS, LEAF, FAMILY_BYTES = 32, 32, 16 << 20
+#: Sets that may differ in so many elements have parts of three cells.
+TRIPLES = 8
 _SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 
 
@@ -55,55 +59,67 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
     """What a set shares at least one of with each set of similarity percent / 100 or more."""
     size, found = len(items), []
     c = int(np.searchsorted(BOUNDS, size, "right")) - 1
-    for label in (c, c + 1) if size * 100 // percent >= BOUNDS[c + 1] else (c,):
+    largest = size * 100 // percent
+    for label in (c, c + 1) if largest >= BOUNDS[c + 1] else (c,):
         top = BOUNDS[label + 1] - 1
-        differ = 2 * (100 - percent) * top // (100 + percent)
-        cells = 1 if not differ else (9 * (differ + 1) + 7) // 8
-        cell = (items >> np.uint64(20)) % np.uint64(cells)
+        differ = (100 - percent) * (size + min(top, largest)) // (100 + percent)
+        if not differ:
+            found.append(_mixed(_mixed(items).sum(keepdims=True) + np.uint64(label)))
+            continue
+        most = 2 * (100 - percent) * top // (100 + percent)
+        each, spare = (3, 2) if most >= TRIPLES else (1, 1)
+        parts = (9 * (most // spare + 1) + 7) // 8
+        cell = ((items >> np.uint64(20)) % np.uint64(parts * each)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
-        count = np.bincount(cell.astype(np.int64), minlength=cells)
-        start = np.cumsum(count) - count
-        total = np.zeros(cells, np.uint64)
-        full = count > 0
-        total[full] = np.add.reduceat(_mixed(items[order]), start[full])
-        least = max(1, BOUNDS[label] * percent // 100 // cells // 3)
-        enough = count >= least
-        use = np.flatnonzero(enough) if enough.sum() > differ else np.arange(cells)
-        found.append(_mixed(total[use] + _mixed((use + (label << 40)).astype(np.uint64)) * np.uint64(3)))
+        count = np.bincount(cell, minlength=parts * each)
+        total = np.zeros(parts * each, np.uint64)
+        full = np.flatnonzero(count)
+        total[full] = np.add.reduceat(_mixed(items[order]), (np.cumsum(count) - count)[full])
+        count, total = count.reshape(parts, each), total.reshape(parts, each)
+        if each > 1:
+            count, total = count.sum(1, keepdims=True) - count, total.sum(1, keepdims=True) - total
+        least = np.sort(count.min(1))[parts - 1 - differ // spare]
+        use = np.flatnonzero(count.ravel() >= least)
+        found.append(_mixed(total.ravel()[use] + _mixed((use + (label << 40)).astype(np.uint64)) * np.uint64(3)))
     return np.concatenate(found)
 
 
-def _nodes(n: int, percent: int):
+def node_of(items: np.ndarray) -> int | None:
+    """The 64-bit hash that stands for a set; none for the empty one."""
+    return int(_mixed(np.array([_mixed(items).sum() + np.uint64(len(items))], np.uint64)).view(np.int64)[0]) if len(items) else None
+
+
+def _nodes(n: int):
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in slices(batches, "text"):
-            data, at = text_buffer(batch.column(2))
-            sets = sets_of(data, at, n)
-            node = [int(_mixed(np.array([_mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else None for s in sets]
-            first: dict[int, int] = {}
-            for i, x in enumerate(node):
-                if x is not None:
-                    first.setdefault(x, i)
-            kept, size = list(first.values()), len(sets)
-            marks: list[list[int]] = [[] for _ in range(size)]
-            peers: list[list[int]] = [[] for _ in range(size)]
-            if kept:
-                each = [signatures(sets[i], percent) for i in kept]
-                of = np.repeat(kept, [len(x) for x in each])
-                mark, lead, back = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
-                for i, m in zip(of[lead].tolist(), mark.view(np.int64).tolist(), strict=True):
-                    marks[i].append(m)
-                for i, j in set(zip(of.tolist(), of[lead[back]].tolist(), strict=True)):
-                    if i != j:
-                        peers[i].append(node[j])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(peers, pa.list_(pa.int64()))],
-                names=["did", "tc", "node", "n_shingles", "marks", "peers"],
-            )
+            sets = sets_of(*text_buffer(batch.column(2)), n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64())], names=["did", "tc", "node", "n_shingles"])
 
     return nodes
 
 
+def _marks(n: int, percent: int):
+    """Texts to rows (mark, node): of a slice, each mark's first node, and for each other node that has one of that
+    node's marks, a mark of just the two."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = {node_of(s): s for s in sets_of(*text_buffer(batch.column(0)), n) if len(s)}
+            if not sets:
+                continue
+            each = [signatures(s, percent) for s in sets.values()]
+            of = np.repeat(np.array(list(sets), np.int64), [len(x) for x in each])
+            mark, lead, back = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+            first = of[lead][back]
+            pairs = np.unique(np.stack([first, of], 1)[first != of], axis=0)
+            a, b = pairs[:, 0].copy(), pairs[:, 1].copy()
+            both = _mixed(_mixed(a.view(np.uint64)) + b.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([mark, both, both]).view(np.int64)), pa.array(np.concatenate([of[lead], a, b]))], names=["mark", "node"])
+
+    return marks
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (mark, node) ordered by both to pairs of each node with its mark's first."""
     mark, lead = None, 0
@@ -194,10 +210,9 @@ def _verify(percent: int):
     return verify
 
 
-def _families(found: DataFrame) -> DataFrame:
-    marks = found.select(F.explode("marks").alias("mark"), "node").repartition("mark").sortWithinPartitions("mark", "node")
-    peers = found.select(F.explode("peers").alias("a"), F.col("node").alias("b"))
-    return components(marks.mapInArrow(_pairs, "a long, b long").union(peers))
+def _families(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    marks = rows.select("text").mapInArrow(_marks(n, percent), "mark long, node long").repartition("mark").sortWithinPartitions("mark", "node")
+    return components(marks.mapInArrow(_pairs, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -208,10 +223,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     part in links and is nobody's smallest; tc is the crc32 of the text; an empty table gives no rows.
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("tc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = written(rows.mapInArrow(_nodes(n, percent), "did long, tc long, node long, n_shingles long, marks array<long>, peers array<long>"))
-    nodes = written(found.select("did", "tc", "node", "n_shingles"))
-    family = _families(found).withColumnRenamed("component", "family")
-    dropped(found)
+    nodes = written(rows.mapInArrow(_nodes(n), "did long, tc long, node long, n_shingles long"))
+    family = _families(rows, n, percent).withColumnRenamed("component", "family")
     one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct("did", "tc")).alias("at"), F.max("n_shingles").alias("n"))
     member = written(one.join(family, "node").select("at.did", "at.tc", "node", "family", "n"))
     tiles = member.groupBy("family").agg(F.ceil(F.sum("n") * 8 / FAMILY_BYTES).cast("int").alias("tiles"))
