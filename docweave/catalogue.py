@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import chunking as C
+from .operators import geometry as G
 from .operators import layout as L
+from .operators import tags as M
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,3 +140,144 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select lang, count(*) as docs, cast(sum(length(text)) as bigint) as chars, max(length(text)) as longest from documents group by lang")
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).cast("bigint").alias("longest"))
+
+
+RX = r"[\s0-9A-Za-z\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}.,;:!?()\[\]{}<>\"''/\\@#$%^&*+=_~`|-]"
+scalar("roman_numerals", "part", "p_partkey", lambda: T.roman(F.col("p_size")), "roman", "list_value('', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC')[cast(p_size // 10 as int) + 1] || list_value('', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX')[cast(p_size % 10 as int) + 1]")
+scalar("page_map_lines", "documents", "doc_id", lambda: F.floor((F.size(F.split("text", "\n", -1)) - 1) / 1000).cast("int") + 1, "last_page", "cast((len(string_split(text, chr(10))) - 1) // 1000 + 1 as int)")
+scalar("cell_format_number", "lineitem", "l_orderkey", lambda: F.format_number(F.floor("l_extendedprice"), 0), "shown", "format('{:,}', cast(floor(l_extendedprice) as bigint))")
+scalar("cell_format_date", "orders", "o_orderkey", lambda: F.date_format("o_orderdate", "yyyy-MM-dd"), "shown", "strftime(o_orderdate, '%Y-%m-%d')")
+SCORED = f"with c as (select doc_id, length(text) as n, length(text) - length(regexp_replace(text, '[\\x{{E000}}-\\x{{F8FF}}\\x{{F0000}}-\\x{{FFFFD}}\\x{{100000}}-\\x{{10FFFD}}]', '', 'g')) as p, length(text) - length(replace(text, chr(65533), '')) as q, length(text) - length(regexp_replace(text, '[\\x{{3200}}-\\x{{33FF}}\\x{{3700}}-\\x{{37FF}}]', '', 'g')) as k, length(text) - length(regexp_replace(text, '{RX}', '', 'g')) as v, len(string_split(text, chr(10))) as l, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as f, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' and length(trim(x)) <= 3)) as h from documents), g as (select *, l >= 5 and f > 0 and h * 2 >= f as fragmented from c)"
+
+
+@query(SCORED + " select doc_id, case when n < 10 then 1.0 else round(greatest(0.0, least(1.0, (1 - (p * 0.8::double + q * 0.9::double + k * 1.5::double) / n - case when fragmented then 0.5::double else 0 end) * (0.5 + v / n * 0.5::double))), 6) end::double as score, fragmented from g")
+def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.quality(text).alias("score"), T.is_fragmented(text).alias("fragmented"))
+
+
+@query("select conv_id, cast(turn + 1 as int) as page, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as section from conversations where regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as paged texts, split back into their pages."""
+    return M.page_sections(_paged(spark, sf_dir), "conv_id")
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.concat(T.page_tag(F.col("turn") + 1), F.lit("\n"), "text")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", page.alias("t"))))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("text"))
+
+
+@query("with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) as i from conversations) select conv_id, string_agg('[Page Number: ' || (turn + 1) || ']' || chr(10) || chr(10) || text, chr(10) || '#' || chr(10) order by turn) as chunks from t where regexp_replace(text, '\\s+', ' ', 'g') not in ('', ' ') group by conv_id")
+def clean_chunks_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers that stand alone are carried into the chunk after them."""
+    turns = table(spark, sf_dir, "conversations").where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    pair = F.array(T.page_tag(F.col("turn") + 1), F.lit(" \n"), F.col("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", pair.alias("p"))))
+    texts = turns.groupBy("conv_id").agg(F.flatten(F.transform(ordered, lambda x: x["p"])).alias("c"))
+    return texts.select("conv_id", F.array_join(M.joined_markers(F.col("c")), "\n#\n").alias("chunks"))
+
+
+@query("with recursive t as (select conv_id, text, row_number() over (partition by conv_id order by turn) as i, count(*) over (partition by conv_id) as n from conversations), m as (select conv_id, i, n, [text] as o from t where i = 1 union all select m.conv_id, t.i, m.n, case when length(m.o[len(m.o)]) < 60 then list_append(m.o[1:len(m.o) - 1], m.o[len(m.o)] || chr(10) || chr(10) || t.text) else list_append(m.o, t.text) end from m join t on t.conv_id = m.conv_id and t.i = m.i + 1) select conv_id, array_to_string(case when len(o) > 1 and length(o[len(o)]) < 60 then list_append(o[1:len(o) - 2], o[len(o) - 1] || chr(10) || chr(10) || o[len(o)]) else o end, chr(10) || '#' || chr(10)) as chunks from m where i = n")
+def merge_small_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    texts = turns.groupBy("conv_id").agg(F.transform(ordered, lambda x: x["text"]).alias("c"))
+    return texts.select("conv_id", F.array_join(M.merged_small(F.col("c"), 600), "\n#\n").alias("chunks"))
+
+
+@query("select o_orderkey, (o_orderkey % 4 <> 0) and (o_orderkey % 3 = 0 or o_orderkey % 2 = 0) as header from orders")
+def csv_header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows from each order; a number in the first row, or none in the second beside a repeated cell, makes it no header."""
+    key = F.col("o_orderkey")
+    first = F.array(F.lit("name"), F.when(key % 4 == 0, F.lit("1,200")).when(key % 2 == 0, F.lit("value")).otherwise(F.lit("name")))
+    second = F.array(F.lit("x"), F.when(key % 3 == 0, F.lit("50%")).otherwise(F.lit("y")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.has_header(F.array(first, second)).alias("header"))
+
+
+BOXES = "select cast(p_partkey // 50 as bigint) as doc, cast(p_size % 5 as int) as page, cast(p_partkey as bigint) as id, cast(p_partkey * 7 % 400 as double) as x0, cast(p_partkey * 13 % 700 as double) as y0, cast(p_partkey * 7 % 400 + 100 + p_size as double) as x1, cast(p_partkey * 13 % 700 + 20 + p_size as double) as y1, cast(p_size % 3 + 1 as int) as n_rows, cast(p_size % 4 + 2 as int) as n_cols, p_name as text from part"
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes made from part numbers, 50 parts a document."""
+    whole = "cast({} as double)"
+    columns = {"x0": "p_partkey * 7 % 400", "y0": "p_partkey * 13 % 700", "x1": "p_partkey * 7 % 400 + 100 + p_size", "y1": "p_partkey * 13 % 700 + 20 + p_size"}
+    return table(spark, sf_dir, "part").selectExpr("cast(floor(p_partkey / 50) as bigint) as doc", "cast(p_size % 5 as int) as page", "cast(p_partkey as bigint) as id", *[f"{whole.format(e)} as {c}" for c, e in columns.items()], "cast(p_size % 3 + 1 as int) as n_rows", "cast(p_size % 4 + 2 as int) as n_cols", "p_name as text")
+
+
+@query(f"with b as ({BOXES}), o as (select *, lag(y1) over w as uy1, lag(x0) over w as ux0, lag(x1) over w as ux1, lag(n_cols) over w as uc, lag(n_rows) over w as ur from b window w as (partition by doc, page order by y0, x0, id)), j as (select *, coalesce(y0 - uy1 between 0 and 30 and least(x1, ux1) - greatest(x0, ux0) >= least(x1 - x0, ux1 - ux0) * 0.8 and (n_cols = uc or (ur = 1 and uc < n_cols)), false) as joins from o) select doc, page, id, cast(sum(case when joins then 0 else 1 end) over (partition by doc, page order by y0, x0, id) - 1 as int) as part from j")
+def adjacent_table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.adjacent_tables(boxes(spark, sf_dir)).select("doc", "page", "id", "part")
+
+
+@query(f"with b as ({BOXES}), l as (select * from b where id % 3 <> 0), t as (select * from b where id % 3 = 0) select doc, page, id from l where not exists (select 1 from t where t.doc = l.doc and t.page = l.page and greatest(0, least(l.x1, t.x1) - greatest(l.x0, t.x0)) * greatest(0, least(l.y1, t.y1) - greatest(l.y0, t.y0)) >= (l.x1 - l.x0) * (l.y1 - l.y0) * 0.5)")
+def text_minus_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = boxes(spark, sf_dir)
+    return G.lines_outside_tables(b.where("id % 3 != 0"), b.where("id % 3 = 0")).select("doc", "page", "id")
+
+
+@query(f"with b as ({BOXES}) select doc, page, case when max(case when y1 <= 80 then y1 end) - min(case when y1 <= 80 then y0 end) <= 60 then max(case when y1 <= 80 then y1 end) end as header_end, case when max(case when y0 >= 720 then y1 end) - min(case when y0 >= 720 then y0 end) <= 60 then min(case when y0 >= 720 then y0 end) end as footer_start from b group by doc, page")
+def header_footer_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = boxes(spark, sf_dir)
+    return G.bands(b, b.select("doc", "page").distinct().withColumn("height", F.lit(800.0)))
+
+
+@query(f"with b as (select * from ({BOXES}) where length(text) > 20), f as (select *, coalesce(cast(x0 - lag(x0) over (partition by doc, page order by x0) > 30 as int), 0) as far from b), g as (select *, sum(far) over (partition by doc, page order by x0) as k from f), c as (select doc, page, k, avg(x0) as l, count(*) as members from g group by all having count(*) >= 3) select doc, page, cast(row_number() over w as int) as \"column\", l as \"left\", members, case when lead(l) over w - l >= 20 then (l + lead(l) over w) / 2 end as boundary from c window w as (partition by doc, page order by l)")
+def layout_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.layout_columns(boxes(spark, sf_dir))
+
+
+@query(f"with b as ({BOXES}) select doc, page, string_agg(case when id % 4 = 0 then chr(10) || text || chr(10) else text end, chr(10) order by y0, x0, id) as text from b where trim(text) <> '' group by doc, page")
+def element_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("id") % 4 == 0, "table").otherwise("text")
+    return G.merged_elements(boxes(spark, sf_dir).withColumns({"seq": F.col("id"), "type": kind, "content": F.col("text")}))
+
+
+@query(f"with b as ({BOXES}), n as (select * from b where id % 2 = 0), t as (select * from b where id % 2 = 1) select t.doc, t.page, t.id, string_agg('* ' || n.text, chr(10) order by n.y0, n.x0, '* ' || n.text) as notes from n join t on n.doc = t.doc and n.page = t.page and n.y0 - t.y1 between -3 and 30 and n.x0 < t.x1 and t.x0 < n.x1 group by all")
+def annotation_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = boxes(spark, sf_dir)
+    return G.notes_of_tables(b.where("id % 2 = 0").withColumn("text", F.concat(F.lit("* "), "text")), b.where("id % 2 = 1"))
+
+
+@query()
+def table_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates left after overlap suppression; tests hold it against a plain loop."""
+    scored = boxes(spark, sf_dir).withColumns({"confidence": (F.col("id") % 10 / 10).cast("double"), "priority": (F.col("id") % 3).cast("int")})
+    return G.best_candidates(scored.select("doc", "page", "id", "x0", "y0", "x1", "y1", "confidence", "priority"))
+
+
+@query("with c as (select distinct cast(l_suppkey % 5 as int) as doc, cast(l_linenumber % 3 as int) as sheet, cast(l_orderkey % 400 as int) as r, cast(l_partkey % 30 as int) as c from lineitem), i as (select *, c - row_number() over (partition by doc, sheet, r order by c) as k from c) select doc, sheet, r, min(c) as c1, max(c) as c2 from i group by doc, sheet, r, k")
+def sheet_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.cell_runs(_cells(spark, sf_dir))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr("cast(l_suppkey % 5 as int) as doc", "cast(l_linenumber % 3 as int) as sheet", "cast(l_orderkey % 400 as int) as r", "cast(l_partkey % 30 as int) as c")
+
+
+@query()
+def sheet_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of touching cells of each sheet; tests hold it against a flood fill."""
+    return G.components(_cells(spark, sf_dir))
+
+
+@query("with c as (select l_suppkey as doc, 0 as page, l_orderkey as id, l_linenumber as r, k as c, case k when 0 then case when l_linenumber % 2 = 0 then '' else 'mode' end when 1 then l_returnflag else case when l_orderkey % 3 = 0 then null else l_linestatus || l_returnflag end end as text from lineitem, range(3) as x(k)), rr as (select doc, page, id, r, count(*) as n, sum(case when coalesce(trim(text), '') <> '' then 1 else 0 end) as f, max(c) as c, sum(case when length(coalesce(trim(text), '')) >= 2 then 1 else 0 end) as m from c group by all), t as (select doc, page, id, count(*) as n_rows, cast(max(c) + 1 as bigint) as n_cols, sum(n) as n, sum(f) as f, sum(case when f = 0 then 1 else 0 end) as bare, sum(m) as m from rr group by all) select doc, page, id, n_rows, n_cols, round(f / (n_rows * n_cols), 6) as fill, case when n_rows < 2 then 0.0 else round(1.1 - case when f / (n_rows * n_cols) < 0.05 then 0.5 when f / (n_rows * n_cols) < 0.15 then 0.25 else 0 end - case when bare >= n_rows * 0.7 then 0.25 else 0 end - case when m < 2 then 0.25 else 0 end, 6) end::double as confidence, n_rows >= 2 as kept from t")
+def candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as doc", "0 as page", "l_orderkey as id", "l_linenumber as r", "array(if(l_linenumber % 2 = 0, '', 'mode'), l_returnflag, if(l_orderkey % 3 = 0, null, concat(l_linestatus, l_returnflag))) as a")
+    return G.candidate_scores(rows.select("doc", "page", "id", "r", F.posexplode("a").alias("c", "text")))
+
+
+@query()
+def page_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, level and strategy of pages made from parts."""
+    part = table(spark, sf_dir, "part")
+    counts = part.selectExpr("p_partkey as page", "600.0D as width", "800.0D as height", "p_partkey * 31 % 3000 as n_drawings", "p_partkey * 31 % 3000 div 4 as n_curves", "p_partkey * 31 % 3000 div 9 as n_fills", "p_size % 30 as n_images", "p_size % 9 as n_columns", "(p_partkey % 11) / 10D as text_quality", "(p_partkey % 7) / 6D as complex_share")
+    return G.complexity(counts).select("page", "score", "level", "strategy")
+
+
+@query("select page_id, 'See ' || case when page_id % 7 = 3 then '[Image: p' || (page_id % 7) || '.png]' else 'text of p' || (page_id % 7) || '.png|' end || '<td>' || case when page_id % 7 = 3 then '[Image: p' || (page_id % 7) || '.png]' else 'text of p' || (page_id % 7) || '.png' end || '</td>' as text from pages")
+def ocr_tag_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image tags replaced by what a stand-in engine finds; it fails on one image, whose tags stay."""
+    tag = F.concat(F.lit("[Image: p"), (F.col("page_id") % 7).cast("string"), F.lit(".png]"))
+    docs = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("See "), tag, F.lit("<td>"), tag, F.lit("</td>")).alias("text"))
+    return M.substituted_tags(docs, lambda path: F.when(path != "p3.png", F.concat(F.lit("text of "), path, F.lit("|"))), "page_id")

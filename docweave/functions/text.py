@@ -109,3 +109,43 @@ def metadata_block(fields: dict[str, Column]) -> Column:
     """Tagged block with a line for each field that is not null or empty."""
     lines = [F.when(c.cast("string") != "", F.concat(F.lit(f"  {k}: "), c.cast("string"))) for k, c in fields.items()]
     return F.concat(F.lit("<Document-Metadata>\n"), F.concat_ws("\n", *lines), F.lit("\n</Document-Metadata>"))
+
+
+#: Character classes of the quality score.
+PRIVATE = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
+COMPATIBLE = r"[\x{3200}-\x{33FF}\x{3700}-\x{37FF}]"
+BASIC = r"[\s0-9A-Za-z\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}.,;:!?()\[\]{}<>\"'/\\@#$%^&*+=_~`|-]"
+
+
+def count_of(text: Column, pattern: str) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+
+
+def is_fragmented(text: Column) -> Column:
+    """At least five lines, half or more of those not blank having three characters or fewer."""
+    lines = F.split(text, "\n", -1)
+    full = F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    short = F.filter(full, lambda x: F.length(x) <= 3)
+    return (F.size(lines) >= 5) & (F.size(full) > 0) & (F.size(short) * 2 >= F.size(full))
+
+
+def quality(text: Column) -> Column:
+    """0 to 1: private-use, replacement and compatibility characters and fragmented lines take away; under 10 characters 1."""
+    n = F.length(text)
+    bad = count_of(text, PRIVATE) * 0.8 + count_of(text, "\ufffd") * 0.9 + count_of(text, COMPATIBLE) * 1.5
+    score = 1 - bad / n - F.when(is_fragmented(text), 0.5).otherwise(0.0)
+    score = score * (0.5 + count_of(text, BASIC) / n * 0.5)
+    return F.when(n < 10, 1.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
+
+
+def needs_ocr(text: Column) -> Column:
+    n = F.length(text)
+    broken = (count_of(text, PRIVATE) >= n * 0.1) | (count_of(text, COMPATIBLE) >= n * 0.05)
+    return (n >= 10) & ((quality(text) < 0.7) | broken | is_fragmented(text))
+
+
+def has_header(rows: Column) -> Column:
+    """Whether the first of the rows (arrays of cells) is a header: no number in it, and numbers in the second or no cell twice."""
+    first, second = F.get(rows, F.lit(0)), F.get(rows, F.lit(1))
+    words = ~F.exists(first, is_numeric)
+    return (F.size(rows) >= 2) & words & (F.exists(second, is_numeric) | (F.size(F.array_distinct(first)) == F.size(first)))
