@@ -11,6 +11,7 @@ from .functions import text as T
 from .operators import chunking as C
 from .operators import geometry as G
 from .operators import layout as L
+from .operators import tables as B
 from .operators import tags as M
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,3 +282,19 @@ def ocr_tag_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.concat(F.lit("[Image: p"), (F.col("page_id") % 7).cast("string"), F.lit(".png]"))
     docs = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("See "), tag, F.lit("<td>"), tag, F.lit("</td>")).alias("text"))
     return M.substituted_tags(docs, lambda path: F.when(path != "p3.png", F.concat(F.lit("text of "), path, F.lit("|"))), "page_id")
+
+
+@query()
+def chunk_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as paged documents, cut by pages; tests/test_tables.py holds the rules."""
+    return B.chunk_by_kind(_paged(spark, sf_dir), F.lit("pdf"), size=1000, overlap=200)
+
+
+@query()
+def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each size as a Markdown sheet, cut between rows."""
+    line = F.concat_ws(" | ", F.lit(""), "p_partkey", "p_name", "p_retailprice", F.lit(""))
+    ordered = F.array_sort(F.collect_list(F.struct("p_partkey", F.trim(line).alias("t"))))
+    rows = table(spark, sf_dir, "part").groupBy("p_size").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("rows"))
+    head = F.concat(F.lit("[Sheet: "), F.col("p_size").cast("string"), F.lit("]\n| key | name | price |\n| --- | --- | --- |\n"), "rows")
+    return B.chunk_by_kind(rows.select("p_size", head.alias("text")), F.lit("xlsx"), size=500, overlap=0)
