@@ -10,16 +10,17 @@ from ..operators.tables import chunk_by_kind
 from ..sources.readers import read_documents
 
 
-def extract_text(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    return read_documents(spark, path, mode)
+def extract_text(spark: SparkSession, path: str, mode: str = "PERMISSIVE", hidden: bool = True) -> DataFrame:
+    """Texts of all files below path, sheets laid out as blocks."""
+    return read_documents(spark, path, mode, layout=True, hidden=hidden)
 
 
 def extract_chunks(spark: SparkSession, path: str, size: int = 1000, overlap: int = 200) -> DataFrame:
     """Chunks with positions of all readable files below path."""
-    return chunk_documents(read_documents(spark, path, "DROPMALFORMED").drop("error"), size=size, overlap=overlap)
+    return chunk_documents(read_documents(spark, path, "DROPMALFORMED", layout=True).drop("error"), size=size, overlap=overlap)
 
 
 def extract_table_chunks(spark: SparkSession, path: str, size: int = 1000, overlap: int = 200) -> DataFrame:
     """Like extract_chunks, but cut by file type: sheets and tables between rows with their headers, paged files by pages."""
-    found = read_documents(spark, path, "DROPMALFORMED").drop("error")
+    found = read_documents(spark, path, "DROPMALFORMED", layout=True).drop("error")
     return chunk_by_kind(found, F.col("ext"), size=size, overlap=overlap)

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import category, clean_code, clean_text, extension
+from ..functions.text import CATEGORIES, category, clean_code, clean_text, extension
+from .office import hancom_text, html_workbook, rich_text, slide_text, workbook_text
 
 #: Encodings in the order in which they are tried.
 ENCODINGS = ("utf-8", "cp949", "euc-kr", "latin-1")
@@ -121,36 +122,69 @@ def sheet_text(data: bytes) -> str:
     return "\n\n".join(out)
 
 
-READERS = {"csv": delimited, "tsv": delimited, "docx": lambda data: word_text(data), "xlsx": lambda data: sheet_text(data), "xlsm": lambda data: sheet_text(data)}
 SCHEMA = "path string, ext string, category string, text string, encoding string, error string"
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for path, ext, kind, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            text = encoding = error = None
-            try:
-                if ext in ("docx", "xlsx", "xlsm"):
-                    text = READERS[ext](data)
-                elif kind in ("document", "image", "unknown") or ext in ("xls", "xltx", "xltm"):
-                    error = f"no reader for .{ext}"
-                else:
-                    text, encoding = decoded(data or b"")
-                    text = READERS[ext](text, ext) if ext in READERS else text
-            except (KeyError, ValueError, zipfile.BadZipFile, ElementTree.ParseError, StopIteration, csv.Error) as e:
-                error = f"{type(e).__name__}: {e}"
-            out.append((path, ext, kind, text, encoding, error))
-        columns = list(zip(*out, strict=True)) if out else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-
-def read_documents(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+#: First bytes of image formats.
+IMAGES = (b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"GIF87a", b"GIF89a", b"BM", b"RIFF")
+WORKBOOKS = ("xlsx", "xlsm", "xltx", "xltm")
+
+
+def office_text(path: str, ext: str, data: bytes, layout: bool, hidden: bool) -> str | None:
+    """Text of a file that is no plain text; None if its bytes are plain text. ValueError: there is no reader for it."""
+    start = data[:1024].lstrip().lower()
+    if ext in WORKBOOKS or ext == "xls":
+        if start.startswith((b"<html", b"<!doctype html", b"<table", b"<meta")):
+            return html_workbook(decoded(data)[0], path.rsplit("/", 1)[-1].rsplit(".", 1)[0])
+        if ext != "xls" or data[:2] == b"PK":
+            return workbook_text(data, hidden) if layout else sheet_text(data)
+    if ext in ("docx", "doc") and data[:2] == b"PK" or ext == "docx":
+        return word_text(data)
+    if ext in ("rtf", "doc") and start.startswith(b"{\\rtf") or ext == "rtf":
+        return rich_text(data)
+    if ext in ("pptx", "ppt"):
+        return slide_text(data)
+    if ext == "hwpx":
+        return hancom_text(data)
+    if ext in CATEGORIES["image"].split():
+        if not data.startswith(IMAGES):
+            raise ValueError("bytes of no known image format")
+        return f"[Image: {path}]"
+    if ext in CATEGORIES["document"].split() or ext == "xls" or category_of(ext) == "unknown":
+        raise ValueError(f"no reader for .{ext}")
+    return None
+
+
+def category_of(ext: str) -> str:
+    return next((k for k, v in CATEGORIES.items() if ext in v.split()), "unknown")
+
+
+def _extract(layout: bool, hidden: bool):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, ext, kind, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                text = encoding = error = None
+                try:
+                    text = office_text(path, ext, data or b"", layout, hidden)
+                    if text is None:
+                        text, encoding = decoded(data or b"")
+                        text = delimited(text, ext) if ext in ("csv", "tsv") else text
+                except (KeyError, ValueError, IndexError, zipfile.BadZipFile, ElementTree.ParseError, StopIteration, csv.Error) as e:
+                    text, error = None, f"{type(e).__name__}: {e}"
+                out.append((path, ext, kind, text, encoding, error))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return each
+
+
+def read_documents(spark: SparkSession, path: str, mode: str = "PERMISSIVE", layout: bool = False, hidden: bool = True) -> DataFrame:
     """(path, ext, category, text, encoding, error) of all files below path.
 
-    A file that can't be read has a null text and an error; DROPMALFORMED leaves it out, FAILFAST raises.
+    A file of no bytes gives no row. A file that can't be read has a null text and an error; DROPMALFORMED leaves it out, FAILFAST raises. With `layout`, sheets
+    are laid out as blocks with displayed values, merged headers and captions, else each is one table of stored values;
+    `hidden` false leaves out what is hidden there.
     """
-    found = files(spark, path).select("path", "ext", "category", "content").mapInArrow(_extract, SCHEMA)
+    found = files(spark, path).select("path", "ext", "category", "content").mapInArrow(_extract(layout, hidden), SCHEMA)
     source = F.col("text")
     found = found.withColumn("text", F.when(F.col("category").isin("code", "script"), clean_code(source)).when(F.col("category") == "data", source).otherwise(clean_text(source)))
     if mode == "DROPMALFORMED":
