@@ -1,12 +1,13 @@
 """Secret scanning: fixed patterns, and a battery of randomness tests under false-discovery control.
 
 Only DataFrame functions. A candidate is a maximal run of 24 or more letters, digits and +/_=- that no fixed pattern
-covers. Its encoding is inferred (hex, base32, base36 or base64 alphabet); under that alphabet's uniform distribution
-three tests give a p-value each: chi-squared on the symbol counts, the runs test on the upper and lower half of the
-alphabet, and the correlation of neighbours. Thrice the least is the candidate's p-value (at most 1). Text fails the
-tests, secrets don't, so candidates are cleared by Benjamini-Hochberg: in each class of lengths, as longer ones
-are far easier to clear, those whose p-value lies below the class's threshold at level CLEAR are called not random, and
-the rest are reported if they mix digits and letters. The thresholds come from counts of p-values by class and bin.
+covers, of which 24 or more are left without the '=' at its ends. Its encoding is inferred (hex, base32, base36 or
+base64 alphabet); under that alphabet's uniform distribution three tests give a p-value each: chi-squared on the symbol
+counts, the runs test on the upper and lower half of the alphabet, and the correlation of neighbours. Thrice the least
+is the candidate's p-value (at most 1). Text fails the tests, secrets don't, so candidates are cleared by
+Benjamini-Hochberg: in each class of lengths, as longer ones are far easier to clear, those whose p-value lies below the
+class's threshold at level CLEAR are called not random, and the rest are reported if they mix digits and letters. The
+thresholds come from counts of p-values by class and bin.
 """
 
 from __future__ import annotations
@@ -53,9 +54,9 @@ def _normal_tail(z: Column) -> Column:
 
 
 def _with_p(tokens: DataFrame) -> DataFrame:
-    """Add encoding and p to tokens (value)."""
-    bare = F.rtrim(F.translate("value", "_-", "/+"), F.lit("="))
-    tokens = tokens.withColumn("bare", bare).withColumn("n", F.length("bare").cast("double"))
+    """Add encoding and p to tokens (value); values of fewer than LEAST characters between their outer '=' go."""
+    bare = F.trim(F.translate("value", "_-", "/+"), F.lit("="))
+    tokens = tokens.withColumn("bare", bare).withColumn("n", F.length("bare").cast("double")).where(F.col("n") >= LEAST)
     encoding = F.when(F.col("bare").rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(F.col("bare").rlike("^[A-Z2-7]+$"), "base32").when(F.col("bare").rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36").otherwise("base64")
     tokens = tokens.withColumn("encoding", encoding)
     folded = F.when(F.col("encoding").isin("hex", "base36"), F.lower("bare")).otherwise(F.col("bare"))

@@ -132,3 +132,12 @@ def test_secrets(spark):
             covered[a:b] = [True] * (b - a)
         want = "".join(("[SECRET]" if not i or not covered[i - 1] else "") if c else t[i] for i, c in enumerate(covered))
         assert r.t == want
+
+
+@pytest.mark.parametrize("others", [[], ["x " + "".join(random.Random(12).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64)) + " y"]])
+def test_runs_of_equals_signs(spark, others):
+    texts = ["Title\n" + "=" * 24, "=" * 400, "a" + "=" * 23, "=" * 23 + "b1", "=" * 30 + "k3" + "=" * 30, "-" * 40, "_" * 24 + "="]
+    df = spark.createDataFrame(list(enumerate(texts + others)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in op7_secrets_rows(df).collect()}
+    assert len(spans) == len(texts + others) and not any(spans[i] for i in range(len(texts)))
+    assert all(spans[len(texts) + i] == "random:2:66" for i in range(len(others)))
