@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import NO_ID, table, written
 from docweave.llm.decontaminate import contamination
-from docweave.llm.jaccard import jaccard_components
+from docweave.llm.jaccard import row_components
 from docweave.llm.language import identify, learn
 from docweave.llm.packing import pack_documents
 from docweave.llm.queries import tokenizer
@@ -23,16 +23,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (shingles of five words, similarity 0.8 or more) the smallest doc_id stays.
+    """Of each component of near copies (shingles of five words, similarity 0.8 or more) the text of the smallest doc_id stays.
 
-    Documents with a null doc_id stay only if their component has no other; of repeated rows one stays.
+    Null doc_ids come last, and of one doc_id's texts in a component the one of the least hash stays. Different texts
+    with one doc_id, or with none, all stay. Texts of no words link with nothing; of repeated rows one stays.
     """
-    found = jaccard_components(docs, 5, 80).where("doc_id is not null and (component_id is null or component_id = doc_id)")
-    kept = written(found.groupBy(F.col("doc_id").alias("i")).agg(F.min("tc").alias("k")))
-    nameless = docs.where("doc_id is null").select(COLUMNS).dropDuplicates(["text"])
-    code = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    named = docs.join(kept.hint("merge"), (F.col("doc_id") == F.col("i")) & (code == F.col("k"))).select(COLUMNS)
-    return named.dropDuplicates(["doc_id"]).union(nameless)
+    found = written(row_components(docs, 5, 80, F.xxhash64("text")))
+    place = F.struct((F.col("did") == NO_ID).alias("last"), "did", "tc")
+    linked = found.where("component is not null").groupBy("component").agg(F.min(place).alias("at"))
+    alone = found.where("component is null").select("did", "tc").distinct()
+    kept = written(linked.select(F.col("at.did").alias("i"), F.col("at.tc").alias("k")).union(alone))
+    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.xxhash64("text").alias("k")).dropDuplicates(["i", "k"])
+    return keyed.join(kept.hint("merge"), ["i", "k"]).select(COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

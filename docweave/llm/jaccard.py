@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, components, forget, slices, text_buffer, written
@@ -215,14 +215,13 @@ def _families(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return components(marks.mapInArrow(_pairs, "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, tc, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
+def row_components(docs: DataFrame, n: int, percent: int, code: Column) -> DataFrame:
+    """(did, tc, node, n_shingles, component) for each row of docs (doc_id, text; other columns are ignored).
 
-    component_id: the smallest doc_id that links of similarity percent / 100 or more reach. Texts that are null, empty
-    or blank have no shingles and link with nothing; repeated rows and equal texts are linked; a null doc_id takes
-    part in links and is nobody's smallest; tc is the crc32 of the text; an empty table gives no rows.
+    did: doc_id, or NO_ID for a null one. tc: code, a long made of the text. node: the hash of the row's set of shingles,
+    null if it has none. component: a node that stands for all that links of similarity percent / 100 or more reach.
     """
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("tc"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), code.alias("tc"), F.coalesce("text", F.lit("")).alias("text"))
     nodes = written(rows.mapInArrow(_nodes(n), "did long, tc long, node long, n_shingles long"))
     family = _families(rows, n, percent).withColumnRenamed("component", "family")
     one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct("did", "tc")).alias("at"), F.max("n_shingles").alias("n"))
@@ -234,8 +233,17 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     dealt = dealt.select("family", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "items", "tile")
     dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     component = components(dealt.mapInArrow(_verify(percent), "a long, b long"))
-    named = nodes.select("did", "tc", "node", "n_shingles").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = written(named)
+    return nodes.select("did", "tc", "node", "n_shingles").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, tc, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
+
+    component_id: the smallest doc_id that links of similarity percent / 100 or more reach. Texts that are null, empty
+    or blank have no shingles and link with nothing; repeated rows and equal texts are linked; a null doc_id takes
+    part in links and is nobody's smallest; tc is the crc32 of the text; an empty table gives no rows.
+    """
+    named = written(row_components(docs, n, percent, F.crc32(F.coalesce("text", F.lit("")).cast("binary"))))
     least = named.where("component is not null").groupBy("component").agg(F.min(F.when(F.col("did") != NO_ID, F.col("did"))).alias("least"))
     doc_id = F.when(F.col("did") != NO_ID, F.col("did"))
     return named.join(least, "component", "left").select(doc_id.alias("doc_id"), "tc", "n_shingles", F.when(F.col("component").isNull(), doc_id).otherwise(F.col("least")).alias("component_id"))

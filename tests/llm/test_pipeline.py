@@ -27,3 +27,13 @@ def test_stages_on_planted_documents(spark, tmp_path):
     redacted = next(r for r in kept["secrets"] if r.doc_id == 40)
     assert "[SECRET]" in redacted.text and "0123456789abcdef" not in redacted.text and redacted.n_chars == len(redacted.text)
     assert sum(r.length for r in kept["packing"]) == sum({r.doc_id: r.doc_tokens for r in kept["packing"]}.values())
+
+
+def test_near_copies_by_rows(spark):
+    prose = lambda seed, n: " ".join(f"w{(seed * 7919 + k * k * 31) % 99991}" for k in range(n))
+    a, b, c, d, e = (prose(i, 60) for i in range(1, 6))
+    rows = [(1, a), (None, a + " more"), (None, a), (2, b), (2, c), (2, c + " more"), (3, c + " other")]
+    rows += [(None, d), (None, d + " more"), (None, d), (None, e), (None, e), (None, ""), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], ", ".join(f"{c} {k}" for c, k in zip(P.COLUMNS, ["long", "string", "string", "string", "long"]))).repartition(3)
+    got = Counter((r.doc_id, (r.text or "").split(" more")[0]) for r in P.near_copies(spark, docs, "").collect())
+    assert got == Counter([(1, a), (2, b), (2, c), (None, d), (None, e), (None, ""), (None, "")])
