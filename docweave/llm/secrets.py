@@ -1,7 +1,7 @@
 """Secret scanning: fixed patterns, and a battery of randomness tests under false-discovery control.
 
-Only DataFrame functions. A candidate is a maximal run of 24 or more letters, digits and +/_=- that no fixed pattern
-covers, of which 24 or more are left without the '=' at its ends. Its encoding is inferred (hex, base32, base36 or
+Only DataFrame functions. A candidate is what fixed patterns leave of a maximal run of letters, digits and +/_=-:
+every piece of 24 or more, of which 24 or more are left without the '=' at its ends. Its encoding is inferred (hex, base32, base36 or
 base64 alphabet); under that alphabet's uniform distribution three tests give a p-value each: chi-squared on the symbol
 counts, the runs test on the upper and lower half of the alphabet, and the correlation of neighbours. Thrice the least
 is the candidate's p-value (at most 1). Text fails the tests, secrets don't, so candidates are cleared by
@@ -92,6 +92,28 @@ def _with_p(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("p", F.least(F.lit(1.0), 3 * least)).drop("bare", "m", "squares", "bits", "codes", "mean", "var", "p1", "p2", "p3")
 
 
+def _pieces(runs: Column, base: Column) -> Column:
+    """The runs cut at the base spans (ordered by start): pieces of LEAST or more characters, of the runs' fields.
+
+    Where LEAST characters are left without them, the joiners at a piece's ends are not part of its value.
+    """
+
+    def cut(r) -> Column:
+        def with_piece(state, end) -> Column:
+            value = F.substring(r["value"], (state["at"] - r["start"] + 1).cast("int"), (end - state["at"]).cast("int"))
+            core = F.regexp_replace(value, r"^[/_+=\-]+|[/_+=\-]+$", "")
+            value = F.when(F.length(core) >= LEAST, core).otherwise(value)
+            one = F.struct(state["at"].alias("start"), r["kind"].alias("kind"), end.alias("end"), value.alias("value"))
+            return F.when(end - state["at"] >= LEAST, F.concat(state["out"], F.array(one))).otherwise(state["out"])
+
+        met = F.filter(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+        begin = F.struct(r["start"].alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>").alias("out"))
+        step = lambda state, b: F.struct(F.greatest(state["at"], b["end"]).alias("at"), with_piece(state, b["start"]).alias("out"))
+        return F.when(F.size(met) == 0, F.array(r)).otherwise(F.aggregate(met, begin, step, lambda state: with_piece(state, r["end"])))
+
+    return F.when(F.size(base) == 0, runs).otherwise(F.flatten(F.transform(runs, cut)))
+
+
 def secrets(docs: DataFrame) -> DataFrame:
     """docs' key columns and spans: array of (start, kind number, end) by start, then kind, in code points.
 
@@ -110,9 +132,8 @@ def secrets(docs: DataFrame) -> DataFrame:
         _found(F.col("text"), RUN, "random").alias("runs"),
     )
     bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    found = found.select("doc_id", "key", bare(F.concat("assign", "access", "hex")).alias("base"), F.col("runs"))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    found = written(found.select("doc_id", "key", F.array_sort("base").alias("base"), free.alias("runs")))
+    found = found.select("doc_id", "key", F.array_sort(bare(F.concat("assign", "access", "hex"))).alias("base"), F.col("runs"))
+    found = written(found.select("doc_id", "key", "base", _pieces(F.col("runs"), F.col("base")).alias("runs")))
     tokens = found.where("size(runs) > 0").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.explode("runs").alias("run")).select("doc_id", "key", "run.*")
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     tokens = written(_with_p(tokens).withColumn("mixed", mixed).withColumn("length_class", F.floor(F.log2("n") * 2).cast("int")).withColumn("bin", F.greatest(F.lit(-200), F.floor(F.log2(F.greatest("p", F.lit(1e-300))) * 4).cast("int"))))

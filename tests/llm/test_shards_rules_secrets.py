@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from docweave.llm.queries import RULES, op5_sharding_rows, op7_secrets_rows
 from docweave.llm.secrets import redacted, secrets
@@ -141,3 +142,19 @@ def test_runs_of_equals_signs(spark, others):
     spans = {r.doc_id: r.spans for r in op7_secrets_rows(df).collect()}
     assert len(spans) == len(texts + others) and not any(spans[i] for i in range(len(texts)))
     assert all(spans[len(texts) + i] == "random:2:66" for i in range(len(others)))
+
+
+def test_runs_are_cut_at_fixed_patterns(spark):
+    rnd = random.Random(12)
+    pick = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    hexes, upper, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    first, second = pick(b64, 64), pick(b64, 64)
+    texts = [f"{pick(hexes, 32)}_{first}", f"é AKIA{pick(upper, 16)}/{first} x", f"https://h/{pick(hexes, 32)}/{first}?a", f"{first}-{pick(hexes, 32)}-{second}", f"{first}/token={second}", f"{pick(hexes, 32)}_{'a1' * 11}", f"{pick(hexes, 32)}_{'ab' * 30}1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.join(secrets(df), "doc_id").select("doc_id", "base", "spans", redacted(F.col("text"), F.col("spans")).alias("t")).collect()
+    of = {r.doc_id: r for r in rows}
+    random_of = lambda i: [(s.start, s.end) for s in of[i].spans if s.kind == 3]
+    assert [random_of(i) for i in range(7)] == [[(32, 97)], [(22, 87)], [(42, 107)], [(0, 65), (97, 162)], [(0, 65)], [], []]
+    assert not any(first in r.t or second in r.t for r in rows)
+    for r in rows:
+        assert all(s.end <= b.start or b.end <= s.start for s in r.spans if s.kind == 3 for b in r.base)
