@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.formats import format_cell
 from .operators import chunking as C
 from .operators import geometry as G
 from .operators import layout as L
@@ -146,8 +147,10 @@ def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 RX = r"[\s0-9A-Za-z\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}.,;:!?()\[\]{}<>\"''/\\@#$%^&*+=_~`|-]"
 scalar("roman_numerals", "part", "p_partkey", lambda: T.roman(F.col("p_size")), "roman", "list_value('', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC')[cast(p_size // 10 as int) + 1] || list_value('', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX')[cast(p_size % 10 as int) + 1]")
 scalar("page_map_lines", "documents", "doc_id", lambda: F.floor((F.size(F.split("text", "\n", -1)) - 1) / 1000).cast("int") + 1, "last_page", "cast((len(string_split(text, chr(10))) - 1) // 1000 + 1 as int)")
-scalar("cell_format_number", "lineitem", "l_orderkey", lambda: F.format_number(F.floor("l_extendedprice"), 0), "shown", "format('{:,}', cast(floor(l_extendedprice) as bigint))")
-scalar("cell_format_date", "orders", "o_orderkey", lambda: F.date_format("o_orderdate", "yyyy-MM-dd"), "shown", "strftime(o_orderdate, '%Y-%m-%d')")
+scalar("cell_format_number", "lineitem", "l_orderkey", lambda: format_cell(F.floor("l_extendedprice"), F.lit("#,##0")), "shown", "format('{:,}', cast(floor(l_extendedprice) as bigint))")
+scalar("cell_format_rounded", "lineitem", "l_orderkey", lambda: format_cell(F.col("l_extendedprice"), F.lit("#,##0")), "shown", "format('{:,}', cast(round(l_extendedprice) as bigint))")
+scalar("cell_format_percent", "lineitem", "l_orderkey", lambda: format_cell(F.col("l_quantity") / 16, F.lit("0.0%")), "shown", "(cast(round(l_quantity * 62.5::double) as bigint) // 10) || '.' || (cast(round(l_quantity * 62.5::double) as bigint) % 10) || '%'")
+scalar("cell_format_date", "orders", "o_orderkey", lambda: format_cell(F.datediff("o_orderdate", F.lit("1899-12-30").cast("date")), F.lit("yyyy-mm-dd")), "shown", "strftime(o_orderdate, '%Y-%m-%d')")
 SCORED = f"with c as (select doc_id, length(text) as n, length(text) - length(regexp_replace(text, '[\\x{{E000}}-\\x{{F8FF}}\\x{{F0000}}-\\x{{FFFFD}}\\x{{100000}}-\\x{{10FFFD}}]', '', 'g')) as p, length(text) - length(replace(text, chr(65533), '')) as q, length(text) - length(regexp_replace(text, '[\\x{{3200}}-\\x{{33FF}}\\x{{3700}}-\\x{{37FF}}]', '', 'g')) as k, length(text) - length(regexp_replace(text, '{RX}', '', 'g')) as v, len(string_split(text, chr(10))) as l, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as f, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' and length(trim(x)) <= 3)) as h from documents), g as (select *, l >= 5 and f > 0 and h * 2 >= f as fragmented from c)"
 
 

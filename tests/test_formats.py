@@ -21,3 +21,16 @@ def test_dates():
 def test_column(spark):
     df = spark.createDataFrame([(0.5, "0%"), (None, "0%"), (2.0, None)], "v double, c string")
     assert [r[0] for r in df.select(format_cell(F.col("v"), F.col("c"))).collect()] == ["50%", None, "2"]
+
+
+def test_queries(spark, tmp_path):
+    from docweave.catalogue import QUERIES
+
+    rows = [(1, 1234.56, 1.0), (2, 1234.5, 3.0), (3, 0.4, 50.0), (4, None, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_extendedprice double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, dt.date(2026, 10, 6)), (2, None)], "o_orderkey long, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
+    got = lambda name: [r.shown for r in QUERIES[name](spark, str(tmp_path)).orderBy(F.col("shown").isNull(), F.length("shown"), "shown").collect()]
+    assert got("cell_format_rounded") == ["0", "1,235", "1,235", None]
+    assert got("cell_format_percent") == ["6.3%", "18.8%", "312.5%", None]
+    assert got("cell_format_number") == ["0", "1,234", "1,234", None] and got("cell_format_date") == ["2026-10-06", None]
+    assert all("each(" in QUERIES[f"cell_format_{n}"](spark, str(tmp_path))._jdf.queryExecution().toString() for n in ("number", "rounded", "percent", "date"))
