@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
@@ -28,13 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor shares; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below spark.checkpoint.dir, which every executor shares.
+
+    Where that is unset, a session of one machine (tests) gets a folder of its own; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("docweave.local.scratch", None)
     if not base:
-        base = spark.conf.get("docweave.local.scratch", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="docweave-")
-            spark.conf.set("docweave.local.scratch", base)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="docweave-")
+        spark.conf.set("docweave.local.scratch", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -61,6 +65,15 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_key() -> tuple[Column, Column]:
+    """Two longs that stand for a row of (doc_id, text): the id and a hash of the text, or without an id 128 bits of the text.
+
+    Repeated rows have the same key; a null text and an empty one have different ones.
+    """
+    text, none = F.col("text"), F.col("doc_id").isNull()
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("text"), text)), F.when(none, F.xxhash64(F.lit("none"), text)).otherwise(F.xxhash64(text))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets, without copying; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -96,40 +109,41 @@ def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFr
     `order` must be a total order, or rows that tie get their place arbitrarily.
     """
     spark = df.sparkSession
-    dealt = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    totals = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    dealt = written(df.repartitionByRange(*order).withColumn("_sum_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_sum_range").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
+    before = Window.orderBy("_sum_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_sum_range", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_sum_{n}") for n in sums])
     rows = spark.createDataFrame(starts.collect(), starts.schema)
-    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.join(F.broadcast(rows), "_range")  # one row a range
+    within = Window.partitionBy("_sum_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(rows), "_sum_range")  # one row a range
     for n, c in sums.items():
-        out = out.withColumn(n, F.col(f"_{n}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
-    return out.drop("_range", *[f"_{n}" for n in sums])
+        out = out.withColumn(n, F.col(f"_sum_{n}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
+    return out.drop("_sum_range", *[f"_sum_{n}" for n in sums])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of the edges reaches.
 
-    Rounds of large-star and small-star over the edge table, each written; no node's edges meet in one task,
-    as both stars need only a minimum for each node.
+    Rounds of large-star and small-star over the edge table. Each node's least neighbour is written before it is joined
+    back, so that both sides of the join are shuffled tables and adaptive execution can split a hot node's edges.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     links = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:
         ways = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        big = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = written(ways.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("far")).where("far > u").select("u", F.least("u", "m").alias("m")))
+        big = ways.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         big = written(big.where("u <> v").distinct())
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(least, "u").select("u", "v", "m")
+        dropped(least)
+        least = written(big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("n > 1").select("u", "m"))
+        small = big.join(least.hint("merge"), "u", "left").withColumn("m", F.coalesce("m", "v")).select("u", "v", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         new = written(small.where("u <> v").distinct())
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         old, links = links, new
-        dropped(old)
-        dropped(big)
+        for done in (old, big, least):
+            dropped(done)
         if now == mark:
             break
         mark = now

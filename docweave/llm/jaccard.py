@@ -10,10 +10,13 @@ Texts become sets of shingle hashes; texts of equal sets are one node. Nodes tha
    the higher limit still shares what it gives. Sets of few elements have parts of one cell, of which over D are taken.
    Families are components over pairs of a mark's least node and the others, so linear in their size.
 2. Count-vector R-tree. In a family, elements are dealt by hash to DIMS groups; the group counts are a set's point.
-   The sum of coordinate minima bounds the overlap of two sets, and of two boxes of the tree; what passes is verified on
-   the whole sets, except pairs that links already connect.
+   The points are split at the median of their widest dimension into leaves, and FAN neighbours make a node of the
+   next level up. The tree is joined with itself from the root down: the sum of coordinate minima bounds the overlap of
+   two boxes, and pairs of nodes that can't reach the similarity go with all below them. What passes among the sets is
+   verified on the whole sets, except pairs that links already connect.
    A family of over FAMILY_BYTES is dealt to tiles, and every pair of tiles is a task, so no task is unbounded.
-3. Components over the links found.
+3. Components over the links found. Sets are told apart by 128 bits there and in the result; 64 bits, which suffice to
+   propose candidates, name them in the families.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, components, forget, slices, text_buffer, written
+from .common import components, forget, row_key, slices, text_buffer, written
 from .decontaminate import _mixed, gram_hashes, word_hashes
 
-DIMS, LEAF, FAMILY_BYTES = 32, 32, 16 << 20
+DIMS, LEAF, FAN, FAMILY_BYTES = 32, 32, 8, 16 << 20
+#: Pairs of tree nodes looked at together.
+PAIRS = 1 << 15
 #: Sets that may differ in so many elements have parts of three cells.
 TRIPLES = 8
 _SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
@@ -60,7 +65,7 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
     size, found = len(items), []
     c = int(np.searchsorted(BOUNDS, size, "right")) - 1
     largest = size * 100 // percent
-    for label in (c, c + 1) if largest >= BOUNDS[c + 1] else (c,):
+    for label in range(c, int(np.searchsorted(BOUNDS, largest, "right"))):
         top = BOUNDS[label + 1] - 1
         differ = (100 - percent) * (size + min(top, largest)) // (100 + percent)
         if not differ:
@@ -84,17 +89,21 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def node_of(items: np.ndarray) -> int | None:
-    """The 64-bit hash that stands for a set; none for the empty one."""
-    return int(_mixed(np.array([_mixed(items).sum() + np.uint64(len(items))], np.uint64)).view(np.int64)[0]) if len(items) else None
+def node_of(items: np.ndarray) -> tuple[int, int] | None:
+    """Two independent 64-bit hashes that stand for a set; none for the empty one."""
+    if not len(items):
+        return None
+    sums = np.array([_mixed(items).sum(), _mixed(items ^ np.uint64(0xA0761D6478BD642F)).sum()], np.uint64) + np.uint64(len(items))
+    return tuple(_mixed(sums).view(np.int64).tolist())
 
 
 def _nodes(n: int):
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in slices(batches, "text"):
-            sets = sets_of(*text_buffer(batch.column(2)), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64())], names=["did", "tc", "node", "n_shingles"])
+            sets = sets_of(*text_buffer(batch.column(3)), n)
+            ids = [node_of(s) or (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([x for x, _ in ids], pa.int64()), pa.array([y for _, y in ids], pa.int64()), pa.array(map(len, sets), pa.int64())], names=["doc_id", "i", "k", "node", "twin", "n_shingles"])
 
     return nodes
 
@@ -109,7 +118,7 @@ def _marks(n: int, percent: int):
             if not sets:
                 continue
             each = [signatures(s, percent) for s in sets.values()]
-            of = np.repeat(np.array(list(sets), np.int64), [len(x) for x in each])
+            of = np.repeat(np.array([node for node, _ in sets], np.int64), [len(x) for x in each])
             mark, lead, back = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
             first = of[lead][back]
             pairs = np.unique(np.stack([first, of], 1)[first != of], axis=0)
@@ -140,22 +149,65 @@ def _sets(n: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, at = text_buffer(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets_of(data, at, n)], pa.binary())], names=["node", "family", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets_of(data, at, n)], pa.binary())], names=["id", "family", "items"])
 
     return sets
 
 
+class Tree:
+    """R-tree of points: level 0 are the points in tree order, each further one the boxes of FAN (first: LEAF) before."""
+
+    def __init__(self, points: np.ndarray, size: np.ndarray):
+        n = len(points)
+        order, parts = np.arange(n), [(0, n)]
+        while parts:  # halve each part at the median of its widest dimension until it is a leaf
+            a, b = parts.pop()
+            if b - a <= LEAF:
+                continue
+            mine = order[a:b]
+            wide = int(np.ptp(points[mine], axis=0).argmax())
+            half = LEAF * -(-(b - a) // (2 * LEAF))
+            order[a:b] = mine[np.argpartition(points[mine, wide], half - 1)] if half < b - a else mine
+            parts += [(a, a + half), (a + half, b)]
+        self.order = order
+        self.high, self.low = [points[order]], [size[order]]
+        while len(self.low[-1]) > 1:
+            starts = np.arange(0, len(self.low[-1]), LEAF if len(self.low) == 1 else FAN)
+            self.high.append(np.maximum.reduceat(self.high[-1], starts))
+            self.low.append(np.minimum.reduceat(self.low[-1], starts))
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of points, i before j, whose bound reaches the similarity, in portions."""
+        open_pairs = [(len(self.low) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while open_pairs:
+            level, i, j = open_pairs.pop()
+            if len(i) > PAIRS:
+                open_pairs += [(level, i[PAIRS:], j[PAIRS:])]
+                i, j = i[:PAIRS], j[:PAIRS]
+            high, low = self.high[level], self.low[level]
+            bound = np.minimum(high[i], high[j]).sum(1, dtype=np.int64)
+            good = (100 + percent) * bound >= percent * (low[i] + low[j])
+            i, j = i[good], j[good]
+            if not level:
+                if (i < j).any():
+                    yield i, j
+                continue
+            fan, n = LEAF if level == 1 else FAN, len(self.low[level - 1])
+            for c in range(0, len(i), max(1, PAIRS // fan**2)):
+                part = slice(c, c + max(1, PAIRS // fan**2))
+                x = (i[part, None] * fan + np.arange(fan)).repeat(fan, 1)
+                y = np.tile(j[part, None] * fan + np.arange(fan), fan)
+                inside = (x < n) & (y < n) & (x < y if level == 1 else x <= y)
+                open_pairs.append((level - 1, x[inside], y[inside]))
+
+
 def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what all links of similarity percent / 100 or more connect, by a count-vector R-tree.
     With side, only pairs of different sides are looked at."""
-    n = len(sets)
     size = np.array([len(s) for s in sets])
     points = np.stack([np.bincount((s >> np.uint64(50)).astype(np.int64) % DIMS, minlength=DIMS) for s in sets]).astype(np.int32)
-    order = np.lexsort((points[:, 1], points[:, 0], size))
-    leaves = [order[i : i + LEAF] for i in range(0, n, LEAF)]
-    high = np.stack([points[x].max(0) for x in leaves])
-    low = np.array([size[x].min() for x in leaves])
-    parent, out = list(range(n)), []
+    tree = Tree(points, size)
+    parent, out = list(range(len(sets))), []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -163,26 +215,23 @@ def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
             i = parent[i]
         return i
 
-    for a, mine in enumerate(leaves):
-        bound = np.minimum(high[a], high[a:]).sum(1)
-        for b in (np.flatnonzero((100 + percent) * bound >= percent * (low[a] + low[a:])) + a).tolist():
-            other = leaves[b]
-            over = np.minimum(points[mine][:, None], points[other][None]).sum(2)
-            good = (100 + percent) * over >= percent * (size[mine][:, None] + size[other][None])
-            if side is not None:
-                good &= side[mine][:, None] != side[other][None]
-            roots = np.array([root(i) for i in mine])[:, None] != np.array([root(i) for i in other])[None]
-            for i, j in np.argwhere(good & roots).tolist():
-                x, y = int(mine[i]), int(other[j])
-                if a == b and i >= j or (rx := root(x)) == (ry := root(y)):
-                    continue
-                small, large = (sets[x], sets[y]) if size[x] <= size[y] else (sets[y], sets[x])
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                if 100 * both >= percent * (size[x] + size[y] - both):
-                    parent[ry] = rx
-                    out.append((x, y))
+    for i, j in tree.pairs(percent):
+        i, j = tree.order[i], tree.order[j]
+        own, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+        roots = np.array([root(x) for x in own.tolist()])[back]
+        apart = roots[: len(i)] != roots[len(i) :]
+        if side is not None:
+            apart &= side[i] != side[j]
+        for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+            if (rx := root(x)) == (ry := root(y)):
+                continue
+            small, large = (sets[x], sets[y]) if size[x] <= size[y] else (sets[y], sets[x])
+            at = np.searchsorted(large, small)
+            at[at == len(large)] = 0
+            both = int((large[at] == small).sum())
+            if 100 * both >= percent * (size[x] + size[y] - both):
+                parent[ry] = rx
+                out.append((x, y))
     return out
 
 
@@ -191,9 +240,9 @@ def _verify(percent: int):
         rows = list({r[3]: r for r in held}.values())
         tiles = np.array([r[5] for r in rows])
         side = tiles if rows and rows[0][1] != rows[0][2] else None
-        nodes = [r[3] for r in rows]
+        ids = [r[3] for r in rows]
         pairs = linked([np.frombuffer(r[4], np.uint64) for r in rows], percent, side) if len(rows) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.binary()), pa.array([ids[j] for _, j in pairs], pa.binary())], names=["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -215,35 +264,37 @@ def _families(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return components(marks.mapInArrow(_pairs, "a long, b long"))
 
 
-def row_components(docs: DataFrame, n: int, percent: int, code: Column) -> DataFrame:
-    """(did, tc, node, n_shingles, component) for each row of docs (doc_id, text; other columns are ignored).
+def row_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, i, k, n_shingles, component) for each row of docs (doc_id, text; other columns are ignored).
 
-    did: doc_id, or NO_ID for a null one. tc: code, a long made of the text. node: the hash of the row's set of shingles,
-    null if it has none. component: a node that stands for all that links of similarity percent / 100 or more reach.
+    i and k are the row's row_key(). component: the binary id of a set of shingles that stands for all that links of
+    similarity percent / 100 or more reach, null if the row has no shingles.
     """
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), code.alias("tc"), F.coalesce("text", F.lit("")).alias("text"))
-    nodes = written(rows.mapInArrow(_nodes(n), "did long, tc long, node long, n_shingles long"))
+    i, k = row_key()
+    rows = docs.select("doc_id", i.alias("i"), k.alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    nodes = written(rows.mapInArrow(_nodes(n), "doc_id long, i long, k long, node long, twin long, n_shingles long"))
+    set_id = F.to_binary(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("node", "twin")]), F.lit("hex"))
     family = _families(rows, n, percent).withColumnRenamed("component", "family")
-    one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct("did", "tc")).alias("at"), F.max("n_shingles").alias("n"))
-    member = written(one.join(family, "node").select("at.did", "at.tc", "node", "family", "n"))
-    tiles = member.groupBy("family").agg(F.ceil(F.sum("n") * 8 / FAMILY_BYTES).cast("int").alias("tiles"))
-    sets = rows.join(member.hint("merge"), ["did", "tc"]).select("node", "family", "text").mapInArrow(_sets(n), "node long, family long, items binary")
-    dealt = sets.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    one = nodes.where("node is not null").groupBy("node", "twin").agg(F.min(F.struct("i", "k")).alias("at"), F.max("n_shingles").alias("n"))
+    member = written(one.join(family, "node").select("at.i", "at.k", set_id.alias("id"), "family", "n"))
+    tiles = written(member.groupBy("family").agg(F.ceil(F.sum("n") * 8 / FAMILY_BYTES).cast("int").alias("tiles")))
+    sets = rows.join(member.hint("merge"), ["i", "k"]).select("id", "family", "text").mapInArrow(_sets(n), "id binary, family long, items binary")
+    dealt = sets.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    dealt = dealt.select("family", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "items", "tile")
-    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    component = components(dealt.mapInArrow(_verify(percent), "a long, b long"))
-    return nodes.select("did", "tc", "node", "n_shingles").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    dealt = dealt.select("family", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "id", "items", "tile")
+    dealt = dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
+    component = written(components(dealt.mapInArrow(_verify(percent), "a binary, b binary")).withColumnRenamed("node", "id"))
+    named = nodes.select("doc_id", "i", "k", "n_shingles", F.when(F.col("node").isNotNull(), set_id).alias("id"))
+    return named.join(component, "id", "left").select("doc_id", "i", "k", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, tc, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
 
     component_id: the smallest doc_id that links of similarity percent / 100 or more reach. Texts that are null, empty
     or blank have no shingles and link with nothing; repeated rows and equal texts are linked; a null doc_id takes
-    part in links and is nobody's smallest; tc is the crc32 of the text; an empty table gives no rows.
+    part in links and is nobody's smallest; an empty table gives no rows.
     """
-    named = written(row_components(docs, n, percent, F.crc32(F.coalesce("text", F.lit("")).cast("binary"))))
-    least = named.where("component is not null").groupBy("component").agg(F.min(F.when(F.col("did") != NO_ID, F.col("did"))).alias("least"))
-    doc_id = F.when(F.col("did") != NO_ID, F.col("did"))
-    return named.join(least, "component", "left").select(doc_id.alias("doc_id"), "tc", "n_shingles", F.when(F.col("component").isNull(), doc_id).otherwise(F.col("least")).alias("component_id"))
+    named = written(row_components(docs, n, percent))
+    least = written(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")))
+    return named.join(least.hint("merge"), "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

@@ -47,11 +47,13 @@ def corpus():
     return list(zip(ids, texts)) + [(None, texts[20]), (None, "alone here today"), (ids[15], texts[15])]
 
 
-@pytest.mark.parametrize(("n", "percent", "family"), [(3, 90, 16 << 20), (5, 80, 16 << 20), (3, 90, 6000)])
+@pytest.mark.parametrize(("n", "percent", "family"), [(3, 90, 16 << 20), (5, 80, 16 << 20), (3, 90, 6000), (3, 50, 16 << 20)])
 def test_components_against_all_pairs(spark, monkeypatch, n, percent, family):
     monkeypatch.setattr(J, "FAMILY_BYTES", family)
+    monkeypatch.setattr(J, "LEAF", 4)
+    monkeypatch.setattr(J, "FAN", 2)
     rows = corpus()
-    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int").repartition(5)
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, component int").repartition(5)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(df, n, percent).collect()), key=str)
     assert got == brute(rows, n, percent)
 
@@ -60,7 +62,7 @@ def test_empty(spark):
     assert op9_jaccard_rows(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("percent", [50, 80, 90])
 def test_similar_sets_share_a_signature(percent):
     rng = np.random.default_rng(2)
     for _ in range(1500):
@@ -72,3 +74,18 @@ def test_similar_sets_share_a_signature(percent):
         more = rng.integers(0, 2**63, extra).astype(np.uint64)
         x, y = np.unique(np.r_[common, more[:a]]), np.unique(np.r_[common, more[a:]])
         assert len(np.intersect1d(J.signatures(x, percent), J.signatures(y, percent))), (size, a, b)
+
+
+def test_tree_gives_every_pair_its_bound_allows(monkeypatch):
+    monkeypatch.setattr(J, "LEAF", 4)
+    monkeypatch.setattr(J, "FAN", 2)
+    monkeypatch.setattr(J, "PAIRS", 50)
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 90):
+        points = rng.integers(0, 6, (n, 3)).repeat(2, 0)[:n].astype(np.int32)
+        size = points.sum(1)
+        tree = J.Tree(points, size)
+        assert sorted(tree.order.tolist()) == list(range(n))
+        got = {tuple(sorted((int(tree.order[a]), int(tree.order[b])))) for i, j in tree.pairs(80) for a, b in zip(i, j)}
+        want = {(a, b) for a in range(n) for b in range(a + 1, n) if 180 * np.minimum(points[a], points[b]).sum() >= 80 * (size[a] + size[b])}
+        assert got == want
