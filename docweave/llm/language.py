@@ -1,9 +1,10 @@
 """Language identification by compression: the language whose zstandard raw-content dictionary encodes a text in the
 fewest bytes is its language.
 
-Learning takes SAMPLE_ROWS labelled rows of each language (those of least crc32 of the id) and SAMPLE_CHARS characters
-of each, which bounds a dictionary and what the driver gathers for it. Prediction reads whole texts, lower-cased and without
-marks and digits, in blocks of BLOCK characters, so that a long text can't teach itself.
+Learning takes whole labelled texts: of each language those of least crc32 of the id, until SAMPLE_ROWS texts or
+SAMPLE_BYTES bytes are reached. All languages together get SAMPLE_TOTAL bytes and share them evenly, so the driver's
+part is bounded and no language is left out (each gets one text at least). Prediction reads whole texts, lower-cased and
+without marks and digits, in blocks of BLOCK characters, so that a long text can't teach itself.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from .common import forget
 
-SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES, BLOCK, LEVEL = 256, 800, 200, 2048, 3
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TOTAL, BLOCK, LEVEL = 256, 192 << 10, 64 << 20, 2048, 3
 _OTHER = re.compile(r"[\W\d_]+")
 #: A text is rejected when the two best languages differ by less than this share of the best one's bytes.
 MARGIN = 0.002
@@ -30,15 +31,24 @@ def folded(text: str) -> str:
     return f" {_OTHER.sub(' ', text.lower()).strip()} "
 
 
-def learn(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """A dictionary for each language from a bounded sample of docs (doc_id, text, lang)."""
+def learn(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, total: int = SAMPLE_TOTAL) -> dict[str, bytes]:
+    """A dictionary for each language from a bounded sample of whole texts of docs (doc_id, text, lang).
+
+    The first pass picks rows by id and hash alone, the second reads the picked ones' texts. Null and blank texts and
+    null languages teach nothing, repeated rows once; no labelled rows give no dictionary.
+    """
     labelled = docs.where(usable & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
-    order = F.struct(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    sample = labelled.select("lang", order.alias("o"), F.substring("text", 1, chars).alias("part"))
-    best = sample.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).where(F.col("n") <= rows)
+    languages = max(1, labelled.select("lang").distinct().count())
+    rows, size = max(1, min(rows, total // size * rows // languages)), max(1, min(size, total // languages))
+    keyed = labelled.select("lang", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("c"), "doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"), "text")
+    order = Window.partitionBy("lang").orderBy("c", "doc_id", "h")
+    first = keyed.drop("text").withColumn("i", F.row_number().over(order)).where(F.col("i") <= rows)
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    picked = first.withColumn("before", before).where(F.col("before") < size).select("lang", "c", "doc_id", "h").distinct()  # rows texts a language
+    chosen = keyed.join(F.broadcast(picked), ["lang", "c", "doc_id", "h"], "left_semi").dropDuplicates(["lang", "doc_id", "h"])
     texts: dict[str, list[str]] = defaultdict(list)
-    for r in best.orderBy("lang", "n").limit(rows * LANGUAGES).collect():
-        texts[r["lang"]].append(r["part"])
+    for r in sorted(chosen.select("lang", "c", "doc_id", "h", "text").collect()):
+        texts[r["lang"]].append(r["text"])
     return {lang: "".join(map(folded, parts)).encode() for lang, parts in texts.items()}
 
 
