@@ -1,27 +1,32 @@
 """Benchmark decontamination by winnowing.
 
 Texts become sequences of 64-bit word hashes. Of every WINDOW consecutive hashes of GRAM words the least is kept, on
-both sides, so a shared span of GRAM + WINDOW - 1 = 13 words always shares a kept hash. Kept hashes of documents are
-joined with those of the benchmark, and each hit is extended in both directions; spans of 13 words count.
-Items of fewer words are looked up whole, by their own length. The benchmark's fingerprints go to the tasks in blocks of
-at most BLOCK_BYTES of text, one pass over the documents for each block, so what is broadcast is bounded.
+both sides, so a shared span of GRAM + WINDOW - 1 = 13 words always shares a kept hash.
+
+1. The benchmark becomes a table of prints: kept hashes, hashes of its 13-word windows by item, and of items of fewer
+   words as a whole.
+2. One pass over the documents gives each row's number of words, and its kept hashes with the 13-word windows that hold
+   them. A bitmap of BITS bits, of that size however large the benchmark is, keeps most foreign hashes out of the shuffle.
+3. Kept hashes of both sides are joined, and each hit is extended to the windows around it: those that equal a window of
+   the benchmark are hits, found by a second join. Items of fewer words go straight to that one. Both joins are of
+   plain shuffled tables, so adaptive execution can split a hash that many rows share.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, forget, slices, text_buffer, written
+from .common import forget, row_key, slices, text_buffer, written
 
 SPAN, GRAM = 13, 9
 WINDOW = SPAN - GRAM + 1
-BLOCK_BYTES = 16 << 20
+#: Size of the bitmap; a larger benchmark only lets more through to the join.
+BITS = 1 << 25
 
 _rng = np.random.default_rng(7)
 _TABLE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -77,137 +82,117 @@ def winnowed(grams: np.ndarray) -> np.ndarray:
     return np.unique(windows.argmin(1) + np.arange(len(windows)))
 
 
-class Index:
-    """Fingerprints of one block of benchmark items."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        self.ids = [i for i, _ in items]
-        text = "\0".join(t for _, t in items).encode()
-        sizes = np.cumsum([0, *(len(t.encode()) + 1 for _, t in items)])
-        words, at = word_hashes(np.frombuffer(text, np.uint8), np.minimum(sizes, len(text)))
-        self.words = [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for n, w in enumerate(self.words):
-            if len(w) >= SPAN:
-                grams = gram_hashes(w, GRAM)
-                for p in winnowed(grams).tolist():
-                    self.places[int(grams[p])].append((n, p))
-            elif len(w):
-                self.short[len(w)][int(gram_hashes(w, len(w))[0])].append(n)
-        self.short = {k: dict(v) for k, v in self.short.items()}
-        self.places = dict(self.places)
-        self.keys = np.sort(np.array(list(self.places), np.uint64))
-        self.short_keys = {k: np.sort(np.array(list(v), np.uint64)) for k, v in self.short.items()}
-
-    def found(self, words: np.ndarray, places: list[int], gram_at: np.ndarray, short: dict[int, list[int]]) -> tuple[np.ndarray, set[int]]:
-        """Which of a document's words are hit and by which items; places: its kept grams in the index."""
-        hit, items, seen = np.zeros(len(words), bool), set(), {}
-        for p in places:
-            for n, q in self.places[int(gram_at[p])]:
-                if seen.get((n, p - q), -1) >= p:
-                    continue
-                item = self.words[n]
-                back = min(p, q)
-                same = words[p - back : p][::-1] == item[q - back : q][::-1]
-                left = p - (back if same.all() else int(same.argmin()))
-                ahead = min(len(words) - p, len(item) - q)
-                same = words[p : p + ahead] == item[q : q + ahead]
-                right = p + (ahead if same.all() else int(same.argmin()))
-                seen[n, p - q] = right
-                if right - left >= SPAN:
-                    hit[left:right] = True
-                    items.add(n)
-        for k, at in short.items():
-            grams = gram_hashes(words, k)
-            for p in at:
-                hit[p : p + k] = True
-                items.update(self.short[k][int(grams[p])])
-        return hit, items
-
-
-def _members(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    i = np.searchsorted(keys, values)
-    i[i == len(keys)] = 0
-    return keys[i] == values if len(keys) else np.zeros(len(values), bool)
-
-
-def _scan(shared):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _benchmark_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items to rows (kind, h, item): kind 0 is a kept hash, another kind the number of words that h is made of."""
+    for batch in slices(batches, "text"):
+        words, begin = word_hashes(*text_buffer(batch.column(1)))
+        ids = batch.column(0)
+        kinds, hashes, items = [], [], []
+        grams, spans = gram_hashes(words, GRAM), gram_hashes(words, SPAN)
+        kept = winnowed(grams)
+        for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+            if b - a >= SPAN:
+                mine = np.unique(grams[kept[(kept >= a) & (kept + GRAM <= b)]])
+                whole = np.unique(spans[a : b - SPAN + 1])
+                kinds += [np.zeros(len(mine), np.int32), np.full(len(whole), SPAN, np.int32)]
+                hashes += [mine, whole]
+                items += [np.full(len(mine) + len(whole), i)]
+            elif b > a:
+                kinds.append(np.array([b - a], np.int32))
+                hashes.append(gram_hashes(words[a:b], b - a))
+                items.append(np.array([i]))
+        if kinds:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(hashes).view(np.int64)), ids.take(pa.array(np.concatenate(items)))], names=["kind", "h", "item"])
+
+
+def _document_prints(shared, short: list[int]):
+    """Rows to (doc_id, a, b, kind, print, h, at): kind -1 has the number of words in at; kind SPAN is a window h at word
+    `at` around the kept hash `print`; a smaller kind is so many words at `at`."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        index: Index = shared.value
+        bitmap = shared.value
+        mask = np.uint64(BITS - 1)
+
+        def known(h: np.ndarray) -> np.ndarray:
+            spot = h & mask
+            return (bitmap[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
         for batch in slices(batches, "text"):
-            data, at = text_buffer(batch.column(2))
-            words, begin = word_hashes(data, at)
+            words, begin = word_hashes(*text_buffer(batch.column(3)))
+            n = batch.num_rows
+            rows, kinds, kept_h, hashes, at = [np.arange(n)], [np.full(n, -1)], [np.zeros(n, np.uint64)], [np.zeros(n, np.uint64)], [np.diff(begin)]
+
+            def add(kind: int, places: np.ndarray, of: np.ndarray, kept: np.ndarray, h: np.ndarray) -> None:
+                rows.append(of), kinds.append(np.full(len(of), kind)), kept_h.append(kept), hashes.append(h), at.append(places - begin[of])  # noqa: B023
+
             grams = gram_hashes(words, GRAM)
-            kept = winnowed(grams) if len(grams) else np.zeros(0, np.int64)
-            kept = kept[_members(grams[kept], index.keys)]
             # A window that crosses two texts keeps no more than it should, and one inside a text keeps its own least.
-            by_doc: dict[int, list[int]] = defaultdict(list)
-            for p, d in zip(kept.tolist(), (np.searchsorted(begin, kept, "right") - 1).tolist(), strict=True):
-                if p + GRAM <= begin[d + 1]:
-                    by_doc[d].append(p - int(begin[d]))
-            short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-            for k, keys in index.short_keys.items():
-                places = np.flatnonzero(_members(gram_hashes(words, k), keys))
-                for p, d in zip(places.tolist(), (np.searchsorted(begin, places, "right") - 1).tolist(), strict=True):
-                    if p + k <= begin[d + 1]:
-                        short[d][k].append(p - int(begin[d]))
-            n = batch.num_rows
-            hits, items = [[] for _ in range(n)], [[] for _ in range(n)]
-            for d in {*by_doc, *short}:
-                own = words[begin[d] : begin[d + 1]]
-                hit, found = index.found(own, by_doc.get(d, []), grams[begin[d] :], short.get(d, {}))
-                edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-                hits[d] = [{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-                items[d] = sorted(str(index.ids[i]) for i in found)
+            kept = winnowed(grams)
+            kept = kept[known(grams[kept])]
+            of = np.searchsorted(begin, kept, "right") - 1
+            inside = kept + GRAM <= begin[of + 1]
+            kept, of = kept[inside], of[inside]
+            if len(kept):
+                spans = gram_hashes(words, SPAN)
+                around = kept[:, None] - np.arange(WINDOW)
+                good = (around >= begin[of][:, None]) & (around + SPAN <= begin[of + 1][:, None])
+                which = np.nonzero(good)[0]
+                around = around[good]
+                add(SPAN, around, of[which], grams[kept][which], spans[around])
+            for k in short:
+                grams_k = gram_hashes(words, k)
+                places = np.flatnonzero(known(grams_k))
+                of = np.searchsorted(begin, places, "right") - 1
+                inside = places + k <= begin[of + 1]
+                places, of = places[inside], of[inside]
+                add(k, places, of, np.zeros(len(of), np.uint64), grams_k[places])
+            take = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(begin)), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "key", "n_words", "hits", "items"],
+                [*(batch.column(i).take(take) for i in range(3)), pa.array(np.concatenate(kinds).astype(np.int32)), *(pa.array(np.concatenate(x).view(np.int64)) for x in (kept_h, hashes)), pa.array(np.concatenate(at))],
+                names=["doc_id", "a", "b", "kind", "print", "h", "at"],
             )
 
-    return scan
-
-
-SCHEMA = "doc_id long, key long, n_words long, hits array<struct<start:long,end:long>>, items array<string>"
+    return prints
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of bounded text, read one partition after another."""
-    held, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("i is not null and text is not null").toLocalIterator():
-        held.append((r["i"], r["text"]))
-        size += len(r["text"].encode()) + 64
-        if size >= BLOCK_BYTES:
-            yield held
-            held, size = [], 0
-    yield held
+def _bitmap(prints: DataFrame) -> np.ndarray:
+    """BITS bits in which every kept hash and every short item's has its bit: at most BITS / 64 rows are gathered."""
+    spot = F.col("h").bitwiseAND(BITS - 1)
+    found = prints.where(F.col("kind") != SPAN).select(F.shiftright(spot, 6).alias("i"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(max(1, BITS // 64), np.uint64)
+    out[found.column("i").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, hits, items, and the key of a row) for each row of docs (doc_id, text; others are ignored).
+    """(doc_id, a, b, n_words, n_hit, hits, items) for each row of docs (doc_id, text; others are ignored); a and b are its row_key().
 
-    hits: maximal ranges of hit words; items: ids of the items found, sorted as strings. Null and empty texts have no
-    words, items without words or id are never found, repeated rows count each, an empty benchmark finds nothing.
+    hits: maximal ranges of hit words, n_hit their words; items: ids of the items found, sorted as strings. Null and
+    empty texts have no words, items without words or id are never found, repeated rows count each, an empty benchmark
+    finds nothing, an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    passes = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(Index(b))), SCHEMA) for b in _blocks(benchmark)]
-    if len(passes) == 1:
-        return passes[0]
-    base = passes[0]
-    for more in passes[1:]:
-        extra = written(more.where("size(items) > 0").dropDuplicates(["doc_id", "key"]).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("key").alias("k"), F.col("hits").alias("h"), F.col("items").alias("m")))
-        joined = base.join(extra, (F.coalesce(base["doc_id"], F.lit(NO_ID)) == extra["i"]) & (base["key"] == extra["k"]), "left")
-        hits = F.concat("hits", F.coalesce("h", F.array().cast("array<struct<start:long,end:long>>")))
-        base = joined.select("doc_id", "key", "n_words", _merged(hits).alias("hits"), F.array_sort(F.array_union("items", F.coalesce("m", F.array().cast("array<string>")))).alias("items"))
-    return base
-
-
-def _merged(hits):
-    """Union of ranges, touching ones joined."""
-    kind = "array<struct<start:long,end:long>>"
-    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(F.array_sort(hits), F.array().cast(kind), step)
-
-
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
+    prints = written(items.mapInArrow(_benchmark_prints, "kind int, h long, item string"))
+    short = sorted(r["kind"] for r in prints.where(F.col("kind").between(1, SPAN - 1)).select("kind").distinct().collect())  # at most 12
+    a, b = row_key()
+    rows = docs.select("doc_id", a.alias("a"), b.alias("b"), F.coalesce("text", F.lit("")).alias("text"))
+    shared = spark.sparkContext.broadcast(_bitmap(prints))  # of BITS bits
+    found = written(rows.mapInArrow(_document_prints(shared, short), "doc_id long, a long, b long, kind int, print long, h long, at long"))
+    kept = prints.where("kind = 0").select(F.col("h").alias("print")).distinct()
+    near = found.where(F.col("kind") == SPAN).join(kept, "print", "left_semi")
+    windows = written(near.union(found.where(F.col("kind").between(1, SPAN - 1)).select(near.columns)).select("a", "b", "kind", "h", "at").distinct())
+    hits = written(windows.join(prints.where("kind > 0"), ["kind", "h"]).select("a", "b", "at", (F.col("at") + F.col("kind")).alias("end"), "item"))
+    order = Window.partitionBy("a", "b").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hits.select("a", "b", "at", "end").distinct().withColumn("before", F.max("end").over(order))
+    new = F.col("before").isNull() | (F.col("at") > F.col("before"))
+    island = F.sum(new.cast("int")).over(Window.partitionBy("a", "b").orderBy("at", "end"))
+    spans = spans.withColumn("island", island).groupBy("a", "b", "island").agg(F.min("at").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("a", "b").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hits"))
+    named = hits.select("a", "b", "item").distinct().groupBy("a", "b").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    both = written(spans.join(named, ["a", "b"]))
+    base = found.where("kind = -1").select("doc_id", "a", "b", F.col("at").alias("n_words"))
+    none = lambda kind: F.array().cast(kind)
+    joined = base.join(both, ["a", "b"], "left")
+    return joined.select("doc_id", "a", "b", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("hits", none("array<struct<start:bigint,end:bigint>>")).alias("hits"), F.coalesce("items", none("array<string>")).alias("items"))

@@ -67,8 +67,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
-    found = contamination(docs, benchmark).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"))
+    found = contamination(docs, benchmark).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -77,7 +76,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_rows(docs: DataFrame) -> DataFrame:
-    return jaccard_components(docs).drop("tc")
+    return jaccard_components(docs)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
