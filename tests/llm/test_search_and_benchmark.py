@@ -4,10 +4,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docweave.llm import decontaminate as D
 from docweave.llm import topk as K
-from docweave.llm.language import MARGIN
+from docweave.llm.language import BLOCK, LEVEL, MARGIN, folded, learn, scorer
 from docweave.llm.queries import op2_topk_rows, op3_language_rows, op8_decontaminate_rows
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -32,9 +33,9 @@ def brute8(doc, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 300])
-def test_decontamination_against_all_windows(spark, monkeypatch, block):
-    monkeypatch.setattr(D, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("bits", [1 << 25, 64])
+def test_decontamination_against_all_windows(spark, monkeypatch, bits):
+    monkeypatch.setattr(D, "BITS", bits)
     rnd = random.Random(4)
     vocabulary = [f"{a}{b}" for a in "abcé9" for b in "xyzß"]
     text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
@@ -76,6 +77,58 @@ def test_topk_against_brute_force(spark, monkeypatch, scale):
     assert op2_topk_rows(df.where("false")).count() == 0
 
 
+def test_levels_prune_what_can_be_pruned():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+
+    def survivors(rows):
+        ids, seen = np.arange(len(rows)), {}
+        got = sorted(K.best(rows[:200], ids[:200], rows, ids, 20, seen=seen))
+        scores = rows[:200] @ rows.T
+        want = [(i, j, int(scores[i, j])) for i in range(200) for j in sorted((j for j in range(len(rows)) if j != i), key=lambda j: (-scores[i, j], j))[:20]]
+        assert got == sorted(want)
+        return {s: round(b / a, 4) for s, (a, b) in seen.items()}, seen[64][0] / (200 * len(rows))
+
+    smooth = np.repeat(rng.normal(0, 200, (6000, 8)), 8, axis=1) + rng.normal(0, 4, (6000, 64))
+    shares, computed = survivors(np.floor(smooth).astype(np.int64))
+    print("segments of even components:", shares, computed)
+    assert computed < 0.25
+    shares, computed = survivors(np.floor(rng.normal(0, 16, (6000, 64))).astype(np.int64))
+    print("independent components:", shares, computed)
+
+
+def test_language_samples_whole_texts_of_every_language(spark):
+    late = "x" * 2000 + " zwei drei vier"
+    rows = [(i, f"word{i} " * 5, f"l{i:03d}") for i in range(230)] + [(1000, late, "l000")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = learn(docs, F.lit(True))
+    assert len(learned) == 230 and b"zwei drei vier" in learned["l000"] and learned["l007"] == folded(rows[7][1]).encode()
+    assert len(learn(docs, F.lit(True), total=2300)) == 230 and all(len(v) < 300 for k, v in learn(docs, F.lit(True), total=2300).items() if k != "l000")
+
+
+def test_language_is_the_least_code(spark):
+    import zstandard as z
+
+    rnd = random.Random(9)
+    texts = {lang: [" ".join("".join(rnd.choice(a) for _ in range(5)) for _ in range(700)) for _ in range(4)] for lang, a in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "fghij"))}
+    dictionaries = {lang: folded(t[0]).encode() for lang, t in texts.items()}
+    score = scorer(dictionaries)
+    for text in [t for ts in texts.values() for t in ts[1:]] + ["abc", "fgh ij", "12", ""]:
+        sizes = {}
+        for lang, d in dictionaries.items():
+            whole = z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT)
+            how = z.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK, dict_size=len(d), write_checksum=False, write_content_size=False, write_dict_id=False)
+            body = folded(text)
+            sizes[lang] = sum(len(z.ZstdCompressor(compression_params=how, dict_data=whole).compress(body[i : i + BLOCK].encode())) for i in range(0, len(body), BLOCK))
+        lang, value, rejected = score(text)
+        if not any(map(str.isalpha, text)):
+            assert (lang, value, rejected) == ("und", 0.0, True)
+            continue
+        first, second = sorted(sizes.values())[:2]
+        assert lang == min(sizes, key=lambda k: (sizes[k], k)) and value == min(1.0, (second - first) / first) and rejected == (value < MARGIN)
+
+
 def test_language(spark):
     rnd = random.Random(6)
     stems = {"en": ["the", "ing", "th", "er", "and"], "fr": ["le", "eau", "é", "que", "oi"], "de": ["sch", "und", "ü", "ung", "ei"]}
