@@ -2,7 +2,7 @@
 
 Each document is first cut into full windows and a rest; the pieces, long before short, go each to the open
 sequence with the least remaining capacity that holds it, which a segment tree over capacities finds.
-Pieces are dealt by hash to groups of about GROUP documents that are packed apart, so no task holds more.
+Pieces are dealt by hash to groups of about GROUP pieces that are packed apart, so no task holds more.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .tokens import words
+from .common import slices, written
+from .tokens import SLICE, words
 
 GROUP = 20_000
 
@@ -69,17 +69,19 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(path: str, end_id: int, window: int):
-    end = int(end_id).to_bytes(4, "little")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = words(path)
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = encoder.ids(text.as_py() or "") + end
-                total = len(ids) // 4
-                out += [(doc_id, key, s, min(window, total - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), total) for s in range(0, total, window)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "key", "start", "length", "ids_crc32", "doc_tokens"])
+        for batch in slices(batches, "text", SLICE):
+            ids, at = encoder.batch(batch.column(2), end_id)
+            total = np.diff(at)
+            pieces = -(-total // window)
+            doc = np.repeat(np.arange(batch.num_rows), pieces)
+            start = window * (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            length = np.minimum(window, total[doc] - start)
+            raw, first = memoryview(ids.astype("<u4").tobytes()), 4 * (at[doc] + start)
+            crc = [zlib.crc32(raw[a : a + n]) for a, n in zip(first.tolist(), (4 * length).tolist(), strict=True)]
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[doc])], names=["doc_id", "key", "start", "length", "ids_crc32", "doc_tokens"])
 
     return cut
 
@@ -117,9 +119,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     Null texts are empty and consist of end_id alone; repeated rows are packed each; a null doc_id is kept; an empty
     table gives no rows. sequence_id is the group in the upper bits and the group's own count in the lower 40.
     """
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = written(rows.mapInArrow(_cut(tokenizer, end_id, window), "doc_id long, key long, start long, length long, ids_crc32 long, doc_tokens long"))
-    groups = max(1, round(pieces.where("start = 0").count() / GROUP))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("key", "start"), F.lit(groups))).select("group", "key", "doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    groups = max(1, round(pieces.count() / GROUP))
+    # The row number of the written table tells repeated rows apart, which else would meet in one group.
+    pieces = pieces.withColumn("copy", F.monotonically_increasing_id())
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("key", "start", "copy"), F.lit(groups))).select("group", "key", "doc_id", "start", "length", "ids_crc32", "doc_tokens")
     dealt = dealt.repartition("group").sortWithinPartitions("group", "key", "start")
     return dealt.mapInArrow(_pack(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

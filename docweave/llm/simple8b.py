@@ -1,7 +1,9 @@
 """Token ids in Simple-8b: 64-bit words whose upper four bits select how many ids of how many bits the rest holds.
 
-A file row is a block of whole documents in ascending doc_id order: first place, counts of ids a document, the packed
-words and the escaped ids. Blocks lie in shards of ascending doc_id ranges, so every block decodes by itself.
+Documents are encoded and packed where they are read, each from a word of its own on, so only packed words are dealt
+out by doc_id. A file row is a block of whole documents in ascending doc_id order: first place, ids and words of each
+document, the packed words and the escaped ids. Blocks lie in shards of ascending doc_id ranges; every block decodes
+by itself, and by the counts of words so does every document in it.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .tokens import words
+from .common import dropped, slices, text_buffer, written
+from .tokens import SLICE, words
 
 #: Ids and bits by selector 0 to 13; selectors 0 and 1 stand for runs of zero.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -24,37 +26,41 @@ ESCAPE = (1 << 60) - 1
 BLOCK_IDS = 1 << 16
 
 
-def packed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and escapes of unsigned 64-bit ids."""
+def packed(ids: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and escapes of unsigned 64-bit ids; no word crosses the places `at` (n + 1, or the whole array's two ends),
+    and each part's words and escapes begin at the places returned with them."""
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
+    at = np.array([0, n]) if at is None else at
+    left = np.repeat(at[1:].astype(np.int32), np.diff(at)) - np.arange(n, dtype=np.int32)
     big = ids >= np.uint64(ESCAPE)
     escapes, small = ids[big], np.where(big, np.uint64(ESCAPE), ids)
-    choice = np.full(n, 15, np.int64)
-    ends = np.arange(n)
+    choice = np.full(n, 15, np.int8)
+    fit, value = np.arange(n, dtype=np.int32), small
     for s in range(14, -1, -1):  # the widest ids first; what fits more ids a word replaces it
-        fits = small < np.uint64(1 << int(BITS[s])) if BITS[s] else small == 0
-        bad = np.concatenate([[0], np.cumsum(~fits)])
+        fits = value < np.uint64(1 << int(BITS[s])) if BITS[s] else value == 0
+        if not fits.all():
+            fit, value = fit[fits], value[fits]
         c = int(COUNTS[s])
-        if n >= c:
-            ok = bad[c:] == bad[:-c]
-            choice[: n - c + 1][ok] = s
-    step = (ends + COUNTS[choice]).tolist()
+        if len(fit) >= c:  # c places in a row that all fit and lie in one part
+            head = fit[: len(fit) - c + 1]
+            choice[head[(fit[c - 1 :] - head == c - 1) & (left[head] >= c)]] = s
+    step = (np.arange(n) + COUNTS[choice]).tolist()
     starts, i = [], 0
     while i < n:
         starts.append(i)
         i = step[i]
-    at = np.array(starts, np.int64)
-    chosen = choice[at]
+    begin = np.array(starts, np.int64)
+    chosen = choice[begin]
     out = chosen.astype(np.uint64) << np.uint64(60)
     for s in range(2, 16):
         rows = np.flatnonzero(chosen == s)
         if len(rows):
             word = np.zeros(len(rows), np.uint64)
             for k in range(int(COUNTS[s])):
-                word |= small[at[rows] + k] << np.uint64(k * int(BITS[s]))
+                word |= small[begin[rows] + k] << np.uint64(k * int(BITS[s]))
             out[rows] |= word
-    return out, escapes
+    return out, escapes, np.searchsorted(begin, at), np.searchsorted(np.flatnonzero(big), at)
 
 
 def unpacked(packed_words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
@@ -71,46 +77,64 @@ def unpacked(packed_words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block(ids: list, counts: list[int], raw: list[bytes], start: int, number: int) -> pa.RecordBatch:
-    values, escapes = packed(np.frombuffer(b"".join(raw), "<u4"))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number]), pa.array([start]), pa.array([sum(counts)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([values.astype("<u8").tobytes()]), pa.array([escapes.astype("<u8").tobytes()])],
-        names=["block", "shard_start", "n_ids", "doc_ids", "counts", "words", "escapes"],
-    )
+def _cells(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A binary array of the parts of 64-bit values."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((8 * at).astype(np.int64)), pa.py_buffer(values.astype("<u8"))]).cast(pa.binary())
 
 
 def _encode(path: str, end_id: int):
-    end = int(end_id).to_bytes(4, "little")
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ids, counts, raw, held, start, number = words(path), [], [], [], 0, 0, 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = encoder.ids(text.as_py() or "") + end
-                ids.append(doc_id)
-                counts.append(len(one) // 4)
-                raw.append(one)
-                held += counts[-1]
-                if held >= BLOCK_IDS:
-                    yield _block(ids, counts, raw, start, number)
-                    ids, counts, raw, held, start, number = [], [], [], 0, start + held, number + 1
-        if ids:
-            yield _block(ids, counts, raw, start, number)
+        encoder = words(path)
+        for batch in slices(batches, "text", SLICE):
+            ids, at = encoder.batch(batch.column(2), end_id)
+            values, escapes, value_at, escape_at = packed(ids, at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at)), _cells(values, value_at), _cells(escapes, escape_at)], names=["doc_id", "tie", "count", "words", "escapes"])
 
     return encode
 
 
-BLOCK_SCHEMA = "block long, shard_start long, n_ids long, doc_ids array<long>, counts array<long>, words binary, escapes binary"
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in order to blocks of BLOCK_IDS ids or a little more."""
+    held: list[pa.RecordBatch] = []
+    start = number = size = 0
+
+    def block() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        ids, counts = rows.column("doc_id").combine_chunks(), rows.column("count").combine_chunks()
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        data = [text_buffer(rows.column(c).combine_chunks())[0].tobytes() for c in ("words", "escapes")]
+        spots = pa.array(np.diff(text_buffer(rows.column("words").combine_chunks())[1]) // 8)
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([start]), pa.array([size], pa.int64()), one(ids), one(counts), one(spots), pa.array([data[0]], pa.binary()), pa.array([data[1]], pa.binary())], names=["block", "shard_start", "n_ids", "doc_ids", "counts", "spots", "words", "escapes"])
+
+    for batch in batches:
+        while batch.num_rows:
+            sums = np.cumsum(batch.column(2).to_numpy())
+            n = min(batch.num_rows, int(np.searchsorted(sums, BLOCK_IDS - size)) + 1)
+            held.append(batch.slice(0, n))
+            size += int(sums[n - 1])
+            batch = batch.slice(n)
+            if size >= BLOCK_IDS:
+                yield block()
+                held, start, number, size = [], start + size, number + 1, 0
+    if held:
+        yield block()
+
+
+BLOCK_SCHEMA = "block long, shard_start long, n_ids long, doc_ids array<long>, counts array<long>, spots array<long>, words binary, escapes binary"
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Encode docs (doc_id, text; other columns are ignored), write the file and return its blocks as read back.
 
-    Null texts are empty, each document ends with end_id, null doc_ids come first, rows that tie are ordered by text.
+    Null texts are empty, each document ends with end_id, null doc_ids come first, rows that tie are ordered by a hash
+    of the text; repeated rows are written each, an empty table gives no blocks. counts are ids, spots words of each document.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(dealt.mapInArrow(_encode(tokenizer, end_id), BLOCK_SCHEMA).withColumn("shard", F.spark_partition_id()))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    encoded = written(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, tie long, count long, words binary, escapes binary"))
+    dealt = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    blocks = written(dealt.mapInArrow(_blocks, BLOCK_SCHEMA).withColumn("shard", F.spark_partition_id()))
+    dropped(encoded)
+    return blocks
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,5 +157,3 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row a shard
     return docs.join(F.broadcast(starts), "shard").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids")
-
-

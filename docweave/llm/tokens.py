@@ -1,20 +1,45 @@
 """Token ids of whole texts by a public tokenizers file; each distinct word is encoded once a worker.
 
-Both files break a text wherever a non-space meets a space that a non-space follows, and between letters and
-punctuation, so such parts are encoded apart and remembered. A single word of Latin letters needs no pattern and goes
-straight to the library's BPE model; whatever else a text holds goes through the library's whole encoder.
+Files of the two shapes below break a text wherever a non-space meets a space that a non-space follows, and between
+letters and punctuation, so such parts are encoded apart and remembered. A single word of Latin letters needs no
+pattern and goes straight to the library's BPE model; whatever else a text holds goes through the library's whole
+encoder, and so does every text if the file has any other shape.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
 
 from .common import REMEMBERED
 
 #: Words of a generation; a worker remembers this one and the last (about 200 MB at most).
 GENERATION = 450_000
+#: Bytes of text that are encoded together.
+SLICE = 1 << 21
 MARKS = ".,;:!?#$%&*|)]}"
+#: Normalizer, pre-tokenizer and end-of-word suffix of the files whose words can be encoded apart.
+SPACED = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None)
+SPACELESS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "</w>",
+)
+
+
+def shape(path: str) -> str | None:
+    """Which of the two shapes a file has, if any: "spaced" keeps the space before a word in its ids."""
+    file = json.loads(Path(path).read_text())
+    model = file["model"]
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    plain &= not any(t.get(k) for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(set(t["content"]) & set(" \n") for t in file["added_tokens"])
+    parts = (file["normalizer"], file["pre_tokenizer"], model.get("end_of_word_suffix"))
+    return "spaced" if plain and parts == SPACED else "spaceless" if plain and parts == SPACELESS else None
 
 
 def _byte_letters() -> dict[int, str]:
@@ -32,10 +57,10 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.shape = shape(path)
         # Where the tokenizer keeps white space, a word's part holds the space before it.
-        self.spaced = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
+        self.spaced = self.shape == "spaced"
         self.model = self.tokenizer.model
-        self.model._resize_cache(0)  # self remembers
         self.last: dict[str, bytes] = {}
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
@@ -80,14 +105,22 @@ class Words(dict):
         """Ids of a whole text."""
         if not text:
             return b""
+        if not self.shape:
+            return self.encoded(text)
         get = self.__getitem__
         if not self.spaced:
             return b"".join([get(x) for x in text.replace("\n", " ").split(" ") if x])
         if "  " in text or text[0] == " " or text[-1] == " ":
-            return self.encoded(text)
+            return self.encoded(text)  # the patterns look further than a word there
         first, *rest = text.split(" ")
         return get(first) + b"".join([get(" " + x) for x in rest])
 
+    def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts (null: empty), `end` after each, and the n + 1 places where each text's ids begin."""
+        last = struct.pack("<I", end)
+        table = [self.ids(t.as_py()) + last for t in texts]
+        return np.frombuffer(b"".join(table), "<u4"), np.cumsum([0, *(len(t) // 4 for t in table)])
+
 
 _loaded: dict[str, Words] = {}
 REMEMBERED.append(_loaded)

@@ -1,9 +1,12 @@
+import json
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +15,7 @@ from tokenizers import Tokenizer
 from docweave.llm.packing import best_fit
 from docweave.llm.queries import op4_simple8b_digest, op10_packing_rows
 from docweave.llm.simple8b import packed, unpacked
-from docweave.llm.tokens import Words
+from docweave.llm.tokens import Words, shape
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [" a", "a ", "a  b", "a \nb", "a\n b", "\n", "  ", "", "a b c", "á ́b", "<|endoftext|> x<|endoftext|>,y", "I 'm it's", "ǅ İx ẞ", "\t x\x1cy", "Éa.\nÇb, c\n\nd", "naïve|)] <|startoftext|>"]
@@ -24,15 +27,32 @@ def test_words_equal_the_library(path):
     rnd = random.Random(3)
     whole, words = Tokenizer.from_file(path), Words(path)
     texts = [*ODD, *("".join(rnd.choice(" \n\ta1'sÉé, .Z<|>&\x1ć漢") for _ in range(rnd.randint(1, 30))) for _ in range(2000))]
-    for text in texts:
-        assert np.frombuffer(words.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    for part in (texts, [None], ["", ""], []):
+        ids, at = words.batch(pa.array(part, pa.string()), 77)
+        assert len(at) == len(part) + 1 and at[-1] == len(ids)
+        for i, text in enumerate(part):
+            assert ids[at[i] : at[i + 1]].tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 77], repr(text)
+
+
+def test_files_of_other_shapes_are_encoded_whole(tmp_path):
+    file = json.loads(Path(BYTE).read_text())
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    other = str(tmp_path / "other.json")
+    assert (shape(BYTE), shape(WORD), shape(other)) == ("spaced", "spaceless", None)
+    ids, at = Words(other).batch(pa.array(["one two", None]), 5)
+    assert ids.tolist() == [*Tokenizer.from_file(other).encode("one two", add_special_tokens=False).ids, 5, 5] and at.tolist()[-2:] == [len(ids) - 1, len(ids)]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60000), st.integers(0, 2**64 - 1), st.just(2**60 - 1)), max_size=400))
 def test_simple8b_round_trip(ids):
-    words, escapes = packed(np.array(ids, np.uint64))
+    words, escapes, *_ = packed(np.array(ids, np.uint64))
     assert unpacked(words, escapes).tolist() == ids
+    half = len(ids) // 2
+    words, escapes, at, lost = packed(np.array(ids, np.uint64), np.array([0, 0, half, len(ids)]))
+    assert unpacked(words[: at[2]], escapes[: lost[2]]).tolist() == ids[:half]
+    assert unpacked(words[at[2] :], escapes[lost[2] :]).tolist() == ids[half:]
 
 
 def test_simple8b_zero_runs():
