@@ -52,29 +52,29 @@ def cuts(groups: DataFrame, total: int, largest: int, shards: int) -> list[int]:
 
 
 def minimax_shards(rows: DataFrame, shards: int) -> DataFrame:
-    """Add shard (0 to shards - 1) and slot (gapless from 0 in a shard) to rows (doc_id, size, kin, any others).
+    """Add shard (0 to shards - 1) and slot (gapless from 0 in a shard) to rows (doc_id, size, kin, any others) and drop kin.
 
-    kin: what rows of one atomic group share, null being one group too; sizes are positive. Null doc_ids come first,
+    Other columns stay, whatever their names, but for those of the result's two and names that begin with _shard. kin: what rows of one atomic group share, null being one group too; sizes are positive. Null doc_ids come first,
     rows that tie are ordered by size and arbitrarily beyond. A group larger than an even share sets the capacity;
     then some shards may stay empty, as they do where there are fewer groups than shards. An empty table gives no rows.
     """
-    spark = rows.sparkSession
-    rows = rows.withColumn("kin", F.coalesce(F.col("kin").cast("string"), F.lit("")))
-    group = rows.groupBy("kin").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("lead"), F.count("*").alias("n"))
-    several = group.where("n > 1").select("kin", "lead")
-    placed = rows.join(several, "kin", "left").withColumn("lead", F.coalesce("lead", "doc_id", F.lit(-(2**63))))
-    placed = placed.withColumn("one", F.lit(1).cast("long"))
-    ordered = written(prefix_sums(placed, ["lead", "kin", "doc_id", "size"], {"start": "size", "before": "one"}))
-    groups = written(ordered.groupBy("lead", "kin").agg(F.max(F.col("start") + F.col("size")).alias("stop"), F.sum("size").alias("of")))
+    kept = [c for c in rows.columns if c not in ("kin", "shard", "slot")]
+    rows = rows.withColumn("_shard_kin", F.coalesce(F.col("kin").cast("string"), F.lit(""))).drop("kin", "shard", "slot")
+    group = rows.groupBy("_shard_kin").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("_shard_lead"), F.count("*").alias("_shard_n"))
+    several = written(group.where("_shard_n > 1").select("_shard_kin", "_shard_lead"))
+    placed = rows.join(several.hint("merge"), "_shard_kin", "left").withColumn("_shard_lead", F.coalesce("_shard_lead", "doc_id", F.lit(-(2**63))))
+    placed = placed.withColumn("_shard_one", F.lit(1).cast("long"))
+    ordered = written(prefix_sums(placed, ["_shard_lead", "_shard_kin", "doc_id", "size"], {"_shard_start": "size", "_shard_before": "_shard_one"}))
+    groups = written(ordered.groupBy("_shard_lead", "_shard_kin").agg(F.max(F.col("_shard_start") + F.col("size")).alias("stop"), F.sum("size").alias("of")))
     total, largest = groups.agg(F.max("stop"), F.max("of")).first()
     if total is None:
-        return rows.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")).drop("kin")
+        return rows.select(*kept, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     ends = cuts(groups, total, largest, shards)
-    shard = sum((F.expr(f"cast(start >= {e} as int)") for e in sorted(set(ends)) if e < total), F.lit(0))
+    shard = sum((F.expr(f"cast(_shard_start >= {e} as int)") for e in sorted(set(ends)) if e < total), F.lit(0))
     ordered = ordered.withColumn("shard", shard)
-    firsts = {r["shard"]: r["b"] for r in ordered.groupBy("shard").agg(F.min("before").alias("b")).collect()}
+    firsts = {r["shard"]: r["b"] for r in ordered.groupBy("shard").agg(F.min("_shard_before").alias("b")).collect()}
     base = F.element_at(F.create_map(*[F.lit(x).cast("long" if i % 2 else "int") for kv in sorted(firsts.items()) for i, x in enumerate(kv)]), F.col("shard"))
-    return ordered.withColumn("slot", F.col("before") - base).drop("kin", "lead", "one", "start", "before")
+    return ordered.select(*kept, "shard", (F.col("_shard_before") - base).alias("slot"))
 
 
 def documents(docs: DataFrame) -> DataFrame:
