@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -73,9 +73,10 @@ def _with_p(tokens: DataFrame) -> DataFrame:
     tokens = tokens.withColumn("bits", by(lambda a: F.translate("bare", a, "0" * (len(a) // 2) + "1" * (len(a) - len(a) // 2))))
     tokens = tokens.withColumn("codes", by(lambda a: F.transform(F.split("bare", ""), lambda c: F.when(c == "", None).otherwise(F.instr(F.lit(a), c).cast("double")))))
     tokens = tokens.withColumn("codes", F.filter("codes", lambda c: c.isNotNull()))
-    df = F.col("m") - 1
     chi = F.col("squares") * F.col("m") / F.col("n") - F.col("n")
-    z1 = (F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))  # Wilson and Hilferty
+    # Its mean is m - 1 and its variance 2 (m - 1) (n - 1) / n however few the counts: Wilson and Hilferty for a gamma of these.
+    df = (F.col("m") - 1) * F.col("n") / (F.col("n") - 1)
+    z1 = (F.pow(chi / (F.col("m") - 1), 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     tokens = tokens.withColumn("p1", F.when(z1 > 0, _normal_tail(z1) / 2).otherwise(F.lit(0.5)))
     ones = F.length(F.replace("bits", F.lit("0"), F.lit(""))).cast("double")
     zeros = F.col("n") - ones
@@ -117,24 +118,25 @@ def _pieces(runs: Column, base: Column) -> Column:
 def secrets(docs: DataFrame) -> DataFrame:
     """docs' key columns and spans: array of (start, kind number, end) by start, then kind, in code points.
 
-    One row for each row of docs (doc_id, text; other columns are ignored): (doc_id, key, spans), key being xxhash64 of
-    doc_id and text. Null and empty texts have no spans, repeated rows the same ones, a null doc_id is kept, an empty
+    One row for each row of docs (doc_id, text; other columns are ignored): (doc_id, a, b, base, spans), a and b being
+    its row_key(). Null and empty texts have no spans, repeated rows the same ones, a null doc_id is kept, an empty
     table gives no rows. Spans of different kinds may overlap; random ones overlap no other.
     """
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), text.alias("text"))
+    a, b = row_key()
+    keyed = docs.select("doc_id", a.alias("a"), b.alias("b"), text.alias("text"))
     value = lambda s: F.regexp_extract(s["value"], ASSIGN, 2)
     found = keyed.select(
-        "doc_id", "key",
+        "doc_id", "a", "b",
         F.filter(_found(F.col("text"), ASSIGN, "assign"), lambda s: F.length(value(s)) >= 6).alias("assign"),
         _found(F.col("text"), ACCESS, "access").alias("access"),
         _found(F.col("text"), HEX, "hex").alias("hex"),
         _found(F.col("text"), RUN, "random").alias("runs"),
     )
     bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    found = found.select("doc_id", "key", F.array_sort(bare(F.concat("assign", "access", "hex"))).alias("base"), F.col("runs"))
-    found = written(found.select("doc_id", "key", "base", _pieces(F.col("runs"), F.col("base")).alias("runs")))
-    tokens = found.where("size(runs) > 0").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.explode("runs").alias("run")).select("doc_id", "key", "run.*")
+    found = found.select("doc_id", "a", "b", F.array_sort(bare(F.concat("assign", "access", "hex"))).alias("base"), F.col("runs"))
+    found = written(found.select("doc_id", "a", "b", "base", _pieces(F.col("runs"), F.col("base")).alias("runs")))
+    tokens = found.where("size(runs) > 0").dropDuplicates(["a", "b"]).select("doc_id", "a", "b", F.explode("runs").alias("run")).select("doc_id", "a", "b", "run.*")
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     tokens = written(_with_p(tokens).withColumn("mixed", mixed).withColumn("length_class", F.floor(F.log2("n") * 2).cast("int")).withColumn("bin", F.greatest(F.lit(-200), F.floor(F.log2(F.greatest("p", F.lit(1e-300))) * 4).cast("int"))))
     cleared = {}
@@ -149,11 +151,10 @@ def secrets(docs: DataFrame) -> DataFrame:
     limit = F.lit(-1000)
     for c, b in cleared.items():
         limit = F.when(F.col("length_class") == c, F.lit(b)).otherwise(limit)
-    random = tokens.where((F.col("bin") > limit) & F.col("mixed")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("random"))
-    random = random.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "random")
-    joined = found.drop("runs").join(random, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
+    random = written(tokens.where((F.col("bin") > limit) & F.col("mixed")).groupBy("a", "b").agg(F.collect_list(F.struct("start", "kind", "end")).alias("random")))
+    joined = found.drop("runs").join(random, ["a", "b"], "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return joined.select("doc_id", "key", "base", F.array_sort(F.concat("base", F.coalesce("random", none))).alias("spans"))
+    return joined.select("doc_id", "a", "b", "base", F.array_sort(F.concat("base", F.coalesce("random", none))).alias("spans"))
 
 
 def named(spans: Column) -> Column:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.llm.queries import RULES, op5_sharding_rows, op7_secrets_rows
-from docweave.llm.secrets import redacted, secrets
+from docweave.llm.secrets import ALPHABETS, _with_p, redacted, secrets
 from docweave.llm.url_rules import judge
 
 
@@ -125,8 +125,8 @@ def test_secrets(spark):
     assert not any("random" in spans[i] for i in range(14, len(texts)))
     from pyspark.sql import functions as F
 
-    plain = df.where("doc_id in (7, 8, 13)").drop("spans").dropDuplicates().withColumn("key", F.xxhash64("doc_id", "text"))
-    done = plain.join(secrets(plain).select("key", "spans").dropDuplicates(["key"]), "key").select("doc_id", redacted(F.col("text"), F.col("spans")).alias("t"))
+    plain = df.where("doc_id in (7, 8, 13)").drop("spans").dropDuplicates()
+    done = plain.join(secrets(plain).select("doc_id", "spans").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", redacted(F.col("text"), F.col("spans")).alias("t"))
     for r in done.collect():
         t, covered = texts[r.doc_id], [False] * len(texts[r.doc_id])
         for a, _, b in brute_base(t):
@@ -158,3 +158,18 @@ def test_runs_are_cut_at_fixed_patterns(spark):
     assert not any(first in r.t or second in r.t for r in rows)
     for r in rows:
         assert all(s.end <= b.start or b.end <= s.start for s in r.spans if s.kind == 3 for b in r.base)
+
+
+@pytest.mark.parametrize(("name", "n"), [("base64", 24), ("base64", 40), ("hex", 32), ("base32", 32), ("base36", 64)])
+def test_p_values_of_random_strings(spark, name, n):
+    """Under its own alphabet a random string falls below a level about as often as the level says, or less."""
+    rnd = random.Random(n)
+    values = ["".join(rnd.choices(ALPHABETS[name], k=n)) for _ in range(4000)]
+    rows = _with_p(spark.createDataFrame([(v,) for v in values], "value string")).collect()
+    mine = [r.p for r in rows if r.encoding == name]
+    assert len(mine) > 3900
+    for level in (0.01, 0.05, 0.2):
+        assert sum(p <= level for p in mine) <= level * len(mine) * 1.25 + 3 * (level * len(mine)) ** 0.5
+    text = ["".join(rnd.choice(["/the", "some", "over", "path", "with", "house", "2024", "-"]) for _ in range(30))[:n] for _ in range(300)]
+    low = [r.p for r in _with_p(spark.createDataFrame([(v,) for v in text], "value string")).collect()]
+    assert sum(p <= 0.05 for p in low) >= 0.8 * len(low)
