@@ -10,8 +10,9 @@ many ranges by the hash, and its rules go to all of them.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,16 @@ def host_key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01")))
 
 
+def _ranges(bounds: list[str]) -> Callable[[Column], Column]:
+    """The range of a sort key, by binary search; code points order as Spark's bytes do."""
+
+    @F.pandas_udf("int")
+    def place(keys: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, k) for k in keys], dtype="int32")
+
+    return place
+
+
 class Prefixes:
     """Path prefixes of one rule host."""
 
@@ -97,11 +108,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     share = min(1.0, SAMPLE * ranges / max(1, pages.count()))
     sample = sorted(r["sort"] for r in urls.select("sort").sample(share, 17).limit(4 * SAMPLE * ranges).collect())
     bounds = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)} if sample else set())
-    edges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(["", *bounds], [*bounds, None], strict=True))], "range int, low string, high string")
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("sort"))) if bounds else F.lit(0)
-    left = urls.select(part.cast("int").alias("range"), "key", F.lit(1).alias("rank"), "path", "page_id", "host", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    place = _ranges(bounds)
+    left = urls.select(place("sort").alias("range"), "key", F.lit(1).alias("rank"), "path", "page_id", "host", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     own = rules.where("host is not null and path is not null and verdict is not null and host <> ''").select(host_key(F.col("host")).alias("key"), "host", "path", "verdict").dropDuplicates(["key", "path"])
-    own = own.join(F.broadcast(edges), (F.col("high").isNull() | (F.col("key") < F.col("high"))) & (F.concat("key", F.lit("\U0010ffff")) >= F.col("low")))
+    own = own.withColumn("first", place("key")).withColumn("last", place(F.concat("key", F.lit("\U0010ffff"))))
+    own = own.withColumn("range", F.explode(F.sequence("first", "last")))
     right = own.select("range", "key", F.lit(0).alias("rank"), "path", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("host"), F.concat("host", "path").alias("rule"), "verdict")
     order = ["range", "key", "rank", "path"]
     swept = left.union(right).repartition(ranges, "range").sortWithinPartitions(*order)
