@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, dropped, forget, slices, text_buffer, written
+from .common import dropped, forget, row_key, slices, text_buffer, written
 
 RUN, SHALLOW, HOT, BLOCK, CHUNK = 256, 16, 2048, 1 << 20, 1 << 20
 
@@ -254,26 +254,29 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     spans: maximal removed byte ranges; kept: the remaining bytes. Null texts count as empty, texts shorter than
     `length` keep all, repeated rows repeat each other, a null doc_id is kept, an empty table gives none.
     """
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("tc"), F.coalesce("text", F.lit("")).alias("text"))
-    runs = written(rows.mapInArrow(_emit_runs(length), "least long, whole long, did long, tc long, p int, n int, periodic boolean"))
+    did, tc = row_key()
+    rows = docs.select(did.alias("did"), tc.alias("tc"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    runs = written(rows.select("did", "tc", "text").mapInArrow(_emit_runs(length), "least long, whole long, did long, tc long, p int, n int, periodic boolean"))
     seen = runs.groupBy("least").agg(F.count("*").alias("seen"), F.max("periodic").alias("any_periodic")).where("seen > 1 or any_periodic")
-    open_runs = written(runs.join(seen.select("least"), "least"))
+    seen = written(seen.select("least"))
+    open_runs = written(runs.join(seen.hint("merge"), "least"))
     dropped(runs)
     one = F.min(F.struct("did", "tc", "p", "n")).alias("one")
     classes = open_runs.groupBy("least", "whole").agg(F.count("*").alias("copies"), one, F.max("periodic").alias("periodic"))
     classes = written(classes)
-    repeated = open_runs.join(classes.where("copies > 1").select("least", "whole"), ["least", "whole"]).select("did", "tc", "p", "n")
-    mixed = classes.groupBy("least").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all"), F.max("periodic").alias("periodic"), F.max(F.expr("copies = 1")).alias("single"))
-    mixed = mixed.where("single and (kinds > 1 or periodic)").select("least", (F.col("kinds") > HOT).alias("hot"))
-    wanted = classes.join(mixed, "least").select("one.*", F.struct("least", "one.p", "one.n", (F.col("copies") > 1).alias("settled"), "hot").alias("run"))
+    several = written(classes.where("copies > 1").select("least", "whole"))
+    repeated = open_runs.join(several.hint("merge"), ["least", "whole"]).select("did", "tc", "p", "n")
+    mixed = classes.groupBy("least").agg(F.count("*").alias("kinds"), F.max("periodic").alias("any_periodic"), F.max(F.expr("copies = 1")).alias("single"))
+    mixed = written(mixed.where("single and (kinds > 1 or any_periodic)").select("least", (F.col("kinds") > HOT).alias("hot")))
+    wanted = classes.join(mixed.hint("merge"), "least").select("one.*", F.struct("least", "one.p", "one.n", (F.col("copies") > 1).alias("settled"), "hot").alias("run"))
     wanted = wanted.groupBy("did", "tc").agg(F.collect_list("run").alias("runs"))
     cut = rows.join(wanted, ["did", "tc"]).select("did", "tc", "text", "runs").mapInArrow(_cut_runs(length), "least long, did long, tc long, p int, n int, settled boolean, hot boolean, bytes binary")
     cut = written(cut)
     sorted_runs = cut.where("not hot").select("least", "did", "tc", "p", "n", "settled", "bytes").repartition("least").sortWithinPartitions("least")
     by_sort = sorted_runs.mapInArrow(_sort_runs(length), "did long, tc long, p int, n int")
     strings = cut.where("hot").mapInArrow(_digests(length), "digest binary, did long, tc long, p int, settled boolean")
-    counted = strings.groupBy("digest").agg(F.count("*").alias("k"), F.min(F.struct("settled", "did", "tc", "p")).alias("x"))
-    by_count = strings.where("not settled").join(counted.where("k > 1").select("digest"), "digest").select("did", "tc", "p", F.lit(1).alias("n"))
+    counted = written(strings.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest"))
+    by_count = strings.where("not settled").join(counted.hint("merge"), "digest").select("did", "tc", "p", F.lit(1).alias("n"))
     starts = repeated.union(by_sort).union(by_count).groupBy("did", "tc").agg(F.collect_list(F.struct("p", "n")).alias("starts"))
-    found = rows.join(starts, ["did", "tc"], "left").select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "text", "starts")
+    found = rows.join(starts, ["did", "tc"], "left").select("doc_id", "text", "starts")
     return found.mapInArrow(_keep(length), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
