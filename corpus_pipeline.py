@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import NO_ID, table, written
+from docweave.llm.common import row_key, table, written
 from docweave.llm.decontaminate import contamination
 from docweave.llm.jaccard import row_components
 from docweave.llm.language import identify, learn
@@ -17,7 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter or of too narrow a margin go."""
+    """Documents whose language is recognised; those without a letter or of too narrow a margin go.
+
+    Null and empty texts have no letter and go; repeated rows stay or go together; an empty table gives no rows.
+    """
     found = identify(docs.select(COLUMNS), learn(docs, F.col("doc_id").isNotNull()))
     return found.where("not rejected").select(COLUMNS)
 
@@ -26,31 +29,40 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (shingles of five words, similarity 0.8 or more) the text of the smallest doc_id stays.
 
     Null doc_ids come last, and of one doc_id's texts in a component the one of the least hash stays. Different texts
-    with one doc_id, or with none, all stay. Texts of no words link with nothing; of repeated rows one stays.
+    with one doc_id, or with none, stay unless they are near copies. Null, empty and blank texts have no words and link
+    with nothing; of repeated rows one stays; an empty table gives no rows.
     """
-    found = written(row_components(docs, 5, 80, F.xxhash64("text")))
-    place = F.struct((F.col("did") == NO_ID).alias("last"), "did", "tc")
+    found = written(row_components(docs, 5, 80))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "i", "k")
     linked = found.where("component is not null").groupBy("component").agg(F.min(place).alias("at"))
-    alone = found.where("component is null").select("did", "tc").distinct()
-    kept = written(linked.select(F.col("at.did").alias("i"), F.col("at.tc").alias("k")).union(alone))
-    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.xxhash64("text").alias("k")).dropDuplicates(["i", "k"])
+    alone = found.where("component is null").select("i", "k").distinct()
+    kept = written(linked.select("at.i", "at.k").union(alone))
+    i, k = row_key()
+    keyed = docs.select(*COLUMNS, i.alias("i"), k.alias("k")).dropDuplicates(["i", "k"])
     return keyed.join(kept.hint("merge"), ["i", "k"]).select(COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated: at most one word in twenty lies in a benchmark window."""
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).withColumn("n_hit", n_hit)
-    bad = found.where("n_hit > 0 and 20 * n_hit >= n_words").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("key").alias("k")).distinct()
-    keyed = docs.withColumn("i", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("k", F.xxhash64("doc_id", "text"))
+    """Documents that aren't contaminated: those stay of which fewer than one word in twenty lies in a benchmark window.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; an empty table gives no rows.
+    """
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    bad = written(found.where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("a").alias("i"), F.col("b").alias("k")).distinct())
+    i, k = row_key()
+    keyed = docs.withColumn("i", i).withColumn("k", k)
     return keyed.join(bad.hint("merge"), ["i", "k"], "left_anti").select(COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, secrets replaced by [SECRET] and n_chars renewed where there were any."""
-    found = secrets(docs).where("size(spans) > 0").dropDuplicates(["doc_id", "key"])
-    found = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("key").alias("k"), "spans")
-    keyed = docs.withColumn("i", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("k", F.xxhash64("doc_id", "text"))
+    """Every document, secrets replaced by [SECRET] and n_chars renewed where there were any.
+
+    Null and empty texts stay as they are, repeated rows are redacted each, an empty table gives no rows.
+    """
+    found = secrets(docs).where("size(spans) > 0").dropDuplicates(["a", "b"])
+    found = found.select(F.col("a").alias("i"), F.col("b").alias("k"), "spans")
+    i, k = row_key()
+    keyed = docs.withColumn("i", i).withColumn("k", k)
     joined = keyed.join(found.hint("merge"), ["i", "k"], "left")
     text = F.when(F.col("spans").isNotNull(), redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
     chars = F.when(F.col("spans").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars"))
@@ -58,7 +70,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids, packed into sequences of 2048."""
+    """Pieces of the documents' token ids, packed into sequences of 2048.
+
+    Null and empty texts are a piece of the end id alone, repeated rows are packed each, an empty table gives no rows.
+    """
     return pack_documents(docs, tokenizer("word_bpe_49k.json"))
 
 
@@ -69,6 +84,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each on all that the one before left; every stage says what it does with odd rows."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
