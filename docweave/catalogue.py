@@ -226,9 +226,10 @@ def header_footer_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.bands(b, b.select("doc", "page").distinct().withColumn("height", F.lit(800.0)))
 
 
-@query(f"with b as (select * from ({BOXES}) where length(text) > 20), f as (select *, coalesce(cast(x0 - lag(x0) over (partition by doc, page order by x0) > 30 as int), 0) as far from b), g as (select *, sum(far) over (partition by doc, page order by x0) as k from f), c as (select doc, page, k, avg(x0) as l, count(*) as members from g group by all having count(*) >= 3) select doc, page, cast(row_number() over w as int) as \"column\", l as \"left\", members, case when lead(l) over w - l >= 20 then (l + lead(l) over w) / 2 end as boundary from c window w as (partition by doc, page order by l)")
+@query(f"with b as (select doc, page, cast(id % 3 * 150 + id % 7 as double) as x0 from ({BOXES}) where length(text || text || text) > 20), f as (select *, coalesce(cast(x0 - lag(x0) over (partition by doc, page order by x0) > 30 as int), 0) as far from b), g as (select *, sum(far) over (partition by doc, page order by x0) as k from f), c as (select doc, page, k, avg(x0) as l, count(*) as members from g group by all having count(*) >= 3) select doc, page, cast(row_number() over w as int) as \"column\", l as \"left\", members, case when lead(l) over w - l >= 20 then (l + lead(l) over w) / 2 end as boundary from c window w as (partition by doc, page order by l)")
 def layout_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.layout_columns(boxes(spark, sf_dir))
+    starts = (F.col("id") % 3 * 150 + F.col("id") % 7).cast("double")
+    return G.layout_columns(boxes(spark, sf_dir).withColumns({"x0": starts, "text": F.repeat("text", F.lit(3))}))
 
 
 @query(f"with b as ({BOXES}) select doc, page, string_agg(case when id % 4 = 0 then chr(10) || text || chr(10) else text end, chr(10) order by y0, x0, id) as text from b where trim(text) <> '' group by doc, page")
@@ -271,7 +272,11 @@ def candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.candidate_scores(rows.select("doc", "page", "id", "r", F.posexplode("a").alias("c", "text")))
 
 
-@query()
+STEP = "case when {x} >= {c} then {cv} when {x} >= {b} then {bv} when {x} >= {a} then {av} else 0.0 end"
+COUNTED = "select p_partkey as page, p_partkey * 31 % 3000 as d, p_partkey * 31 % 3000 // 4 as c, p_partkey * 31 % 3000 // 9 as f, p_size % 30 as i, p_size % 9 as k, (p_partkey % 11) / 10.0::double as q, (p_partkey % 7) / 6.0::double as s from part"
+
+
+@query(f"with p as ({COUNTED}), t as (select *, least(1.0::double, {STEP.format(x='d * 1000 / 480000.0::double', a=0.5, av=0.4, b=2, bv=0.7, c=5, cv=1.0)} + case when d > 0 then c / d::double else 0 end * 0.2::double + case when d > 0 then f / d::double else 0 end * 0.1::double) as drawn, {STEP.format(x='i * 10000 / 480000.0::double', a=0.1, av=0.3, b=0.3, bv=0.6, c=0.5, cv=1.0)} as im, case when k >= 7 then 0.95 else {STEP.format(x='k', a=2, av=0.3, b=3, bv=0.5, c=5, cv=0.75)} end as co from p), r as (select *, drawn * 0.3::double + im * 0.2::double + (1 - q) * 0.25::double + co * 0.25::double as raw from t), z as (select *, round(case when co >= 0.95 then greatest(raw, 0.9::double) else raw end, 6) as score from r), l as (select *, case when score >= 0.9 then 'EXTREME' when score >= 0.65 then 'COMPLEX' when score >= 0.35 then 'MODERATE' else 'SIMPLE' end as level from z) select page, score, level, case when q < 0.4 or (level = 'EXTREME' and q < 0.6) or (s > 0.5 and q < 0.7) then 'FULL_PAGE_OCR' when level in ('COMPLEX', 'MODERATE') then 'HYBRID' else 'TEXT' end as strategy from l")
 def page_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, level and strategy of pages made from parts."""
     part = table(spark, sf_dir, "part")
@@ -301,3 +306,6 @@ def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").groupBy("p_size").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("rows"))
     head = F.concat(F.lit("[Sheet: "), F.col("p_size").cast("string"), F.lit("]\n| key | name | price |\n| --- | --- | --- |\n"), "rows")
     return B.chunk_by_kind(rows.select("p_size", head.alias("text")), F.lit("xlsx"), size=500, overlap=0)
+
+
+from . import catalogue_layout  # noqa: E402, F401  it registers its queries here

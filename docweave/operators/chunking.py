@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SEPARATORS = ("\n\n", "\n", " ", "")
 #: What a chunk never cuts.
 PROTECTED = re.compile(r"(?is)<table[^>]*>.*?</table>|\[chart\].*?\[/chart\]|\[textbox\].*?\[/textbox\]|\[Image:[^\]]*\]|\[(?:Page|Slide) Number: \d+[^\]]*\]|\[Sheet: [^\]]*\]|<Document-Metadata>.*?</Document-Metadata>|(?m:(?:^\|.*\|[ ]*(?:\n|\Z)){2,})")
+TABLE_TAG = re.compile(r"(?i)<table[^>]*>|</table>")
 PAGE = re.compile(r"\[(?:Page|Slide) Number: (\d+)[^\]]*\]")
 CHUNKS = "chunk_index int, text string, page_number int, line_start int, line_end int, global_start int, global_end int"
 
@@ -58,7 +59,19 @@ def stripped(text: str, a: int, b: int) -> tuple[int, int]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in PROTECTED.finditer(text)]
+    """Ranges of protected regions in order; a table ends where its own closing tag is, whatever tables it holds."""
+    out, at = [], 0
+    while m := PROTECTED.search(text, at):
+        at = m.end()
+        if m[0][:6].lower() == "<table":
+            depth = 0
+            for t in TABLE_TAG.finditer(text, m.start()):
+                depth += -1 if t[0][1] == "/" else 1
+                if not depth:
+                    at = t.end()
+                    break
+        out.append((m.start(), at))
+    return out
 
 
 def protected_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
@@ -153,18 +166,21 @@ def fixed_windows(docs: DataFrame, size: int = 1000, overlap: int = 200) -> Data
 def pack_rows(rows: DataFrame, keys: list[str], order: list[str], text: str, budget: int) -> DataFrame:
     """Greedy packing of table rows, in order, into chunks of at most `budget` characters (a longer row stands alone).
 
-    Adds chunk to (keys, order, text); one fold over each table's row lengths, so a table is one group.
+    Adds chunk to (keys, order, text); one fold over each table's row lengths, so a table is one group. The fold keeps
+    only where chunks begin.
     """
     items = F.array_sort(F.collect_list(F.struct(*order, F.length(text).alias("_n"))))
     tables = rows.groupBy(*keys).agg(items.alias("_items"))
-    begin = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
+    begin = F.struct(F.lit(0).alias("i"), F.lit(0).alias("used"), F.array(F.lit(0)).alias("breaks"))
 
     def step(s: Column, x: Column) -> Column:
         need = x["_n"] + 1
         fresh = (s["used"] > 0) & (s["used"] + need > budget)
-        chunk = F.when(fresh, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(fresh, need).otherwise(s["used"] + need).alias("used"), F.concat(s["out"], F.array(chunk)).alias("out"))
-
-    packed = tables.withColumn("_chunks", F.aggregate("_items", begin, step)["out"])
-    each = packed.select(*keys, F.explode(F.arrays_zip("_items", "_chunks")).alias("_x"))
-    return each.select(*keys, *[F.col(f"_x._items.{c}").alias(c) for c in order], F.col("_x._chunks").alias("chunk"))
+        breaks = F.when(fresh, F.concat(s["breaks"], F.array(s["i"]))).otherwise(s["breaks"])
+        return F.struct((s["i"] + 1).alias("i"), F.when(fresh, need).otherwise(s["used"] + need).alias("used"), breaks.alias("breaks"))
+
+    packed = tables.withColumn("_breaks", F.aggregate("_items", begin, step)["breaks"])
+    each = packed.select(*keys, "_items", "_breaks", F.posexplode("_breaks").alias("chunk", "_from"))
+    end = F.coalesce(F.get("_breaks", F.col("chunk") + 1), F.size("_items"))
+    parts = each.select(*keys, "chunk", F.explode(F.slice("_items", F.col("_from") + 1, end - F.col("_from"))).alias("_x"))
+    return parts.select(*keys, *[F.col(f"_x.{c}").alias(c) for c in order], "chunk")

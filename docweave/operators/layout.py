@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, start, length) for each line of each text, counted from line 1 and position 0."""
-    lines = F.transform(F.split("text", "\n", -1), F.length)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
-    step = lambda s, n: F.struct((s["at"] + n + 1).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), n.alias("length")))).alias("out"))
-    each = docs.where("text is not null").select("doc_id", F.posexplode(F.aggregate(lines, begin, step)["out"]).alias("i", "x"))
-    return each.select("doc_id", (F.col("i") + 1).alias("line"), "x.start", "x.length")
+    """(doc_id, line, start, length) for each line of each text, counted from line 1 and position 0; only lengths are shuffled.
+
+    Repeated doc_ids stay apart. Null texts have no lines, empty ones have one.
+    """
+    rows = docs.where("text is not null").select("doc_id", F.monotonically_increasing_id().alias("_row"), F.transform(F.split("text", "\n", -1), F.length).alias("n"))
+    each = rows.select("doc_id", "_row", F.posexplode("n").alias("i", "length"))
+    before = F.sum(F.col("length") + 1).over(Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    return each.select("doc_id", (F.col("i") + 1).alias("line"), F.coalesce(before, F.lit(0)).cast("int").alias("start"), "length")
 
 
 def merged_intervals(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -52,11 +54,25 @@ def overlap_ratio(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.when(area > 0, wide * high / area).otherwise(F.lit(0.0))
 
 
-def best_cells(images: DataFrame, cells: DataFrame, least: float = 0.6) -> DataFrame:
-    """(page, image, cell, ratio): the cell of most overlap of each image, if that is at least `least`."""
+def best_cells(images: DataFrame, cells: DataFrame, least: float = 0.6, keys: list[str] | None = None, tile: float = 50) -> DataFrame:
+    """(keys, image, cell, ratio): the cell of most overlap of each image, if that is at least `least`; ties go to the smaller cell.
+
+    keys: what images and cells must share, such as doc and page. Both are dealt to the tiles they touch, so that the join
+    is on equal keys and tiles however many boxes a page has.
+    """
+    keys = keys or ["page"]
     box = lambda p: {c: F.col(f"{p}.{c}") for c in ("x0", "y0", "x1", "y1")}
-    i, c = images.alias("i"), cells.alias("c")
-    near = (F.col("i.page") == F.col("c.page")) & (F.col("i.x0") < F.col("c.x1")) & (F.col("c.x0") < F.col("i.x1")) & (F.col("i.y0") < F.col("c.y1")) & (F.col("c.y0") < F.col("i.y1"))
-    found = i.join(c, near).select("i.page", "i.image", "c.cell", overlap_ratio(box("i"), box("c")).alias("ratio"))
-    best = found.groupBy("page", "image").agg(F.max(F.struct("ratio", (-F.col("cell")).alias("m"))).alias("x"))
-    return best.select("page", "image", (-F.col("x.m")).alias("cell"), F.col("x.ratio").alias("ratio")).where(F.col("ratio") >= least)
+
+    def tiled(boxes: DataFrame) -> DataFrame:
+        for a in "xy":
+            first, last = (F.floor(F.col(f"{a}{e}") / tile).cast("int") for e in (0, 1))
+            boxes = boxes.withColumn(f"_{a}", F.explode(F.sequence(first, F.greatest(first, last))))
+        return boxes
+
+    i, c = tiled(images).alias("i"), tiled(cells).alias("c")
+    near = (F.col("i.x0") < F.col("c.x1")) & (F.col("c.x0") < F.col("i.x1")) & (F.col("i.y0") < F.col("c.y1")) & (F.col("c.y0") < F.col("i.y1"))
+    for k in (*keys, "_x", "_y"):
+        near &= F.col(f"i.{k}") == F.col(f"c.{k}")
+    found = i.join(c, near).select(*[f"i.{k}" for k in keys], "i.image", "c.cell", overlap_ratio(box("i"), box("c")).alias("ratio"))
+    best = found.groupBy(*keys, "image").agg(F.max(F.struct("ratio", (-F.col("cell")).alias("m"))).alias("x"))
+    return best.select(*keys, "image", (-F.col("x.m")).alias("cell"), F.col("x.ratio").alias("ratio")).where(F.col("ratio") >= least)

@@ -29,6 +29,12 @@ def test_regions_stay_whole():
     assert any(tables in p for p in parts) and any("[Image: a.png]" in p for p in parts)
 
 
+def test_nested_tables_are_one_region():
+    inner = "<table><tr><td>inner</td></tr></table>"
+    text = f"a <table><tr><td>{inner}</td><td>after</td></tr></table> b <TABLE>never closed </table> c <table> open"
+    assert [text[a:b] for a, b in C.regions(text)] == [f"<table><tr><td>{inner}</td><td>after</td></tr></table>", "<TABLE>never closed </table>"]
+
+
 def test_rows_positions_and_pages():
     text = "[Page Number: 1]\n" + "one two\n" * 20 + "[Page Number: 2]\n" + "three\n" * 30
     for i, part, page, first, last, a, b in C.chunk_rows(text, 100, 10):
