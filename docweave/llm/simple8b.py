@@ -1,9 +1,9 @@
 """Token ids in Simple-8b: 64-bit words whose upper four bits select how many ids of how many bits the rest holds.
 
-Documents are encoded and packed where they are read, each from a word of its own on, so only packed words are dealt
-out by doc_id. A file row is a block of whole documents in ascending doc_id order: first place, ids and words of each
-document, the packed words and the escaped ids. Blocks lie in shards of ascending doc_id ranges; every block decodes
-by itself, and by the counts of words so does every document in it.
+A file row is a block of whole documents in ascending doc_id order: first place, ids and words of each document, the
+packed words and the escaped ids. No word crosses documents. Blocks lie in shards of ascending doc_id ranges; every
+block decodes by itself, and by the counts of words so does every document in it. Texts are dealt out before they are
+encoded: here packed ids take as many bytes as the text, and encoding first would have to be written once more.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, slices, text_buffer, written
+from .common import slices, text_buffer, written
 from .tokens import SLICE, words
 
 #: Ids and bits by selector 0 to 13; selectors 0 and 1 stand for runs of zero.
@@ -82,42 +82,38 @@ def _cells(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((8 * at).astype(np.int64)), pa.py_buffer(values.astype("<u8"))]).cast(pa.binary())
 
 
-def _encode(path: str, end_id: int):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = words(path)
-        for batch in slices(batches, "text", SLICE):
-            ids, at = encoder.batch(batch.column(2), end_id)
-            values, escapes, value_at, escape_at = packed(ids, at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at)), _cells(values, value_at), _cells(escapes, escape_at)], names=["doc_id", "tie", "count", "words", "escapes"])
-
-    return encode
+def _blocks(path: str, end_id: int):
+    """Texts in order to blocks of BLOCK_IDS ids or a little more."""
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = words(path)
+        held: list[pa.RecordBatch] = []
+        start = number = size = 0
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents in order to blocks of BLOCK_IDS ids or a little more."""
-    held: list[pa.RecordBatch] = []
-    start = number = size = 0
+        def block() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            column = lambda c: rows.column(c).combine_chunks()
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            (data, at), (escapes, _) = text_buffer(column("words")), text_buffer(column("escapes"))
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([start]), pa.array([size], pa.int64()), one(column("doc_id")), one(column("count")), one(pa.array(np.diff(at) // 8)), pa.array([data.tobytes()], pa.binary()), pa.array([escapes.tobytes()], pa.binary())], names=["block", "shard_start", "n_ids", "doc_ids", "counts", "spots", "words", "escapes"])
 
-    def block() -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        ids, counts = rows.column("doc_id").combine_chunks(), rows.column("count").combine_chunks()
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        data = [text_buffer(rows.column(c).combine_chunks())[0].tobytes() for c in ("words", "escapes")]
-        spots = pa.array(np.diff(text_buffer(rows.column("words").combine_chunks())[1]) // 8)
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([start]), pa.array([size], pa.int64()), one(ids), one(counts), one(spots), pa.array([data[0]], pa.binary()), pa.array([data[1]], pa.binary())], names=["block", "shard_start", "n_ids", "doc_ids", "counts", "spots", "words", "escapes"])
+        for batch in slices(batches, "text", SLICE):
+            ids, at = encoder.batch(batch.column(1), end_id)
+            values, escapes, value_at, escape_at = packed(ids, at)
+            docs = pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), _cells(values, value_at), _cells(escapes, escape_at)], names=["doc_id", "count", "words", "escapes"])
+            while docs.num_rows:
+                sums = np.cumsum(docs.column(1).to_numpy())
+                n = min(docs.num_rows, int(np.searchsorted(sums, BLOCK_IDS - size)) + 1)
+                held.append(docs.slice(0, n))
+                size += int(sums[n - 1])
+                docs = docs.slice(n)
+                if size >= BLOCK_IDS:
+                    yield block()
+                    held, start, number, size = [], start + size, number + 1, 0
+        if held:
+            yield block()
 
-    for batch in batches:
-        while batch.num_rows:
-            sums = np.cumsum(batch.column(2).to_numpy())
-            n = min(batch.num_rows, int(np.searchsorted(sums, BLOCK_IDS - size)) + 1)
-            held.append(batch.slice(0, n))
-            size += int(sums[n - 1])
-            batch = batch.slice(n)
-            if size >= BLOCK_IDS:
-                yield block()
-                held, start, number, size = [], start + size, number + 1, 0
-    if held:
-        yield block()
+    return blocks
 
 
 BLOCK_SCHEMA = "block long, shard_start long, n_ids long, doc_ids array<long>, counts array<long>, spots array<long>, words binary, escapes binary"
@@ -126,15 +122,12 @@ BLOCK_SCHEMA = "block long, shard_start long, n_ids long, doc_ids array<long>, c
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Encode docs (doc_id, text; other columns are ignored), write the file and return its blocks as read back.
 
-    Null texts are empty, each document ends with end_id, null doc_ids come first, rows that tie are ordered by a hash
-    of the text; repeated rows are written each, an empty table gives no blocks. counts are ids, spots words of each document.
+    Null texts are empty, each document ends with end_id, null doc_ids come first, rows that tie are ordered by text;
+    repeated rows are written each, an empty table gives no blocks. counts are ids, spots words of each document.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
-    encoded = written(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, tie long, count long, words binary, escapes binary"))
-    dealt = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    blocks = written(dealt.mapInArrow(_blocks, BLOCK_SCHEMA).withColumn("shard", F.spark_partition_id()))
-    dropped(encoded)
-    return blocks
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    return written(dealt.mapInArrow(_blocks(tokenizer, end_id), BLOCK_SCHEMA).withColumn("shard", F.spark_partition_id()))
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

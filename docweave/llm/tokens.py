@@ -42,6 +42,9 @@ def shape(path: str) -> str | None:
     return "spaced" if plain and parts == SPACED else "spaceless" if plain and parts == SPACELESS else None
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(40)]
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -93,7 +96,7 @@ class Words(dict):
                 if low != word:
                     return self[low]
                 tokens = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
-            return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            return _PACK[len(tokens)](*[t.id for t in tokens]) if len(tokens) < len(_PACK) else struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         if "\n" in word:
             lines = word.split("\n")
             if all(x.split() == [x] for x in lines):
@@ -109,16 +112,15 @@ class Words(dict):
             return self.encoded(text)
         get = self.__getitem__
         if not self.spaced:
-            return b"".join([get(x) for x in text.replace("\n", " ").split(" ") if x])
-        if "  " in text or text[0] == " " or text[-1] == " ":
+            return b"".join(map(get, filter(None, text.replace("\n", " ").split(" "))))
+        if "  " in text or text[0] == " " or text[-1] == " " or "\0" in text:
             return self.encoded(text)  # the patterns look further than a word there
-        first, *rest = text.split(" ")
-        return get(first) + b"".join([get(" " + x) for x in rest])
+        return b"".join(map(get, text.replace(" ", "\0 ").split("\0")))
 
     def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts (null: empty), `end` after each, and the n + 1 places where each text's ids begin."""
         last = struct.pack("<I", end)
-        table = [self.ids(t.as_py()) + last for t in texts]
+        table = [self.ids(t) + last for t in texts.to_pylist()]
         return np.frombuffer(b"".join(table), "<u4"), np.cumsum([0, *(len(t) // 4 for t in table)])
 
 
