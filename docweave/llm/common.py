@@ -12,8 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Tasks over which the edges of one node are spread.
-SALTS = 64
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What Python workers remember from task to task, by module.
 REMEMBERED: list[dict] = []
@@ -122,36 +120,30 @@ def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFr
     return out.drop("_sum_range", *[f"_sum_{n}" for n in sums])
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """(u, s, m, far): the least and the largest v of each u, in a row for each of u's salts s; pairs are (u, v, s)."""
-    each, of_u = pairs.groupBy("u", "s").agg(F.min("v").alias("m"), F.max("v").alias("far")), Window.partitionBy("u")
-    return each.select("u", "s", F.min("m").over(of_u).alias("m"), F.max("far").over(of_u).alias("far"))
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of the edges reaches.
 
-    Rounds of large-star and small-star over the edge table, each written. A node's edges are spread over SALTS tasks:
-    its least neighbour is found for each salt first, then among at most SALTS rows, and joined back by node and salt.
-    The rounds end when all edges lead to the roots of stars.
+    Rounds of large-star and small-star over the edge table, each written. A node's edges meet in one task of the joins
+    with its least neighbour, which Spark can't split there; they are rows of two ids.
     """
-    salted = lambda pairs: pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     links = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = None
     while True:
-        ways = salted(links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        least = _least(ways).where("far > u").select("u", "s", F.least("u", "m").alias("m"))
-        big = ways.where("v > u").join(least.hint("merge"), ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        ways = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        big = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         big = written(big.where("u <> v").distinct())
-        dropped(links)
-        ways = salted(big)
-        small = ways.join(_least(ways).select("u", "s", "m").hint("merge"), ["u", "s"]).select("u", "v", "m")
+        least = big.groupBy("u").agg(F.min("v").alias("m"))
+        small = big.join(least, "u").select("u", "v", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        links = written(small.where("u <> v").distinct())
+        new = written(small.where("u <> v").distinct())
+        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        old, links = links, new
+        dropped(old)
         dropped(big)
-        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(links.select("v", F.lit(0), F.lit(1)))
-        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
-        if ends.where("up > 1 or up = 1 and root = 1").isEmpty():
+        if now == mark:
             break
+        mark = now
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -277,13 +277,13 @@ def row_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     family = _families(rows, n, percent).withColumnRenamed("component", "family")
     one = nodes.where("node is not null").groupBy("node", "twin").agg(F.min(F.struct("i", "k")).alias("at"), F.max("n_shingles").alias("n"))
     member = written(one.join(family, "node").select("at.i", "at.k", set_id.alias("id"), "family", "n"))
-    tiles = written(member.groupBy("family").agg(F.ceil(F.sum("n") * 8 / FAMILY_BYTES).cast("int").alias("tiles")))
+    tiles = member.groupBy("family").agg(F.ceil(F.sum("n") * 8 / FAMILY_BYTES).cast("int").alias("tiles"))
     sets = rows.join(member.hint("merge"), ["i", "k"]).select("id", "family", "text").mapInArrow(_sets(n), "id binary, family long, items binary")
     dealt = sets.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     dealt = dealt.select("family", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "id", "items", "tile")
     dealt = dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
-    component = written(components(dealt.mapInArrow(_verify(percent), "a binary, b binary")).withColumnRenamed("node", "id"))
+    component = components(dealt.mapInArrow(_verify(percent), "a binary, b binary")).withColumnRenamed("node", "id")
     named = nodes.select("doc_id", "i", "k", "n_shingles", F.when(F.col("node").isNotNull(), set_id).alias("id"))
     return named.join(component, "id", "left").select("doc_id", "i", "k", "n_shingles", F.coalesce("component", "id").alias("component"))
 
@@ -296,5 +296,5 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     part in links and is nobody's smallest; an empty table gives no rows.
     """
     named = written(row_components(docs, n, percent))
-    least = written(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")))
-    return named.join(least.hint("merge"), "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return named.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
