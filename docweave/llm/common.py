@@ -120,29 +120,43 @@ def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFr
     return out.drop("_sum_range", *[f"_sum_{n}" for n in sums])
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node each reaches) for the edges a[i], b[i], without nodes that are the smallest themselves."""
+    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = back[: len(a)], back[len(a) :], np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    found = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[found], nodes[label[found]]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of the edges reaches.
 
-    Rounds of large-star and small-star over the edge table, each written, until every node has one edge to a node that
-    has none to a smaller one. A node's edges meet in one task of the joins with its least neighbour, which Spark can't
-    split there; they are rows of two ids.
+    Rounds of large-star and small-star over edges (u, v), u > v, until each u has one edge, to a node that has none to a
+    smaller one. Large-star looks at v's least neighbour in a written table, so that Spark can split the join at a v of
+    many edges; small-star sorts the edges of each u.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     links = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
-        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("down")).union(links.select("v", F.lit(0)))
-        ends = ends.groupBy("node").agg(F.sum("down").alias("down"), F.count("*").alias("all"))
-        if not ends.where("down > 1 or (down = 1 and all > 1)").agg(F.count("*")).first()[0]:
+        least = written(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"), F.count("*").alias("down")))
+        jumped = links.join(least.select("node", "m"), F.col("v") == F.col("node"), "left")
+        big = written(jumped.select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved")))
+        ended = least.where("down > 1").isEmpty() and big.where("moved").isEmpty()
+        dropped(least)
+        if ended:
+            dropped(big)
             break
-        ways = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        big = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = written(big.where("u <> v").distinct())
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(least, "u").select("u", "v", "m")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        new = written(small.where("u <> v").distinct())
-        old, links = links, new
+        small = big.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
+        small = small.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+        old, links = links, written(small.where("u <> v").distinct())
         dropped(old)
         dropped(big)
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

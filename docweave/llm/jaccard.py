@@ -8,14 +8,15 @@ Texts become sets of shingle hashes; texts of equal sets are one node. Nodes tha
    class of sizes, the cells and the sum of their hashes, deduplicated in a task before the shuffle) are of one family.
    Each set leaves out pairs of cells of fewer elements than it has in all pairs of its D / 2 fullest parts: the set of
    the higher limit still shares what it gives. Sets of few elements have parts of one cell, of which over D are taken.
-   Families are components over pairs of a mark's least node and the others, so linear in their size.
+   Families are components over pairs of a mark's least node and the others, so linear in their size; a task first
+   connects blocks of its pairs.
 2. Count-vector R-tree. In a family, elements are dealt by hash to DIMS groups; the group counts are a set's point.
    The points are split at the median of their widest dimension into leaves, and FAN neighbours make a node of the
    next level up. The tree is joined with itself from the root down: the sum of coordinate minima bounds the overlap of
    two boxes, and pairs of nodes that can't reach the similarity go with all below them. What passes among the sets is
    verified on the whole sets, except pairs that links already connect.
    A family of over FAMILY_BYTES is dealt to tiles, and every pair of tiles is a task, so no task is unbounded.
-3. Components over the links found. Sets are told apart by 128 bits there and in the result; 64 bits, which suffice to
+3. Components over the links found, which a task gives as one star for each component of its family. Sets are told apart by 128 bits there and in the result; 64 bits, which suffice to
    propose candidates, name them in the families.
 """
 
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, row_key, slices, text_buffer, written
+from .common import components, forget, row_key, slices, stars, text_buffer, written
 from .decontaminate import _mixed, gram_hashes, word_hashes
 
 DIMS, LEAF, FAN, FAMILY_BYTES = 32, 32, 8, 16 << 20
 #: Pairs of tree nodes looked at together.
 PAIRS = 1 << 15
+#: Edges that a task connects at once.
+EDGES = 1 << 20
 #: Sets that may differ in so many elements have parts of three cells.
 TRIPLES = 8
 _SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
@@ -130,8 +133,15 @@ def _marks(n: int, percent: int):
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (mark, node) ordered by both to pairs of each node with its mark's first."""
-    mark, lead = None, 0
+    """Rows (mark, node) ordered by both to pairs that connect each mark's nodes: of a block of rows, each node with the
+    least that it reaches."""
+    mark, lead, held, size = None, 0, [], 0
+
+    def solve() -> pa.RecordBatch:
+        pairs = np.concatenate(held)
+        node, least = stars(pairs[:, 0], pairs[:, 1])
+        return pa.RecordBatch.from_arrays([pa.array(least), pa.array(node)], names=["a", "b"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -141,8 +151,13 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leads = np.where(at >= 0, nodes[at], lead)
         mark, lead = marks[-1], leads[-1]
         differ = np.flatnonzero(nodes != leads)
-        pairs = np.unique(np.stack([leads[differ], nodes[differ]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        held.append(np.unique(np.stack([leads[differ], nodes[differ]], 1), axis=0))
+        size += len(held[-1])
+        if size >= EDGES:
+            yield solve()
+            held, size = [], 0
+    if size:
+        yield solve()
 
 
 def _sets(n: int):
@@ -237,12 +252,13 @@ def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
 
 def _verify(percent: int):
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        rows = list({r[3]: r for r in held}.values())
+        rows = sorted({r[3]: r for r in held}.values(), key=lambda r: r[3])
         tiles = np.array([r[5] for r in rows])
         side = tiles if rows and rows[0][1] != rows[0][2] else None
         ids = [r[3] for r in rows]
         pairs = linked([np.frombuffer(r[4], np.uint64) for r in rows], percent, side) if len(rows) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.binary()), pa.array([ids[j] for _, j in pairs], pa.binary())], names=["a", "b"])
+        node, least = stars(*np.array(pairs, np.int64).reshape(-1, 2).T)
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in least], pa.binary()), pa.array([ids[j] for j in node], pa.binary())], names=["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []

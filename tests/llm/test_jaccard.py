@@ -89,3 +89,38 @@ def test_tree_gives_every_pair_its_bound_allows(monkeypatch):
         got = {tuple(sorted((int(tree.order[a]), int(tree.order[b])))) for i, j in tree.pairs(80) for a, b in zip(i, j)}
         want = {(a, b) for a in range(n) for b in range(a + 1, n) if 180 * np.minimum(points[a], points[b]).sum() >= 80 * (size[a] + size[b])}
         assert got == want
+
+
+def smallest(edges):
+    found = {x: x for e in edges for x in e}
+    while True:
+        new = dict(found)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == found:
+            return found
+        found = new
+
+
+def graphs():
+    rnd = random.Random(4)
+    path = list(range(70))
+    rnd.shuffle(path)
+    return {
+        "empty": [],
+        "loops": [(3, 3)],
+        "star": [(0, i) for i in range(1, 40)] + [(i, 0) for i in range(1, 40)],
+        "high star": [(100, i) for i in range(40)],
+        "path": list(zip(path, path[1:])),
+        "negative": [(-5, 4), (4, 9), (9, -7), (1, 2)],
+        "random": [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)],
+    }
+
+
+@pytest.mark.parametrize("name", graphs())
+def test_components_of_graphs(spark, name):
+    edges = [e for e in graphs()[name] if e[0] != e[1]]
+    a, b = np.array(graphs()[name], np.int64).reshape(-1, 2).T
+    assert dict(zip(*[x.tolist() for x in J.stars(a, b)])) == {x: y for x, y in smallest(edges).items() if x != y}
+    found = J.components(spark.createDataFrame(graphs()[name], "a long, b long").repartition(3)).collect()
+    assert sorted(map(tuple, found)) == sorted(smallest(edges).items())
