@@ -14,10 +14,12 @@ both sides, so a shared span of GRAM + WINDOW - 1 = 13 words always shares a kep
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,21 +30,17 @@ WINDOW = SPAN - GRAM + 1
 #: Size of the bitmap; a larger benchmark only lets more through to the join.
 BITS = 1 << 25
 
-_rng = np.random.default_rng(7)
-_TABLE = _rng.integers(0, 2**64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15
 _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_power: dict[str, np.ndarray] = {}
+#: Words of more bytes are hashed one by one by xxh3.
+LONG = 64
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_power.get("up", ())) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, b in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            _power[k] = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(b))])
-    return _power["up"], _power["down"]
+@functools.cache
+def _factors(k: int, seed: int = 0) -> np.ndarray:
+    """Odd random factors of a gram's places."""
+    return np.random.default_rng([7, seed]).integers(0, 2**64, k, np.uint64) | np.uint64(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -51,8 +49,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, letters: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts data[at[i]:at[i+1]], and the n + 1 places where each text's words begin."""
+def word_places(data: np.ndarray, at: np.ndarray, letters: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words of the texts data[at[i]:at[i+1]], and the n + 1 places where each text's words begin."""
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = letters[data]
     edge = np.diff(inside.astype(np.int8))
@@ -60,18 +58,46 @@ def word_hashes(data: np.ndarray, at: np.ndarray, letters: np.ndarray = _WORD) -
     cuts = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))]
     cuts = np.unique(cuts[inside[cuts] & inside[cuts + 1]])  # words don't cross texts
     starts, ends = np.sort(np.r_[starts, cuts]), np.sort(np.r_[ends, cuts])
-    up, down = _powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[_LOWER[data]] * up[: len(data)])])
-    hashes = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, at)
+    return starts, ends, np.searchsorted(starts, at)
+
+
+def hashes_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte strings data[starts[i]:ends[i]], A-Z lower-cased: eight bytes after eight are mixed into
+    the state, so no arrangement of the letters cancels out, whatever its length; long words go to xxh3."""
+    low = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))
+    size = ends - starts
+    state = _mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _factors(1, seed))
+    which = np.flatnonzero(size <= LONG)
+    done = 0
+    while len(which):
+        left = np.minimum(size[which] - done, 8)
+        part = eight[starts[which] + done] & (np.uint64(2**64 - 1) >> ((8 - left).astype(np.uint64) * np.uint64(8)))
+        state[which] = _mixed(_mixed(state[which] + part) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(done + 1))
+        done += 8
+        which = which[size[which] > done]
+    text = memoryview(low)
+    for i in np.flatnonzero(size > LONG).tolist():
+        state[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]], seed)
+    return state
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, letters: np.ndarray = _WORD, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts data[at[i]:at[i+1]], and the n + 1 places where each text's words begin."""
+    starts, ends, begin = word_places(data, at, letters)
+    return hashes_at(data, starts, ends, seed), begin
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    if len(words) < k:
+def gram_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all k consecutive words: their sum by a random odd factor for each place."""
+    n = len(words) - k + 1
+    if n < 1:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(words) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
-    return _mixed((sums[k:] - sums[:-k]) * down[: len(words) - k + 1])
+    factors = _factors(k, seed)
+    total = words[:n] * factors[0]
+    for i in range(1, k):
+        total += words[i : i + n] * factors[i]
+    return _mixed(total)
 
 
 def winnowed(grams: np.ndarray) -> np.ndarray:
@@ -134,12 +160,11 @@ def _document_prints(shared, short: list[int]):
             inside = kept + GRAM <= begin[of + 1]
             kept, of = kept[inside], of[inside]
             if len(kept):
-                spans = gram_hashes(words, SPAN)
                 around = kept[:, None] - np.arange(WINDOW)
                 good = (around >= begin[of][:, None]) & (around + SPAN <= begin[of + 1][:, None])
                 which = np.nonzero(good)[0]
                 around = around[good]
-                add(SPAN, around, of[which], grams[kept][which], spans[around])
+                add(SPAN, around, of[which], grams[kept][which], gram_hashes(words, SPAN)[around])
             for k in short:
                 grams_k = gram_hashes(words, k)
                 places = np.flatnonzero(known(grams_k))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, forget, row_key, slices, stars, text_buffer, written
-from .decontaminate import _mixed, gram_hashes, word_hashes
+from .decontaminate import _mixed, gram_hashes, hashes_at, word_hashes, word_places
 
 DIMS, LEAF, FAN, FAMILY_BYTES = 32, 32, 8, 16 << 20
 #: Pairs of tree nodes looked at together.
@@ -53,16 +53,26 @@ def _bounds() -> list[int]:
 BOUNDS = _bounds()
 
 
-def sets_of(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
-    """Each text's sorted distinct shingles of n words; of fewer words, the whole sequence is one."""
-    words, begin = word_hashes(data, at, _SPACE)
-    grams = gram_hashes(words, n)
+def shingled(words: np.ndarray, begin: np.ndarray, n: int, seed: int = 0) -> list[np.ndarray]:
+    grams = gram_hashes(words, n, seed)
     out = []
     for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-        out.append(np.unique(grams[a : b - n + 1]) if b - a >= n else gram_hashes(words[a:b], b - a) if b > a else grams[:0])
+        out.append(np.unique(grams[a : b - n + 1]) if b - a >= n else gram_hashes(words[a:b], b - a, seed) if b > a else grams[:0])
     return out
 
 
+def sets_of(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
+    """Each text's sorted distinct shingles of n words; of fewer words, the whole sequence is one."""
+    return shingled(*word_hashes(data, at, _SPACE), n)
+
+
+def named_sets(data: np.ndarray, at: np.ndarray, n: int) -> list[tuple[np.ndarray, int, int]]:
+    """sets_of() and two 64-bit names of each set, by words and shingles hashed with two seeds (0 for the empty set)."""
+    starts, ends, begin = word_places(data, at, _SPACE)
+    first, other = (shingled(hashes_at(data, starts, ends, seed), begin, n, seed) for seed in (0, 1))
+    return [(x, node_of(x), node_of(y)) for x, y in zip(first, other, strict=True)]
+
+
 def signatures(items: np.ndarray, percent: int) -> np.ndarray:
     """What a set shares at least one of with each set of similarity percent / 100 or more."""
     size, found = len(items), []
@@ -92,21 +102,18 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def node_of(items: np.ndarray) -> tuple[int, int] | None:
-    """Two independent 64-bit hashes that stand for a set; none for the empty one."""
-    if not len(items):
-        return None
-    sums = np.array([_mixed(items).sum(), _mixed(items ^ np.uint64(0xA0761D6478BD642F)).sum()], np.uint64) + np.uint64(len(items))
-    return tuple(_mixed(sums).view(np.int64).tolist())
+def node_of(items: np.ndarray) -> int:
+    """A 64-bit hash that stands for a set; 0 for the empty one."""
+    return int(_mixed(_mixed(items).sum(keepdims=True) + np.uint64(len(items))).view(np.int64)[0]) if len(items) else 0
 
 
 def _nodes(n: int):
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in slices(batches, "text"):
-            sets = sets_of(*text_buffer(batch.column(3)), n)
-            ids = [node_of(s) or (None, None) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([x for x, _ in ids], pa.int64()), pa.array([y for _, y in ids], pa.int64()), pa.array(map(len, sets), pa.int64())], names=["doc_id", "i", "k", "node", "twin", "n_shingles"])
+            sets = named_sets(*text_buffer(batch.column(3)), n)
+            node, twin = (pa.array([s[i] if len(s[0]) else None for s in sets], pa.int64()) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), node, twin, pa.array([len(s[0]) for s in sets], pa.int64())], names=["doc_id", "i", "k", "node", "twin", "n_shingles"])
 
     return nodes
 
@@ -121,7 +128,7 @@ def _marks(n: int, percent: int):
             if not sets:
                 continue
             each = [signatures(s, percent) for s in sets.values()]
-            of = np.repeat(np.array([node for node, _ in sets], np.int64), [len(x) for x in each])
+            of = np.repeat(np.array(list(sets), np.int64), [len(x) for x in each])
             mark, lead, back = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
             first = of[lead][back]
             pairs = np.unique(np.stack([first, of], 1)[first != of], axis=0)

@@ -27,15 +27,15 @@ from .common import dropped, forget, row_key, slices, text_buffer, written
 RUN, SHALLOW, HOT, BLOCK, CHUNK = 256, 16, 2048, 1 << 20, 1 << 20
 
 _rng = np.random.default_rng(20240229)
-_TABLES = _rng.integers(0, 2**64, (2, 256), np.uint64)
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+_TABLE = _rng.integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Powers of both bases and of their inverses modulo 2**64."""
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64. Grams that collide only make starts candidates of each other."""
     if n not in _powers:
-        _powers[n] = [tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(x))]) for x in (b, pow(b, -1, 2**64))) for b in _BASES]
+        _powers[n] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(x))]) for x in (_BASE, pow(_BASE, -1, 2**64)))
     return _powers[n]
 
 
@@ -56,8 +56,8 @@ def runs_of(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
         if len(part) < length:
             break
         powers = _power(CHUNK + length)
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(t[part] * p[: len(part)])]) for t, (p, _) in zip(_TABLES, powers, strict=True)]
-        grams = _mixed((sums[0][gram:] - sums[0][:-gram]) * powers[0][1][: len(part) - gram + 1])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[part] * powers[0][: len(part)])])
+        grams = _mixed((sums[gram:] - sums[:-gram]) * powers[1][: len(part) - gram + 1])
         least, step = grams, 1
         while step * 2 <= width:
             least, step = np.minimum(least[:-step], least[step:]), step * 2
@@ -79,7 +79,8 @@ def runs_of(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
         begin = np.repeat(p[head], parts) + RUN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         count = np.minimum(RUN, np.repeat(p[head] + size, parts) - begin)
         stop = begin + count - 1 + length
-        whole = [(s[stop] - s[begin]) * inv[begin] for s, (_, inv) in zip(sums, powers, strict=True)]
+        text = memoryview(np.ascontiguousarray(part))
+        whole = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)), np.uint64, len(begin))
         # A run can only repeat inside itself if its text has a short period, and then so has some probed gram.
         space = max(1, width // 2)
         probe = grams[::space]
@@ -90,7 +91,7 @@ def runs_of(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
         odd = np.flatnonzero(near) * space
         i = np.searchsorted(odd, begin - RUN - length)
         periodic = (i < len(odd)) & (odd[np.minimum(i, max(0, len(odd) - 1))] < stop) if len(odd) else np.zeros(len(begin), bool)
-        found.append((least[begin], _mixed(whole[0] ^ _mixed(whole[1])), begin + c, count, periodic))
+        found.append((least[begin], whole, begin + c, count, periodic))
     if not found:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, bool))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
