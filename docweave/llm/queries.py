@@ -14,6 +14,7 @@ from .secrets import named, secrets
 from .sharding import documents, minimax_shards
 from .simple8b import read_tokens, write_tokens
 from .suffix_dedup import suffix_dedup
+from .token_counts import token_counts
 from .topk import quantized, top_k
 from .url_rules import judge
 
@@ -109,6 +110,14 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_secrets_rows(table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts_rows(docs: DataFrame) -> DataFrame:
+    return token_counts(docs, tokenizer("byte_bpe_50k.json"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_token_counts_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_topk": op2_topk,
@@ -120,6 +129,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_jaccard": op9_jaccard,
     "op10_packing": op10_packing,
+    "op12_token_counts": op12_token_counts,
 }
 
 ORACLE_SQL = {
