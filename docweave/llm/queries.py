@@ -16,6 +16,7 @@ from .simple8b import read_tokens, write_tokens
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .topk import quantized, top_k
+from .trie import ordered, prefix_trie, rebuilt
 from .url_rules import judge
 
 
@@ -118,6 +119,17 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_token_counts_rows(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie_rows(conversations: DataFrame, bits: int = 61) -> DataFrame:
+    conv = F.col("conv").cast("long")
+    rows = ordered(conversations, bits)
+    convs, turns = rebuilt(rows, conv - conv % 100, F.crc32(conv.cast("string")) % 6, 5)
+    return prefix_trie(convs, turns, rows)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_prefix_trie_rows(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_topk": op2_topk,
@@ -130,6 +142,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_packing": op10_packing,
     "op12_token_counts": op12_token_counts,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
