@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .jaccard import jaccard_components
 from .language import held_out, identify, learn
 from .packing import pack_documents
+from .phrases import collocations
 from .secrets import named, secrets
 from .sharding import documents, minimax_shards
 from .simple8b import read_tokens, write_tokens
@@ -111,6 +112,14 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_secrets_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations_rows(docs: DataFrame) -> DataFrame:
+    return collocations(docs)
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_collocations_rows(table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts_rows(docs: DataFrame) -> DataFrame:
     return token_counts(docs, tokenizer("byte_bpe_50k.json"))
 
@@ -141,11 +150,78 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_jaccard": op9_jaccard,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
     "op12_token_counts": op12_token_counts,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
+    "op11_collocations": """
+with t as (
+  select coalesce(lang, 'und') as lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents where text is not null
+), p as (
+  select lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) as piece from t
+), w as (
+  select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p
+), g as (
+  select lang, m.m as words, w[i.i : i.i + m.m - 1] as phrase
+  from w, unnest(range(1, 5)) as m(m), unnest(range(1, cast(len(w) as bigint) - m.m + 2)) as i(i)
+), f as (
+  select lang, words, phrase, cast(count(*) as bigint) as f from g group by all
+), totals as (
+  select lang, cast(sum(f) as bigint) as n from f where words = 1 group by lang
+), c as (
+  select * from f where words > 1 and f >= 30
+), cuts as (
+  select c.lang, c.phrase, c.words, c.f as a, k.k, x.f as l, y.f as r, (2000000 * cast(c.f as hugeint)) // (cast(x.f as hugeint) + y.f) as score
+  from c, unnest(range(1, 4)) as k(k), f x, f y
+  where k.k < c.words and x.lang = c.lang and y.lang = c.lang and x.phrase = c.phrase[1 : k.k] and y.phrase = c.phrase[k.k + 1 : c.words]
+), best as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inside as (
+  select c.lang, c.phrase[i.i : i.i + m.m - 1] as phrase, max(c.f) as longer
+  from c, unnest(range(2, 4)) as m(m), unnest(range(1, 4)) as i(i) where m.m < c.words and i.i + m.m - 1 <= c.words group by 1, 2
+), kept as (
+  select b.lang, array_to_string(b.phrase, ' ') as phrase, a, l, r, cast(score as bigint) as score from best b
+  left join inside i on i.lang = b.lang and i.phrase = b.phrase where longer is null or 100 * cast(longer as hugeint) < 80 * cast(a as hugeint)
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+""",
+    "op13_prefix_trie": """
+with o as (
+  select cast(conv_id as bigint) as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i,
+    {'r': coalesce(role, ''), 't': coalesce(text, '')} as x
+  from conversations where conv_id is not null
+), own as (
+  select c, list(x order by i) as turns from o group by c
+), shared as (
+  select *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, cast(len(cast(c as varchar)) as bigint) + 1), p ->
+    list_prepend(256 + ascii(substr(cast(c as varchar), cast(p as int), 1)), list_transform(range(8), z -> cast(0 as bigint)))))),
+    (s, b) -> case when b >= 256 then xor(s, b - 256) else xor(s >> 1, (s & 1) * 3988292384) end), 4294967295) % 6 as h from own
+), built as (
+  select s.c, list_concat(case when h > 0 and b.c is not null then b.turns[1 : h] else [] end, case when len(s.turns) > h then s.turns[h + 1 : len(s.turns)] else [] end) as turns
+  from shared s left join own b on b.c = s.c - s.c % 100
+), members as (
+  select c, d.d, coalesce(turns[1 : d.d], []) as path, len(turns) as size from built, unnest(range(0, cast(len(turns) as bigint) + 1)) as d(d)
+), nodes as (
+  select path, d, min(c) as conv_id, count(*) as n, coalesce(string_agg(cast(c as varchar), ',' order by c) filter (where size = d), '') as ends
+  from members group by path, d
+), kids as (
+  select k.*, p.conv_id as parent from nodes k left join nodes p on k.d > 0 and p.d = k.d - 1 and p.path = k.path[1 : k.d - 1]
+), born as (
+  select conv_id, d, cast(0 as bigint) + (select count(*) from kids x where x.d = n.d + 1 and x.parent = n.conv_id) as children,
+    case when d = 0 then 0 else (n - 1) * length(path[d]['t']) end as mine, path, n, ends from nodes n
+), below as (
+  select b.path[1 : a.a] as top, a.a as depth, sum(case when children = 0 then 1 else 0 end) as leaves, sum(mine) as saved
+  from born b, unnest(range(0, b.d + 1)) as a(a) group by 1, 2
+)
+select k.conv_id, cast(k.d as bigint) as depth, k.parent as parent_conv_id, cast(k.n as bigint) as n_convs, cast(b.children as bigint) as n_children,
+  cast(s.leaves as bigint) as n_leaves, cast(s.saved as bigint) as saved_tokens, sha256(k.ends) as ends_sha256
+from kids k join born b on b.conv_id = k.conv_id and b.d = k.d join below s on s.depth = k.d and coalesce(s.top, []) = k.path
+""",
     "op2_topk": """
 with v as (
   select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings
