@@ -165,25 +165,27 @@ with t as (
 ), w as (
   select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p
 ), g as (
-  select lang, m.m as words, w[i.i : i.i + m.m - 1] as phrase
+  select lang, m.m as words, array_to_string(w[i.i : i.i + m.m - 1], ' ') as phrase
   from w, unnest(range(1, 5)) as m(m), unnest(range(1, cast(len(w) as bigint) - m.m + 2)) as i(i)
-), f as (
+), f as materialized (
   select lang, words, phrase, cast(count(*) as bigint) as f from g group by all
 ), totals as (
   select lang, cast(sum(f) as bigint) as n from f where words = 1 group by lang
-), c as (
-  select * from f where words > 1 and f >= 30
+), c as materialized (
+  select *, string_split(phrase, ' ') as w from f where words > 1 and f >= 30
+), parts as materialized (
+  select c.lang, c.phrase, c.f, k.k, array_to_string(w[1 : k.k], ' ') as head, array_to_string(w[k.k + 1 : words], ' ') as rest
+  from c, unnest(range(1, 4)) as k(k) where k.k < c.words
 ), cuts as (
-  select c.lang, c.phrase, c.words, c.f as a, k.k, x.f as l, y.f as r, (2000000 * cast(c.f as hugeint)) // (cast(x.f as hugeint) + y.f) as score
-  from c, unnest(range(1, 4)) as k(k), f x, f y
-  where k.k < c.words and x.lang = c.lang and y.lang = c.lang and x.phrase = c.phrase[1 : k.k] and y.phrase = c.phrase[k.k + 1 : c.words]
+  select p.lang, p.phrase, p.f as a, p.k, x.f as l, y.f as r, (2000000 * cast(p.f as hugeint)) // (cast(x.f as hugeint) + y.f) as score
+  from parts p join f x on x.lang = p.lang and x.phrase = p.head join f y on y.lang = p.lang and y.phrase = p.rest
 ), best as (
   select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
 ), inside as (
-  select c.lang, c.phrase[i.i : i.i + m.m - 1] as phrase, max(c.f) as longer
+  select c.lang, array_to_string(c.w[i.i : i.i + m.m - 1], ' ') as phrase, max(c.f) as longer
   from c, unnest(range(2, 4)) as m(m), unnest(range(1, 4)) as i(i) where m.m < c.words and i.i + m.m - 1 <= c.words group by 1, 2
 ), kept as (
-  select b.lang, array_to_string(b.phrase, ' ') as phrase, a, l, r, cast(score as bigint) as score from best b
+  select b.lang, b.phrase, a, l, r, cast(score as bigint) as score from best b
   left join inside i on i.lang = b.lang and i.phrase = b.phrase where longer is null or 100 * cast(longer as hugeint) < 80 * cast(a as hugeint)
 ), ranked as (
   select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
@@ -198,9 +200,9 @@ with o as (
 ), own as (
   select c, list(x order by i) as turns from o group by c
 ), shared as (
-  select *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, cast(len(cast(c as varchar)) as bigint) + 1), p ->
-    list_prepend(256 + ascii(substr(cast(c as varchar), cast(p as int), 1)), list_transform(range(8), z -> cast(0 as bigint)))))),
-    (s, b) -> case when b >= 256 then xor(s, b - 256) else xor(s >> 1, (s & 1) * 3988292384) end), 4294967295) % 6 as h from own
+  select *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, cast(len(cast(c as varchar)) as bigint) + 1), lambda p:
+    list_prepend(cast(256 + ascii(substr(cast(c as varchar), cast(p as int), 1)) as bigint), list_transform(range(8), lambda z: cast(0 as bigint)))))),
+    lambda s, b: case when b >= 256 then xor(s, b - 256) else xor(s >> 1, (s & 1) * 3988292384) end), 4294967295) % 6 as h from own
 ), built as (
   select s.c, list_concat(case when h > 0 and b.c is not null then b.turns[1 : h] else [] end, case when len(s.turns) > h then s.turns[h + 1 : len(s.turns)] else [] end) as turns
   from shared s left join own b on b.c = s.c - s.c % 100
