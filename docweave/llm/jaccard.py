@@ -123,6 +123,7 @@ def _marks(n: int, percent: int):
     node's marks, a mark of just the two."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, "text"):
             sets = {node_of(s): s for s in sets_of(*text_buffer(batch.column(0)), n) if len(s)}
             if not sets:
@@ -200,27 +201,31 @@ class Tree:
 
     def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of points, i before j, whose bound reaches the similarity, in portions."""
-        open_pairs = [(len(self.low) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        open_pairs = [(len(self.low) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), False)]
         while open_pairs:
-            level, i, j = open_pairs.pop()
-            if len(i) > PAIRS:
-                open_pairs += [(level, i[PAIRS:], j[PAIRS:])]
-                i, j = i[:PAIRS], j[:PAIRS]
-            high, low = self.high[level], self.low[level]
-            bound = np.minimum(high[i], high[j]).sum(1, dtype=np.int64)
-            good = (100 + percent) * bound >= percent * (low[i] + low[j])
-            i, j = i[good], j[good]
-            if not level:
-                if (i < j).any():
-                    yield i, j
-                continue
+            level, i, j, good = open_pairs.pop()
+            if not good:
+                if len(i) > PAIRS:
+                    open_pairs.append((level, i[PAIRS:], j[PAIRS:], False))
+                    i, j = i[:PAIRS], j[:PAIRS]
+                high, low = self.high[level], self.low[level]
+                bound = np.minimum(high[i], high[j]).sum(1, dtype=np.int64)
+                reach = (100 + percent) * bound >= percent * (low[i] + low[j])
+                i, j = i[reach], j[reach]
+                if not level:
+                    if (i < j).any():
+                        yield i, j
+                    continue
+            # So many pairs are opened at once as give PAIRS below them; the others wait as they are.
             fan, n = LEAF if level == 1 else FAN, len(self.low[level - 1])
-            for c in range(0, len(i), max(1, PAIRS // fan**2)):
-                part = slice(c, c + max(1, PAIRS // fan**2))
-                x = (i[part, None] * fan + np.arange(fan)).repeat(fan, 1)
-                y = np.tile(j[part, None] * fan + np.arange(fan), fan)
-                inside = (x < n) & (y < n) & (x < y if level == 1 else x <= y)
-                open_pairs.append((level - 1, x[inside], y[inside]))
+            some = max(1, PAIRS // fan**2)
+            if len(i) > some:
+                open_pairs.append((level, i[some:], j[some:], True))
+                i, j = i[:some], j[:some]
+            x = (i[:, None] * fan + np.arange(fan)).repeat(fan, 1)
+            y = np.tile(j[:, None] * fan + np.arange(fan), fan)
+            inside = (x < n) & (y < n) & (x < y if level == 1 else x <= y)
+            open_pairs.append((level - 1, x[inside], y[inside], False))
 
 
 def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -268,6 +273,7 @@ def _verify(percent: int):
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in least], pa.binary()), pa.array([ids[j] for j in node], pa.binary())], names=["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         key, held = None, []
         for batch in batches:
             for row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
