@@ -308,4 +308,4 @@ def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.chunk_by_kind(rows.select("p_size", head.alias("text")), F.lit("xlsx"), size=500, overlap=0)
 
 
-from . import catalogue_layout  # noqa: E402, F401  it registers its queries here
+from . import catalogue_blocks, catalogue_layout  # noqa: E402, F401  they register their queries here

@@ -34,7 +34,7 @@ _scalar_of_turns("tags_found", lambda: F.array_join(F.concat(K.found_tags(_tagge
 _scalar_of_turns("tags_removed", lambda: K.without_tags(_tagged(), "page"), "bare", f"case turn % 3 when 0 then text else {TURN} end")
 _scalar_of_turns("tags_present", lambda: K.has_tag(_tagged(), "slide"), "present", "turn % 3 = 1")
 _scalar_of_turns("charts_removed", lambda: K.without_tags(F.concat(F.lit("a\n[chart]"), "text", F.lit("[/chart]\nb"), "role"), "chart"), "bare", "'a' || chr(10) || 'b' || role")
-_scalar_of_turns("fields_shown", lambda: K.without_fields(F.concat(F.lit("x\x13PAGE \x13IF\x15\x14"), "role", F.lit("\x15y\x13DATE\x15\x14z"))), "shown", "'x' || role || 'yz'")
+_scalar_of_turns("fields_shown", lambda: K.without_fields(F.concat(F.lit("x\x13PAGE \x13IF\x15\x14"), "role", F.lit("\x15y\x13DATE\x15\x14z\x13REF \x14a\x13IF \x14"), F.col("turn").cast("string"), F.lit("\x13\x15\x15b\x15"))), "shown", "'x' || role || 'yza' || turn || 'b'")
 _scalar_of_turns("markdown_tables", lambda: K.is_markdown_table(F.concat(F.lit("| a |\n"), F.when(F.col("turn") % 2 == 0, F.lit("| --- |\n")).otherwise(F.lit("---\n")), "role")), "is_table", "turn % 2 = 0")
 _scalar_of_turns("chunk_positions", lambda: K.chunk_position(F.when(F.col("turn") % 3 == 0, F.substring("text", 11, 40)).when(F.col("turn") % 3 == 1, F.concat(F.substring(F.split("text", "\n")[0], 1, 200), F.lit("\n#"))).otherwise(F.lit("#nowhere#")), F.concat(F.lit(">"), "text")), "at", "cast(case turn % 3 when 0 then position(substring(text, 11, 40) in '>' || text) - 1 when 1 then case when position(substring(string_split(text, chr(10))[1], 1, 200) || chr(10) || '#' in '>' || text) > 0 then 1 when length(trim(substring(string_split(text, chr(10))[1], 1, 200))) >= 10 then position(trim(substring(string_split(text, chr(10))[1], 1, 200)) in '>' || text) - 1 when length(substring(string_split(text, chr(10))[1], 1, 200)) >= 8 then coalesce(nullif(position(substring(substring(string_split(text, chr(10))[1], 1, 200) || chr(10) || '#', 1, 50) in '>' || text), 0), 0) - 1 else -1 end else -1 end as int)")
 LETTERS = "case when p_partkey < 1 then '' else case when p_partkey > 702 then chr(cast(97 + ((p_partkey - 703) // 676) % 26 as int)) else '' end || case when p_partkey > 26 then chr(cast(97 + ((p_partkey - 27) // 26) % 26 as int)) else '' end || chr(cast(97 + (p_partkey - 1) % 26 as int)) end"

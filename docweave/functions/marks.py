@@ -8,9 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Most levels of nested fields that without_fields() opens.
-NESTED = 50
-
 
 @dataclass(frozen=True)
 class Tags:
@@ -55,10 +52,20 @@ def without_tags(text: Column, kind: str, tags: Tags = Tags()) -> Column:
 
 
 def without_fields(text: Column) -> Column:
-    """Field codes of a document (U+0013 instruction U+0014 shown U+0015) replaced by what they show, inner ones first."""
-    shown, bare = "\x13[^\x13\x15]*?\x14([^\x13\x15]*?)\x15", "\x13[^\x13\x15]*?\x15"
-    passes = F.sequence(F.lit(0), F.least(F.regexp_count(text, F.lit("\x13")), F.lit(NESTED)))
-    opened = F.aggregate(passes, text, lambda t, _: F.regexp_replace(F.regexp_replace(t, shown, "$1"), bare, ""))
+    """Field codes of a document (U+0013 instruction U+0014 shown U+0015) replaced by what they show, inner ones first.
+
+    A field without U+0014 shows nothing; as many passes as the deepest field needs. Marks that close or open nothing go.
+    """
+    shown, bare = "\x13[^\x13\x14\x15]*\x14([^\x13\x15]*)\x15", "\x13[^\x13\x14\x15]*\x15"
+    marks = F.regexp_extract_all(text, F.lit("[\x13\x15]"), F.lit(0))
+    none = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def deeper(s: Column, mark: Column) -> Column:
+        now = F.greatest(F.lit(0), s["open"] + F.when(mark == "\x13", 1).otherwise(-1))
+        return F.struct(now.alias("open"), F.greatest(s["most"], now).alias("most"))
+
+    depth = F.aggregate(marks, none, deeper, lambda s: s["most"])
+    opened = F.aggregate(F.sequence(F.lit(0), depth), text, lambda t, _: F.regexp_replace(F.regexp_replace(t, shown, "$1"), bare, ""))
     return F.translate(opened, "\x13\x14\x15", "")
 
 

@@ -16,7 +16,7 @@ def page_map(docs: DataFrame, chars: int = 1500, lines: int = 1000, tags: Tags =
 
     Types with pages: from each page marker, or if there is none slide marker, to the next; documents of a word
     processor without markers have pages of `chars`. Workbooks: from each sheet marker to the next, a name counting by
-    its first appearance. Other types: `lines` lines a page. A text without such marks is one page; null texts have none.
+    its first appearance. A number too long for an integer is page 0. Other types: `lines` lines a page. A text without such marks is one page; null texts have none.
     doc_id must be unique: sheets are numbered within it.
     """
     ext = F.lower(F.coalesce("ext", F.lit("")))
@@ -31,7 +31,7 @@ def page_map(docs: DataFrame, chars: int = 1500, lines: int = 1000, tags: Tags =
         parts = parts.withColumn("start", F.coalesce(before, F.lit(0))).where(F.col("part").rlike(f"^{pattern}"))
         return parts.select("doc_id", F.regexp_extract("part", f"^{pattern}", 1).alias("name"), "start", (F.col("start") + F.length("part")).alias("end"))
 
-    numbered = [marked(k, p).withColumn("page", F.col("name").cast("int")).drop("name") for k, p in (("page", page), ("slide", slide))]
+    numbered = [marked(k, p).withColumn("page", F.coalesce(F.col("name").try_cast("int"), F.lit(0))).drop("name") for k, p in (("page", page), ("slide", slide))]
     sheets = marked("sheet", sheet).withColumn("name", F.trim("name"))
     first = sheets.withColumn("first", F.min("start").over(Window.partitionBy("doc_id", "name")))
     sheets = first.withColumn("page", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first"))).drop("name", "first")

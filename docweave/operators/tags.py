@@ -71,14 +71,20 @@ def cell_safe(text: Column) -> Column:
 def substituted_tags(docs: DataFrame, recognise: Callable[[Column], Column], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text) with each image tag replaced by `recognise` of its path, flat inside table cells.
 
-    Each distinct path is recognised once for the whole corpus. A path whose result is null keeps its tag. Key must be unique.
+    Each distinct path is recognised once for the whole corpus. A path whose result is null keeps its tag. Rows stay apart by
+    key and a hash of their text; repeated rows count each, a null key is kept, a null text stays null.
     """
-    parts = docs.select(key, F.posexplode(F.split(text, rf"(?={IMAGE})|(?<=\])")).alias("at", "part"))
+    row = [key, "_row", "_text"]
+    named = docs.select(F.col(key), F.xxhash64(text).alias("_row"), F.md5(text).alias("_text"), F.col(text).alias("_whole"))
+    rows = named.groupBy(*row).agg(F.first("_whole").alias("_whole"), F.count("*").alias("_times"))
+    parts = rows.where("_whole is not null").select(*row, "_times", F.posexplode(F.split("_whole", rf"(?={IMAGE})|(?<=\])")).alias("at", "part"))
     depth = F.regexp_count("part", F.lit(r"(?i)<t[dh][\s>]")) - F.regexp_count("part", F.lit(r"(?i)</t[dh]>"))
-    open_cells = F.sum(depth).over(Window.partitionBy(key).orderBy("at"))
+    open_cells = F.sum(depth).over(Window.partitionBy(*row).orderBy("at"))
     parts = parts.withColumn("path", F.regexp_extract("part", rf"^{IMAGE}$", 1)).withColumn("inside", open_cells > 0)
     known = parts.where("path != ''").select("path").distinct().withColumn("found", recognise(F.col("path")))
     both = parts.join(known, "path", "left")
     shown = F.when(F.col("found").isNull(), F.col("part")).when(F.col("inside"), cell_safe(F.col("found"))).otherwise(F.col("found"))
     ordered = F.array_sort(F.collect_list(F.struct("at", shown.alias("t"))))
-    return both.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "").alias(text))
+    filled = both.groupBy(*row, "_times").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "").alias(text))
+    out = filled.unionByName(rows.where("_whole is null").select(*row, "_times", F.lit(None).cast("string").alias(text)))
+    return out.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(key, text)
