@@ -303,3 +303,132 @@ def cells_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "h"))).alias("y"))
     html = F.concat(F.lit("<p>Orders</p><TABLE border=1>"), F.array_join(F.transform("y", lambda y: y["h"]), "\n"), F.lit("</TABLE>"))
     return M.placed_cells(M.table_cells(docs.select("doc_id", html.alias("html"))))
+
+
+ITEMS = "select cast(p_partkey // 50 as bigint) as doc, cast(p_size % 5 as int) as page, 0 as id, p_partkey // 3 as drawing, case p_partkey % 8 when 7 then 'c' when 2 then 're' else 'l' end as kind, p_partkey % 6 = 0 as filled, cast(p_partkey % 5 * 100 as double) as x0, cast(p_size % 8 * 100 as double) as y0, cast(p_partkey % 5 * 100 + case when p_partkey % 8 in (1, 3, 2, 7) then 100 else p_size % 4 end as double) as x1, cast(p_size % 8 * 100 + case when p_partkey % 8 in (1, 3) then p_size % 3 else 100 end as double) as y1 from part"
+
+
+def _framed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = "p_partkey % 8"
+    columns = {"x0": "p_partkey % 5 * 100", "y0": "p_size % 8 * 100", "x1": f"p_partkey % 5 * 100 + if({k} in (1, 3, 2, 7), 100, p_size % 4)", "y1": f"p_size % 8 * 100 + if({k} in (1, 3), p_size % 3, 100)"}
+    items = table(spark, sf_dir, "part").selectExpr("cast(floor(p_partkey / 50) as bigint) as doc", "cast(p_size % 5 as int) as page", "0 as id", "cast(floor(p_partkey / 3) as bigint) as drawing", f"case {k} when 7 then 'c' when 2 then 're' else 'l' end as kind", "p_partkey % 6 = 0 as filled", *[f"cast({e} as double) as {c}" for c, e in columns.items()])
+    tables = items.select("doc", "page", "id").distinct().withColumns({c: F.lit(v) for c, v in zip(("x0", "y0", "x1", "y1"), (0.0, 0.0, 400.0, 700.0))})
+    return tables, items
+
+
+STROKES = f"""
+with i as (
+  {ITEMS}
+), t as (
+  select distinct doc, page, id, 0.0::double as a0, 0.0::double as b0, 400.0::double as a1, 700.0::double as b1 from i
+), s as (
+  select doc, page, id, x0, y0, x1, y1 from i where kind = 'l'
+  union all select doc, page, id, x0, y0, x1, y0 from i where kind = 're' union all select doc, page, id, x0, y1, x1, y1 from i where kind = 're'
+  union all select doc, page, id, x0, y0, x0, y1 from i where kind = 're' union all select doc, page, id, x1, y0, x1, y1 from i where kind = 're'
+), w as (
+  select doc, page, id, case when y1 - y0 <= 2 then 'h' when x1 - x0 <= 2 then 'v' end as way, case when y1 - y0 <= 2 then y0 else x0 end as pos,
+    case when y1 - y0 <= 2 then x0 else y0 end as b, case when y1 - y0 <= 2 then x1 else y1 end as e from s
+)"""
+
+
+@query(
+    STROKES
+    + """, sides as (
+  select doc, page, id, 'top' as side, 'h' as way, b0 as place, a0 as low, a1 as high from t union all select doc, page, id, 'bottom', 'h', b1, a0, a1 from t
+  union all select doc, page, id, 'left', 'v', a0, b0, b1 from t union all select doc, page, id, 'right', 'v', a1, b0, b1 from t
+), d as (
+  select doc, page, id, side, low, high, greatest(b, low) as b, least(e, high) as e from sides join w using (doc, page, id, way) where abs(pos - place) <= 5
+), m as (
+  select *, max(e) over (partition by doc, page, id, side order by b, e rows between unbounded preceding and 1 preceding) as reach from d where b < e
+), k as (
+  select *, sum(case when reach is null or b >= reach then 1 else 0 end) over (partition by doc, page, id, side order by b, e rows unbounded preceding) as k from m
+), c as (
+  select doc, page, id, side, min(b) as b, max(e) as e from k group by doc, page, id, side, k
+), g as (
+  select s.doc, s.page, s.id, s.side, coalesce(lag(c.e) over (partition by s.doc, s.page, s.id, s.side order by c.b), s.low) as start, coalesce(c.b, s.high) as "end"
+  from sides s left join c using (doc, page, id, side)
+  union all
+  select s.doc, s.page, s.id, s.side, max(c.e), s.high from sides s join c using (doc, page, id, side) group by s.doc, s.page, s.id, s.side, s.high
+)
+select doc, page, side, start, "end" from g where start < "end"
+"""
+)
+def frame_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is open of the frames of one table a page, whose strokes come from parts."""
+    from .operators import frames as D
+
+    tables, items = _framed(spark, sf_dir)
+    return D.side_gaps(tables, D.strokes_of(items)).select("doc", "page", "side", "start", "end")
+
+
+@query(
+    STROKES
+    + """, n as (
+  select w.*, case when way = 'h' then b >= a0 and e <= a1 else b >= b0 and e <= b1 end as inside, a0, b0, a1, b1 from w join t using (doc, page, id)
+), sides as (
+  select doc, page, id, cast(max(cast(way = 'h' and inside and abs(pos - b0) <= 5 as int)) + max(cast(way = 'h' and inside and abs(pos - b0) > 5 and abs(pos - b1) <= 5 as int))
+      + max(cast(way = 'v' and inside and abs(pos - a0) <= 5 as int)) + max(cast(way = 'v' and inside and abs(pos - a0) > 5 and abs(pos - a1) <= 5 as int)) as double) / 4 as border,
+    count(way) / cast(count(*) as double) as straight
+  from n group by doc, page, id
+), f as (
+  select doc, page, id, way, pos, pos - lag(pos) over (partition by doc, page, id, way order by pos) as step from w where way is not null
+), k as (
+  select *, sum(case when step > 3 then 1 else 0 end) over (partition by doc, page, id, way order by pos) as k from f
+), q as (
+  select doc, page, id, way, k, count(*) as m, min(case when step > 0 then step end) as low, max(case when step > 0 then step end) as high from k group by doc, page, id, way, k
+), r as (
+  select doc, page, id, way, sum(m) as m, case when sum(m) < 2 then 1.0::double else sum(case when m > 1 then m else 0 end) / cast(sum(m) as double) end as share, min(low) as low, max(high) as high
+  from q group by doc, page, id, way
+), p as (
+  select doc, page, id, max(share) filter (way = 'h') as hs, max(share) filter (way = 'v') as vs, max(m) filter (way = 'h') as hm, max(m) filter (way = 'v') as vm,
+    max(low) filter (way = 'h') as hl, max(low) filter (way = 'v') as vl, max(high) filter (way = 'h') as hh, max(high) filter (way = 'v') as vh
+  from r group by doc, page, id
+), z as (
+  select doc, page, id, drawing, count(*) as k, count(*) filter (kind = 'c') as curves, count(*) filter (kind = 'l' and x1 - x0 > 2 and y1 - y0 > 2) as slanted, max(cast(filled as int)) as filled
+  from i group by doc, page, id, drawing
+), y as (
+  select doc, page, id, cast(sum(k) as double) as k, sum(curves) as curves, sum(slanted) as slanted, sum(filled) as filled, cast(count(*) as double) as drawings from z group by doc, page, id
+)
+select doc, page, round(coalesce(border, 0), 6) as border, round(coalesce(straight * 0.6::double + (coalesce(hs, 1) + coalesce(vs, 1)) / 2 * 0.4::double, 0), 6) as grid,
+  cast(round(case when coalesce(hm, 0) < 2 or coalesce(vm, 0) < 2 then 0.5 else 1 - case when coalesce(least(hl, vl) < 10, false) then 0.2 else 0 end
+    - case when coalesce(greatest(hh / vl, vh / hl) > 20, false) then 0.2 else 0 end end, 6) as double) as cells,
+  round(greatest(0, 1 - least(0.3::double, curves / k * 3) - least(0.3::double, slanted / k * 3) - least(0.2::double, filled / drawings * 0.4::double)), 6) as simplicity
+from t left join sides using (doc, page, id) left join p using (doc, page, id) left join y using (doc, page, id)
+"""
+)
+def table_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four parts of the grade of one table a page."""
+    from .operators import frames as D
+
+    return D.table_parts(*_framed(spark, sf_dir)).drop("id")
+
+
+@query()
+def chunk_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents by SQL's chunk(); a test holds them against `chunks`."""
+    from .functions.table_functions import register
+
+    register(spark)
+    return spark.sql("select d.doc_id, c.* from {docs} d, lateral chunk(d.text, 1000, 200) c", docs=table(spark, sf_dir, "documents"))
+
+
+@query()
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' sources as code of two types; tests put texts together again."""
+    from .operators.chunking import chunk_code
+
+    ext = F.when(F.col("page_id") % 2 == 0, "html").otherwise("js")
+    return chunk_code(table(spark, sf_dir, "pages").select("page_id", ext.alias("ext"), F.col("html").alias("text")))
+
+
+def _scalars() -> None:
+    from .catalogue import scalar
+    from .functions import text as T
+
+    odd, plain = "".join(T.COMPATIBILITY), "".join(T.COMPATIBILITY.values())
+    broken = lambda: F.translate("text", "()[]/+~\"ea", "".join(odd[i] for i in (0, 1, 2, 3, 7, 9, 10, 11, 6, 15)))
+    sql = f"translate(translate(text, '()[]/+~\"ea', '{''.join(odd[i] for i in (0, 1, 2, 3, 7, 9, 10, 11, 6, 15))}'), '{odd}', '{plain}')"
+    scalar("compatibility_mapped", "documents", "doc_id", lambda: T.compatible(broken()), "mapped", sql)
+
+
+_scalars()

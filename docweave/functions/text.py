@@ -118,7 +118,8 @@ BASIC = r"[\s0-9A-Za-z\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{4E00
 
 
 def count_of(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    """How many characters are of a class."""
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def is_fragmented(text: Column) -> Column:
@@ -144,6 +145,43 @@ def needs_ocr(text: Column) -> Column:
     return (n >= 10) & ((quality(text) < 0.7) | broken | is_fragmented(text))
 
 
+#: Compatibility characters that stand for others after a conversion, and what they stand for.
+COMPATIBILITY = {
+    "\u33d9": "(", "\u33da": ")", "\u33db": "[", "\u33dc": "]", "\u33dd": "[", "\u33de": "]",
+    "\u3711": "→", "\u36a8": "/", "\u36f3": "→", "\u3689": "+", "\u33ca": "~",
+    "\u3431": '"', "\u3432": '"', "\u3433": '"', "\u3434": '"', "\u3443": '"',
+}
+#: Symbols of which a recognised line may not consist alone, and further lines that are noise.
+SYMBOLS = r"""[.,;:!?@#$%^&*()\[\]{}|\\/<>~`'"\-_+=°·•○●□■◇◆△▲▽▼\s]+"""
+NOISE = (r"[ri\-—maonutlg\s]+", r"""[0-9"'\[\]()°\s]{1,5}""", r"[A-Za-z\-—\s]{3,}", r"‥+\s*")
+
+
+def compatible(text: Column) -> Column:
+    """Compatibility characters replaced by what they stand for, in one pass."""
+    return F.translate(text, "".join(COMPATIBILITY), "".join(COMPATIBILITY.values()))
+
+
+def recognised(text: Column) -> Column:
+    """Recognised text without lines that are noise.
+
+    Lines are trimmed. Blank ones go, those of symbols alone and those of NOISE. Of the others those stay that hold a Korean
+    syllable, or three letters or more that are half of the line without spaces, if any of them is a small letter or a word of two or
+    more is in capitals.
+    """
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+    def stays(x: Column) -> Column:
+        noise = (x == "") | x.rlike(f"^{SYMBOLS}$")
+        for pattern in NOISE:
+            noise |= x.rlike(f"(?i)^{pattern}$")
+        letters = F.regexp_count(x, F.lit(r"\p{L}"))
+        capitals = x.rlike(r"(^|\s)(?=\S{2})[^\s\p{Ll}]*\p{Lu}[^\s\p{Ll}]*(\s|$)")
+        latin = (letters >= 3) & (letters * 2 >= F.length(F.replace(x, F.lit(" "), F.lit("")))) & (capitals | x.rlike(r"\p{Ll}"))
+        return ~noise & (x.rlike("[가-힣]") | latin)
+
+    return F.array_join(F.filter(lines, stays), "\n")
+
+
 def has_header(rows: Column) -> Column:
     """Whether the first of the rows (arrays of cells) is a header: no number in it, and numbers in the second or no cell twice."""
     first, second = F.get(rows, F.lit(0)), F.get(rows, F.lit(1))

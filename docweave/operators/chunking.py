@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,36 @@ TABLE_TAG = re.compile(r"(?i)<table[^>]*>|</table>")
 PAGE = re.compile(r"\[(?:Page|Slide) Number: (\d+)[^\]]*\]")
 CHUNKS = "chunk_index int, text string, page_number int, line_start int, line_end int, global_start int, global_end int"
 
+CODE = "chunk_index int, text string, line_start int, line_end int, global_start int, global_end int"
+#: What begins a new part of a program, by language, and the languages of file types.
+PARTS = {
+    "python": "class def",
+    "js": "function const let var class if for while switch case default",
+    "ts": "enum interface namespace type class function const let var if for while switch case default",
+    "java": "class public protected private static if for while switch case",
+    "cpp": "class void int float double if for while switch case",
+    "csharp": "interface enum implements delegate event class abstract public protected private static return if continue for foreach while switch break case else try throw finally catch",
+    "go": "func var const type if for switch case",
+    "rust": "fn const let if while for loop match",
+    "php": "function class if foreach while do switch case",
+    "ruby": "def class if unless while for do begin rescue",
+    "swift": "func class struct enum if for while do switch case",
+    "kotlin": "class public protected private internal companion fun val var if for while when case else",
+    "scala": "class object def val var if for while match case",
+}
+MARKUP = "body div p br li h1 h2 h3 h4 h5 h6 span table tr td th ul ol header footer nav head style script meta title"
+LANGUAGES = {"py": "python", "js": "js", "jsx": "js", "tsx": "js", "ts": "ts", "java": "java", "cpp": "cpp", "c": "cpp", "cs": "csharp", "go": "go", "rs": "rust", "php": "php", "rb": "ruby", "swift": "swift", "kt": "kotlin", "scala": "scala"}
+
+
+def code_separators(ext: str | None) -> tuple[str, ...]:
+    """The separators of a file type from the widest to the narrowest; those of plain text for other types."""
+    ext = (ext or "").lower().lstrip(".")
+    if ext == "html":
+        return (*(f"<{name}" for name in MARKUP.split()), "")
+    parts = PARTS.get(LANGUAGES.get(ext, ""), "").split()
+    inner = ("\n\tdef ",) if ext == "py" else ()
+    return (*(f"\n{p} " for p in parts), *inner, *SEPARATORS)
+
 
 def check(size: int, overlap: int) -> None:
     if not 0 <= overlap < size:
@@ -121,33 +151,60 @@ def chunk_rows(text: str | None, size: int, overlap: int) -> list[tuple]:
     return rows
 
 
-def chunk_documents(docs: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Rows of docs without `text`, one for each chunk, with CHUNKS' columns; positions are code points of the text.
+def code_rows(text: str | None, ext: str | None, size: int, overlap: int) -> list[tuple]:
+    """(chunk_index, text, line_start, line_end, global_start, global_end) of a code file's chunks."""
+    if not text or not text.strip():
+        return [(0, "", 1, 1, 0, 0)]
+    rows, line, seen = [], 1, 0
+    for i, (a, b) in enumerate(spans(text, size, overlap, code_separators(ext))):
+        line += text.count("\n", seen, a) if a >= seen else -text.count("\n", a, seen)
+        seen = a
+        rows.append((i, text[a:b], line, line + text.count("\n", a, b), a, b - 1))
+    return rows
 
-    A document stays in its row, so there is no shuffle. Null and blank texts give one empty chunk.
-    """
-    check(size, overlap)
-    others = [c for c in docs.columns if c != text]
-    kept = docs.select(*others, text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), CHUNKS])
-    n = len(others)
+
+def _chunked(docs: DataFrame, used: list[str], kind: str, rows: Callable[..., list[tuple]]) -> DataFrame:
+    """docs without the column used[0], one row for each that `rows` gives for the columns `used`, with the columns of `kind`."""
+    others = [c for c in docs.columns if c != used[0]]
+    kept = docs.select(*others, used[0])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), kind])
+    names, types = zip(*[c.strip().split(" ") for c in kind.split(",")], strict=True)
+    arrow = {"int": pa.int32(), "string": pa.string()}
+    places = [kept.columns.index(c) for c in used]
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, found = [], []
-            for i, t in enumerate(batch.column(n)):
-                rows = chunk_rows(t.as_py(), size, overlap)
-                of += [i] * len(rows)
-                found += rows
+            for i, values in enumerate(zip(*(batch.column(p).to_pylist() for p in places), strict=True)):
+                new = rows(*values)
+                of += [i] * len(new)
+                found += new
             take = pa.array(of, pa.int64())
-            columns = list(zip(*found, strict=True)) if found else [()] * 7
-            types = (pa.int32(), pa.string(), *[pa.int32()] * 5)
-            names = [c.strip().split(" ")[0] for c in CHUNKS.split(",")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(n)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*others, *names])
+            columns = list(zip(*found, strict=True)) if found else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(others))), *(pa.array(c, arrow[t]) for c, t in zip(columns, types, strict=True))], names=[*others, *names])
 
     return kept.mapInArrow(chunk, schema)
 
 
+def chunk_documents(docs: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Rows of docs without `text`, one for each chunk, with CHUNKS' columns; positions are code points of the text.
+
+    A document stays in its row, so there is no shuffle. Null and blank texts give one empty chunk.
+    """
+    check(size, overlap)
+    return _chunked(docs, [text], CHUNKS, lambda t: chunk_rows(t, size, overlap))
+
+
+def chunk_code(docs: DataFrame, text: str = "text", ext: str = "ext", size: int = 1500, overlap: int = 300) -> DataFrame:
+    """Rows of docs without `text`, one for each chunk of a code file, cut by the separators of its type, with the columns of CODE.
+
+    A separator stays with what follows it, and together the chunks hold all but white space between them. Types without a
+    language, and null ones, are cut like plain text; null and blank texts give one empty chunk.
+    """
+    check(size, overlap)
+    return _chunked(docs, [text, ext], CODE, lambda t, e: code_rows(t, e, size, overlap))
+
+
 def estimated_chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     n = F.length(text)
     more = F.greatest(F.lit(1), F.floor((n - overlap) / (size - overlap)).cast("int") + 1)
