@@ -156,6 +156,52 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_decontaminate": """
+with t as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from documents
+), b as (
+  select cast(item_id as varchar) as item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from benchmark where item_id is not null
+), bw as materialized (
+  select distinct item, least(13, len(w)) as k, array_to_string(w[i.i : i.i + least(13, len(w)) - 1], ' ') as p
+  from b, unnest(range(1, greatest(cast(len(w) as bigint) - 12, 1) + 1)) as i(i) where len(w) > 0
+), k as (
+  select distinct k from bw
+), dw as (
+  select doc_id, k.k, i.i, array_to_string(w[i.i : i.i + k.k - 1], ' ') as p
+  from t, k, unnest(range(1, cast(len(w) as bigint) - k.k + 2)) as i(i) where len(w) >= k.k
+), h as materialized (
+  select doc_id, dw.k, i, item from dw join bw on bw.k = dw.k and bw.p = dw.p
+), hit as (
+  select doc_id, count(distinct u) as n from (select doc_id, unnest(range(i, i + k)) as u from h) group by doc_id
+), named as (
+  select doc_id, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from h) group by doc_id
+)
+select t.doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(named.n, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(w) as contaminated
+from t left join hit using (doc_id) left join named using (doc_id)
+""",
+    "op9_jaccard": """
+with recursive t as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+), s as materialized (
+  select distinct doc_id, array_to_string(w[i.i : i.i + 2], ' ') as p from t, unnest(range(1, greatest(cast(len(w) as bigint) - 2, 1) + 1)) as i(i) where len(w) > 0
+), n as materialized (
+  select doc_id, count(*) as n from s group by doc_id
+), e as materialized (
+  select a.doc_id as a, b.doc_id as b from s a join s b on a.p = b.p and a.doc_id < b.doc_id
+  group by 1, 2 having 100 * count(*) >= 90 * ((select n from n where doc_id = a.doc_id) + (select n from n where doc_id = b.doc_id) - count(*))
+), l as materialized (
+  select a, b from e union all select b, a from e
+), r as (
+  select doc_id as d, doc_id as o from n union select r.d, l.b from r join l on l.a = r.o
+)
+select t.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.o, t.doc_id) as component_id
+from t left join n using (doc_id) left join (select d as doc_id, min(o) as o from r group by d) m using (doc_id)
+""",
     "op11_collocations": """
 with t as (
   select coalesce(lang, 'und') as lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
