@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -9,11 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.marks import Tags
+
 SEPARATORS = ("\n\n", "\n", " ", "")
-#: What a chunk never cuts.
-PROTECTED = re.compile(r"(?is)<table[^>]*>.*?</table>|\[chart\].*?\[/chart\]|\[textbox\].*?\[/textbox\]|\[Image:[^\]]*\]|\[(?:Page|Slide) Number: \d+[^\]]*\]|\[Sheet: [^\]]*\]|<Document-Metadata>.*?</Document-Metadata>|(?m:(?:^\|.*\|[ ]*(?:\n|\Z)){2,})")
 TABLE_TAG = re.compile(r"(?i)<table[^>]*>|</table>")
-PAGE = re.compile(r"\[(?:Page|Slide) Number: (\d+)[^\]]*\]")
 CHUNKS = "chunk_index int, text string, page_number int, line_start int, line_end int, global_start int, global_end int"
 
 CODE = "chunk_index int, text string, line_start int, line_end int, global_start int, global_end int"
@@ -47,6 +47,31 @@ def code_separators(ext: str | None) -> tuple[str, ...]:
     return (*(f"\n{p} " for p in parts), *inner, *SEPARATORS)
 
 
+@functools.cache
+def protected(tags: Tags = Tags()) -> re.Pattern:
+    """What a chunk never cuts: tables, charts, text boxes, tags and the metadata block."""
+    def mark(kind: str, inner: str) -> str:
+        before, after = getattr(tags, kind)
+        return re.escape(before) + inner.format(stop=re.escape(after[:1] or "\n")) + re.escape(after)
+
+    marks = [mark("chart", ".*?"), mark("image", "[^{stop}]*"), mark("page", r"\d+[^{stop}]*"), mark("slide", r"\d+[^{stop}]*"), mark("sheet", "[^{stop}]*")]
+    parts = [r"<table[^>]*>.*?</table>", *marks, r"\[textbox\].*?\[/textbox\]", "<Document-Metadata>.*?</Document-Metadata>", r"(?m:(?:^\|.*\|[ ]*(?:\n|\Z)){2,})"]
+    return re.compile("(?is)" + "|".join(parts))
+
+
+@functools.cache
+def page_marks(tags: Tags = Tags()) -> re.Pattern:
+    """Page and slide tags; group 1 or 2 is the number."""
+    one = lambda kind: rf"{re.escape(getattr(tags, kind)[0])}(\d+)[^{re.escape(getattr(tags, kind)[1][:1] or chr(10))}]*{re.escape(getattr(tags, kind)[1])}"
+    return re.compile(f"{one('page')}|{one('slide')}")
+
+
+def page_number(mark: re.Match) -> int:
+    """The number of a page mark; 0 for one too long for an integer."""
+    n = int((mark[1] or mark[2])[:11])
+    return n if n < 1 << 31 else 0
+
+
 def check(size: int, overlap: int) -> None:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than the chunk size")
@@ -88,10 +113,10 @@ def stripped(text: str, a: int, b: int) -> tuple[int, int]:
     return a + len(part) - len(part.lstrip()), a + len(part.rstrip()) if part.strip() else a
 
 
-def regions(text: str) -> list[tuple[int, int]]:
+def regions(text: str, tags: Tags = Tags()) -> list[tuple[int, int]]:
     """Ranges of protected regions in order; a table ends where its own closing tag is, whatever tables it holds."""
     out, at = [], 0
-    while m := PROTECTED.search(text, at):
+    while m := protected(tags).search(text, at):
         at = m.end()
         if m[0][:6].lower() == "<table":
             depth = 0
@@ -104,12 +129,12 @@ def regions(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def protected_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+def protected_spans(text: str, size: int, overlap: int, tags: Tags = Tags()) -> list[tuple[int, int]]:
     """Like spans, but a protected region stays whole, in a chunk of its own if it is larger than `size`."""
     out: list[tuple[int, int]] = []
     at = 0
     units: list[tuple[int, int, bool]] = []
-    for a, b in regions(text):
+    for a, b in regions(text, tags):
         units += [(at, a, False), (a, b, True)]
         at = b
     units.append((at, len(text), False))
@@ -135,12 +160,12 @@ def protected_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]
     return [s for s in (stripped(text, a, b) for a, b in out) if s[0] < s[1]]
 
 
-def chunk_rows(text: str | None, size: int, overlap: int) -> list[tuple]:
+def chunk_rows(text: str | None, size: int, overlap: int, tags: Tags = Tags()) -> list[tuple]:
     if not text or not text.strip():
         return [(0, "", 1, 1, 1, 0, 0)]
-    pages = [(m.start(), int(m[1])) for m in PAGE.finditer(text)]
+    pages = [(m.start(), page_number(m)) for m in page_marks(tags).finditer(text)]
     rows, line, seen = [], 1, 0
-    for i, (a, b) in enumerate(protected_spans(text, size, overlap)):
+    for i, (a, b) in enumerate(protected_spans(text, size, overlap, tags)):
         if a >= seen:
             line += text.count("\n", seen, a)
         else:
@@ -186,13 +211,13 @@ def _chunked(docs: DataFrame, used: list[str], kind: str, rows: Callable[..., li
     return kept.mapInArrow(chunk, schema)
 
 
-def chunk_documents(docs: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+def chunk_documents(docs: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200, tags: Tags = Tags()) -> DataFrame:
     """Rows of docs without `text`, one for each chunk, with CHUNKS' columns; positions are code points of the text.
 
     A document stays in its row, so there is no shuffle. Null and blank texts give one empty chunk.
     """
     check(size, overlap)
-    return _chunked(docs, [text], CHUNKS, lambda t: chunk_rows(t, size, overlap))
+    return _chunked(docs, [text], CHUNKS, lambda t: chunk_rows(t, size, overlap, tags))
 
 
 def chunk_code(docs: DataFrame, text: str = "text", ext: str = "ext", size: int = 1500, overlap: int = 300) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -9,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunking import PAGE, check, protected_spans, spans
+from ..functions.marks import Tags
+from .chunking import check, page_marks, page_number, protected_spans, spans
 
 #: What a Markdown separator line, a table of either kind and the tags around tables look like.
 SEPARATOR = re.compile(r"^\|[\s:|-]*-[\s:|-]*\|?\s*$")
-TABLE = re.compile(r"(?is)<table[^>]*>.*?</table>|(?m:(?:^\[Table \d+\][^\n]*\n)?(?:^\|[^\n]*\|[ ]*(?:\n|\Z)){2,})|\[chart\].*?\[/chart\]")
+TABLE = r"(?is)<table[^>]*>.*?</table>|(?m:(?:^\[Table \d+\][^\n]*\n)?(?:^\|[^\n]*\|[ ]*(?:\n|\Z)){2,})|"
 ROW = re.compile(r"(?is)<tr[^>]*>(.*?)</tr>")
 METADATA = re.compile(r"(?s)<Document-Metadata>.*?</Document-Metadata>")
-SHEET = re.compile(r"(?=\[Sheet:\s*[^\]]+\])")
 SHEETS = ("csv", "tsv", "xlsx", "xlsm", "xltx", "xltm", "xls")
 #: Room kept for a line "[Table Chunk i/n]".
 LABEL = 30
@@ -150,32 +151,44 @@ def table_chunks(table: str, size: int, context: str = "") -> list[str]:
     return html_chunks(table, size, context, force=True) if table.lstrip().lower().startswith("<table") else markdown_chunks(table, size, context)
 
 
-def segments(text: str) -> Iterator[tuple[bool, str]]:
+@functools.cache
+def tables_and_charts(tags: Tags = Tags()) -> re.Pattern:
+    return re.compile(TABLE + ".*?".join(map(re.escape, tags.chart)))
+
+
+@functools.cache
+def sheet_marks(tags: Tags = Tags()) -> re.Pattern:
+    before, after = tags.sheet
+    return re.compile(rf"{re.escape(before.rstrip(' '))}\s*[^{re.escape(after[:1] or chr(10))}]+{re.escape(after)}")
+
+
+def segments(text: str, tags: Tags = Tags()) -> Iterator[tuple[bool, str]]:
     """(is a table or chart, text) in order, without blank ones."""
     at = 0
-    for m in TABLE.finditer(text):
+    for m in tables_and_charts(tags).finditer(text):
         yield from ((False, t) for t in [text[at : m.start()].strip()] if t)
         yield True, m[0].strip()
         at = m.end()
     yield from ((False, t) for t in [text[at:].strip()] if t)
 
 
-def sheet_chunks(text: str, size: int) -> list[tuple[str, int]]:
+def sheet_chunks(text: str, size: int, tags: Tags = Tags()) -> list[tuple[str, int]]:
     """(chunk, sheet number) of sheets: metadata and sheet tag stand above every chunk, small segments share one, nothing overlaps."""
     meta = METADATA.search(text)
     body = text.replace(meta[0], "", 1) if meta else text
-    parts = [p.strip() for p in SHEET.split(body) if p.strip()]
+    mark = sheet_marks(tags)
+    parts = [p.strip() for p in re.split(f"(?={mark.pattern})", body) if p.strip()]
     out: list[tuple[str, int]] = []
     known: dict[str, int] = {}
     for part in parts:
-        tag = re.match(r"\[Sheet:\s*[^\]]+\]", part)
+        tag = mark.match(part)
         name = tag[0] if tag else ""
         number = known.setdefault(name, len(known) + 1) if name else 1
         context = "\n".join(x for x in (meta[0] if meta else "", name) if x)
         room, held = size - len(context) - 1, ""
         room = room if room > 0 else size
         flush = lambda t: out.append((f"{context}\n{t}" if context else t, number)) if t else None  # noqa: B023, E731
-        for whole, piece in segments(part[len(name) :]):
+        for whole, piece in segments(part[len(name) :], tags):
             if len(held) + len(piece) + 2 <= room:
                 held = f"{held}\n\n{piece}" if held else piece
                 continue
@@ -192,16 +205,17 @@ def sheet_chunks(text: str, size: int) -> list[tuple[str, int]]:
     return out
 
 
-def page_chunks(text: str, size: int, overlap: int) -> list[tuple[str, int]]:
+def page_chunks(text: str, size: int, overlap: int, tags: Tags = Tags()) -> list[tuple[str, int]]:
     """(chunk, first page): whole pages share a chunk up to `size`, the last may reach 1.5 times that; over 2.25 times is split again.
 
     A chunk that a long page closes hands its last `overlap` characters on to the next.
     """
-    marks = [m.start() for m in PAGE.finditer(text)]
+    mark = page_marks(tags)
+    marks = [m.start() for m in mark.finditer(text)]
     edges = [0, *[m for m in marks if m], len(text)]
     pages = [text[a:b].strip() for a, b in zip(edges, edges[1:], strict=False)]
-    pages = [p for p in pages if PAGE.sub("", p).strip()]
-    number = lambda p: int(m[1]) if (m := PAGE.match(p)) else 0
+    pages = [p for p in pages if mark.sub("", p).strip()]
+    number = lambda p: page_number(m) if (m := mark.match(p)) else 0
     found: list[tuple[str, int]] = []
     held, first, tail = "", 0, ""
     for page in pages:
@@ -222,30 +236,30 @@ def page_chunks(text: str, size: int, overlap: int) -> list[tuple[str, int]]:
             out.append((chunk, page))
             continue
         now = page
-        for a, b in protected_spans(chunk, size, overlap):
-            inner = [m for m in PAGE.finditer(chunk, 0, b) if m.start() <= a]
-            now = int(inner[-1][1]) if inner else page
+        for a, b in protected_spans(chunk, size, overlap, tags):
+            inner = [m for m in mark.finditer(chunk, 0, b) if m.start() <= a]
+            now = page_number(inner[-1]) if inner else page
             out.append((chunk[a:b], now))
     return out
 
 
-def document_chunks(text: str | None, ext: str | None, size: int, overlap: int) -> list[tuple[int, str, int]]:
+def document_chunks(text: str | None, ext: str | None, size: int, overlap: int, tags: Tags = Tags()) -> list[tuple[int, str, int]]:
     """(chunk_index, text, page_number) by the kind of the document; a metadata block stands above each chunk. Null and blank: one empty chunk."""
     if not text or not text.strip():
         return [(0, "", 1)]
     if ext in SHEETS:
-        return [(i, t, p) for i, (t, p) in enumerate(sheet_chunks(text, size))]
+        return [(i, t, p) for i, (t, p) in enumerate(sheet_chunks(text, size, tags))]
     meta = METADATA.search(text)
     body = text.replace(meta[0], "", 1).strip() if meta else text
-    if PAGE.search(body):
-        found = page_chunks(body, size, overlap)
+    if page_marks(tags).search(body):
+        found = page_chunks(body, size, overlap, tags)
     else:
-        found = [(body[a:b], 1) for a, b in protected_spans(body, size, overlap)]
+        found = [(body[a:b], 1) for a, b in protected_spans(body, size, overlap, tags)]
     above = f"{meta[0]}\n\n" if meta else ""
     return [(i, above + t, p) for i, (t, p) in enumerate(found)] or [(0, above.strip(), 1)]
 
 
-def chunk_by_kind(docs: DataFrame, ext: Column, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+def chunk_by_kind(docs: DataFrame, ext: Column, text: str = "text", size: int = 1000, overlap: int = 200, tags: Tags = Tags()) -> DataFrame:
     """Rows of docs without `text`, one for each chunk, with chunk_index, text and page_number, split as the file type `ext` asks.
 
     Tables are cut between rows, pages are kept whole where they fit. A document stays in its row: no shuffle.
@@ -260,7 +274,7 @@ def chunk_by_kind(docs: DataFrame, ext: Column, text: str = "text", size: int =
         for batch in batches:
             of, found = [], []
             for i, (e, t) in enumerate(zip(batch.column(n), batch.column(n + 1), strict=True)):
-                rows = document_chunks(t.as_py(), e.as_py(), size, overlap)
+                rows = document_chunks(t.as_py(), e.as_py(), size, overlap, tags)
                 of += [i] * len(rows)
                 found += rows
             take = pa.array(of, pa.int64())

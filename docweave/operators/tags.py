@@ -2,30 +2,52 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MARKER = r"\[(?:Page|Slide) Number:\s*\d+[^\]]*\]"
-STARTS = r"^\s*\[(?:Page Number|Slide Number|Sheet):"
-IMAGE = r"\[(?i:image)\s*:\s*\{?([^\]\}]+)\}?\]"
+from ..functions.marks import Tags
 
 
-def page_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _marker(tags: Tags) -> str:
+    return f"(?:{tags.pattern('page')}|{tags.pattern('slide')})"
+
+
+#: A page or slide tag as it usually is.
+MARKER = _marker(Tags())
+
+
+def _starts(tags: Tags) -> str:
+    """What a text begins with that opens a page, slide or sheet."""
+    return rf"^\s*(?:{'|'.join(re.escape(getattr(tags, k)[0].rstrip()) for k in ('page', 'slide', 'sheet'))})"
+
+
+def _image(tags: Tags) -> str:
+    """An image tag in capitals or not, its path (in braces or not) being group 1."""
+    before, after = tags.image
+    open_ = re.sub(r"([A-Za-z]+)", r"(?i:\1)\\s*", re.escape(before))
+    stop = re.escape(after[:1] or "\n")
+    return rf"{open_}\s*\{{?([^{stop}\}}]+)\}}?{re.escape(after)}"
+
+
+def page_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: Tags = Tags()) -> DataFrame:
     """(key, page, section): text from each page or slide marker to the next; text before the first is page 0, sections without text go."""
-    each = docs.select(key, F.explode(F.split(text, rf"(?={MARKER})")).alias("s"))
-    number = F.coalesce(F.expr(r"try_cast(regexp_extract(s, '^\\[(?:Page|Slide) Number:\\s*(\\d+)', 1) as int)"), F.lit(0))
-    return each.select(key, number.alias("page"), F.trim(F.regexp_replace(F.regexp_replace("s", MARKER, ""), r"^\s+|\s+$", "")).alias("section")).where("section != ''")
+    marker = _marker(tags)
+    each = docs.select(key, F.explode(F.split(text, f"(?={marker})")).alias("s"))
+    digits = F.regexp_extract("s", f"^{marker}", 1)
+    number = F.coalesce(F.when(digits != "", digits).otherwise(F.regexp_extract("s", f"^{marker}", 2)).try_cast("int"), F.lit(0))
+    return each.select(key, number.alias("page"), F.trim(F.regexp_replace(F.regexp_replace("s", marker, ""), r"^\s+|\s+$", "")).alias("section")).where("section != ''")
 
 
-def joined_markers(chunks: Column) -> Column:
+def joined_markers(chunks: Column, tags: Tags = Tags()) -> Column:
     """Chunks without the blank ones; a chunk that is only a marker goes to the front of the next, or to the end of the last."""
     begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
 
     def step(s: Column, x: Column) -> Column:
         glue = lambda a, b: F.when(a == "", b).otherwise(F.concat(a, F.lit("\n\n"), b))
-        only = x.rlike(rf"^\s*{MARKER}\s*$")
+        only = x.rlike(rf"^\s*{_marker(tags)}\s*$")
         blank = F.trim(F.regexp_replace(x, r"\s+", " ")) == ""
         out = F.when(blank | only, s["out"]).otherwise(F.concat(s["out"], F.array(glue(s["held"], x))))
         held = F.when(blank, s["held"]).when(only, glue(s["held"], F.regexp_replace(x, r"^\s+|\s+$", ""))).otherwise(F.lit(""))
@@ -39,7 +61,7 @@ def joined_markers(chunks: Column) -> Column:
     return F.aggregate(chunks, begin, step, finish)
 
 
-def merged_small(chunks: Column, size: int = 1000, share: float = 0.1) -> Column:
+def merged_small(chunks: Column, size: int = 1000, share: float = 0.1, tags: Tags = Tags()) -> Column:
     """Chunks under `share` of `size` take in the next ones that don't begin with a marker; what is still small goes to the chunk before."""
     least = int(share * size)
     begin = F.array().cast("array<string>")
@@ -48,7 +70,7 @@ def merged_small(chunks: Column, size: int = 1000, share: float = 0.1) -> Column
         n = F.size(out)
         last = F.get(out, n - 1)
         joined = F.concat(F.slice(out, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(last, F.lit("\n\n"), x)))
-        return F.when((n > 0) & (F.length(last) < least) & ~x.rlike(STARTS), joined).otherwise(F.concat(out, F.array(x)))
+        return F.when((n > 0) & (F.length(last) < least) & ~x.rlike(_starts(tags)), joined).otherwise(F.concat(out, F.array(x)))
 
     def back(out: Column, x: Column) -> Column:
         n = F.size(out)
@@ -68,19 +90,19 @@ def cell_safe(text: Column) -> Column:
     return text
 
 
-def substituted_tags(docs: DataFrame, recognise: Callable[[Column], Column], key: str = "doc_id", text: str = "text") -> DataFrame:
+def substituted_tags(docs: DataFrame, recognise: Callable[[Column], Column], key: str = "doc_id", text: str = "text", tags: Tags = Tags()) -> DataFrame:
     """(key, text) with each image tag replaced by `recognise` of its path, flat inside table cells.
 
     Each distinct path is recognised once for the whole corpus. A path whose result is null keeps its tag. Rows stay apart by
     key and a hash of their text; repeated rows count each, a null key is kept, a null text stays null.
     """
-    row = [key, "_row", "_text"]
+    row, image = [key, "_row", "_text"], _image(tags)
     named = docs.select(F.col(key), F.xxhash64(text).alias("_row"), F.md5(text).alias("_text"), F.col(text).alias("_whole"))
     rows = named.groupBy(*row).agg(F.first("_whole").alias("_whole"), F.count("*").alias("_times"))
-    parts = rows.where("_whole is not null").select(*row, "_times", F.posexplode(F.split("_whole", rf"(?={IMAGE})|(?<=\])")).alias("at", "part"))
+    parts = rows.where("_whole is not null").select(*row, "_times", F.posexplode(F.split("_whole", rf"(?={image})|(?<={re.escape(tags.image[1])})")).alias("at", "part"))
     depth = F.regexp_count("part", F.lit(r"(?i)<t[dh][\s>]")) - F.regexp_count("part", F.lit(r"(?i)</t[dh]>"))
     open_cells = F.sum(depth).over(Window.partitionBy(*row).orderBy("at"))
-    parts = parts.withColumn("path", F.regexp_extract("part", rf"^{IMAGE}$", 1)).withColumn("inside", open_cells > 0)
+    parts = parts.withColumn("path", F.regexp_extract("part", f"^{image}$", 1)).withColumn("inside", open_cells > 0)
     known = parts.where("path != ''").select("path").distinct().withColumn("found", recognise(F.col("path")))
     both = parts.join(known, "path", "left")
     shown = F.when(F.col("found").isNull(), F.col("part")).when(F.col("inside"), cell_safe(F.col("found"))).otherwise(F.col("found"))
