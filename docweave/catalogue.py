@@ -266,7 +266,23 @@ def sheet_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.components(_cells(spark, sf_dir))
 
 
-@query("with c as (select l_suppkey as doc, 0 as page, l_orderkey as id, l_linenumber as r, k as c, case k when 0 then case when l_linenumber % 2 = 0 then '' else 'mode' end when 1 then l_returnflag else case when l_orderkey % 3 = 0 then null else l_linestatus || l_returnflag end end as text from lineitem, range(3) as x(k)), rr as (select doc, page, id, r, count(*) as n, sum(case when coalesce(trim(text), '') <> '' then 1 else 0 end) as f, max(c) as c, sum(case when length(coalesce(trim(text), '')) >= 2 then 1 else 0 end) as m from c group by all), t as (select doc, page, id, count(*) as n_rows, cast(max(c) + 1 as bigint) as n_cols, sum(n) as n, sum(f) as f, sum(case when f = 0 then 1 else 0 end) as bare, sum(m) as m from rr group by all) select doc, page, id, n_rows, n_cols, round(f / (n_rows * n_cols), 6) as fill, case when n_rows < 2 then 0.0 else round(1.1 - case when f / (n_rows * n_cols) < 0.05 then 0.5 when f / (n_rows * n_cols) < 0.15 then 0.25 else 0 end - case when bare >= n_rows * 0.7 then 0.25 else 0 end - case when m < 2 then 0.25 else 0 end, 6) end::double as confidence, n_rows >= 2 as kept from t")
+@query("""
+with c as (
+  select l_suppkey as doc, 0 as page, l_orderkey as id, l_linenumber as r, k as c,
+    case k when 0 then case when l_linenumber % 2 = 0 then '' else 'mode' end when 1 then l_returnflag
+      else case when l_orderkey % 3 = 0 then null else l_linestatus || l_returnflag end end as text
+  from lineitem, range(3) as x(k)
+), rr as (
+  select doc, page, id, r, count(*) as n, count(*) filter (coalesce(trim(text), '') <> '') as f, max(c) as c, count(*) filter (length(coalesce(trim(text), '')) >= 2) as m
+  from c group by doc, page, id, r
+), t as (
+  select doc, page, id, count(*) as n_rows, cast(max(c) + 1 as bigint) as n_cols, sum(n) as n, sum(f) as f, count(*) filter (f = 0) as bare, sum(m) as m from rr group by doc, page, id
+), s as (
+  select *, case when n_rows < 2 then 0.0 else least(1.0, round(1.1 - case when f / n < 0.05 then 0.3 when f / n < 0.15 then 0.15 else 0 end - case when bare >= n_rows * 0.7 then 0.15 else 0 end
+    - case when m < 2 then 0.15 else 0 end - case when n_rows - bare < 2 then 0.15 else 0 end, 6)) end::double as confidence from t
+)
+select doc, page, id, n_rows, n_cols, round(f / n, 6) as fill, confidence, confidence >= 0.35 as kept from s
+""")
 def candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as doc", "0 as page", "l_orderkey as id", "l_linenumber as r", "array(if(l_linenumber % 2 = 0, '', 'mode'), l_returnflag, if(l_orderkey % 3 = 0, null, concat(l_linestatus, l_returnflag))) as a")
     return G.candidate_scores(rows.select("doc", "page", "id", "r", F.posexplode("a").alias("c", "text")))

@@ -403,6 +403,42 @@ def table_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table_parts(*_framed(spark, sf_dir)).drop("id")
 
 
+@query(
+    """
+with c as (
+  select 0 as doc, cast(0 as int) as page, doc_id // 20 as id, doc_id % 20 as r, k as c,
+    case k when 0 then case when (doc_id // 20) % 3 = 0 or doc_id % 4 = 0 then coalesce(source, '') else ' ' end
+      else regexp_replace(substring(coalesce(text, ''), 1, cast(20 + (doc_id // 20) % 7 * 30 as bigint)), '^[ \\n\\t\\r]+|[ \\n\\t\\r]+$', '', 'g') end as text
+  from documents, range(2) as x(k)
+), x as (
+  select *, length(trim(text)) as n, len(regexp_split_to_array(trim(text), '[ \\n\\t\\r]+')) as words, regexp_matches(text, '[.。?!,、]') as marks from c
+), p as (
+  select *, (n >= 100 and words >= 8 and marks) or (n >= 150 and marks) or (n >= 80 and words >= 10) as par from x
+), rr as (
+  select id, r, count(*) filter (n > 0) as f, count(*) filter (n >= 2) as m, count(*) filter (par) as par, max(n) filter (c = 0) as n0, max(n) filter (c = 1) as n1, sum(n) as letters from p group by id, r
+), t as (
+  select id, count(*) as n_rows, sum(f) as f, sum(m) as m, sum(par) as par, count(*) filter (f = 0) as bare, count(*) filter (n0 = 0) as blank, count(*) filter (n1 > 80) as long, sum(letters) as letters from rr group by id
+), s as (
+  select *, case when n_rows < 2 or (blank >= n_rows * 0.6 and long >= n_rows * 0.3) or par > 0.6 * greatest(1, f) then 0.0 else
+    greatest(0, least(1, case when id % 2 = 0 then 1.1 else 1.0 end - case when f / (2 * n_rows) < 0.05 then 0.3 when f / (2 * n_rows) < 0.15 then 0.15 else 0 end - case when bare >= n_rows * 0.7 then 0.15 else 0 end
+      - case when m < 2 then 0.15 else 0 end - case when n_rows - bare < 2 then 0.15 else 0 end - case when par > 0.1 * greatest(1, f) then 0.15 else 0 end
+      - case when letters * 50 < 100 * (id % 9 * 100) * 0.005 or id % 9 = 0 then 0.1 else 0 end - case when id % 9 * 100 > 560 and n_rows > 15 then 0.15 else 0 end)) end as conf from t
+)
+select 0 as doc, cast(0 as int) as page, id, n_rows, cast(2 as bigint) as n_cols, round(f / (2 * n_rows), 6) as fill, round(cast(conf as double), 6) as confidence, round(cast(conf as double), 6) >= 0.35 as kept from s
+"""
+)
+def candidate_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty documents' beginnings as a table of two columns, some of which are paragraphs or have no first column."""
+    from .operators.geometry import candidate_scores
+
+    group = F.floor(F.col("doc_id") / 20)
+    docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("doc"), F.lit(0).alias("page"), group.alias("id"), (F.col("doc_id") % 20).alias("r"), F.col("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    first = F.when((F.col("id") % 3 == 0) | (F.col("doc_id") % 4 == 0), F.col("source")).otherwise(F.lit(" "))
+    cells = docs.select("doc", "page", "id", "r", F.posexplode(F.array(first, F.expr("substring(text, 1, cast(20 + id % 7 * 30 as int))"))).alias("c", "text"))
+    boxes_ = docs.select("doc", "page", "id").distinct().selectExpr("*", "0D as x0", "0D as y0", "100D as x1", "cast(id % 9 * 100 as double) as y1", "800D as height", "id % 2 = 0 as told")
+    return candidate_scores(cells, boxes_)
+
+
 @query()
 def chunk_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents by SQL's chunk(); a test holds them against `chunks`."""
@@ -428,6 +464,9 @@ def _scalars() -> None:
     odd, plain = "".join(T.COMPATIBILITY), "".join(T.COMPATIBILITY.values())
     broken = lambda: F.translate("text", "()[]/+~\"ea", "".join(odd[i] for i in (0, 1, 2, 3, 7, 9, 10, 11, 6, 15)))
     sql = f"translate(translate(text, '()[]/+~\"ea', '{''.join(odd[i] for i in (0, 1, 2, 3, 7, 9, 10, 11, 6, 15))}'), '{odd}', '{plain}')"
+    fields = lambda: {"segment": F.col("c_mktsegment"), "last_saved_time": F.when(F.col("c_custkey") % 2 == 0, F.timestamp_seconds(F.col("c_custkey") * 1000003)), "company": F.lit(None), "author": F.col("c_name"), "title": F.when(F.col("c_custkey") % 3 == 0, "")}
+    at = "case when c_custkey % 2 = 0 then '  수정일: ' || strftime(to_timestamp(c_custkey * 1000003) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') end"
+    scalar("metadata_labelled", "customer", "c_custkey", lambda: T.labelled_metadata(fields()), "block", f"'<Document-Metadata>' || chr(10) || concat_ws(chr(10), '  작성자: ' || c_name, {at}, '  Segment: ' || c_mktsegment) || chr(10) || '</Document-Metadata>'")
     scalar("compatibility_mapped", "documents", "doc_id", lambda: T.compatible(broken()), "mapped", sql)
 
 

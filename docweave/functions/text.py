@@ -111,6 +111,31 @@ def metadata_block(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("<Document-Metadata>\n"), F.concat_ws("\n", *lines), F.lit("\n</Document-Metadata>"))
 
 
+#: Fields in the order in which they stand, those that may follow, and their labels by language.
+FIELDS = ("title", "subject", "author", "keywords", "comments", "last_saved_by", "create_time", "last_saved_time")
+MORE_FIELDS = ("version", "category", "company", "manager", "file_name", "file_size", "encoding", "row_count", "col_count")
+LABELS = {
+    "en": ("Title", "Subject", "Author", "Keywords", "Comments", "Last Saved By", "Created", "Last Modified", "Version", "Category", "Company", "Manager", "File Name", "File Size", "Encoding", "Row Count", "Column Count"),
+    "ko": ("제목", "주제", "작성자", "키워드", "설명", "마지막 수정자", "작성일", "수정일", "버전", "범주", "회사", "관리자", "파일명", "파일 크기", "인코딩", "행 개수", "열 개수"),
+}
+
+
+def labelled_metadata(fields: dict[str, Column], language: str = "ko", times: str = "yyyy-MM-dd HH:mm:ss", tag: tuple[str, str] = ("<Document-Metadata>", "</Document-Metadata>")) -> Column:
+    """Tagged block of the fields that are there, the usual ones first and in their order, under their labels.
+
+    A field without a label of its own has its name, in words with capitals. Null fields and empty usual ones are left out; without
+    any field the block is empty. Columns named …_time are shown as `times` if they are timestamps.
+    """
+    labels = dict(zip((*FIELDS, *MORE_FIELDS), LABELS[language], strict=True))
+    lines = []
+    for name in sorted(fields, key=lambda k: FIELDS.index(k) if k in FIELDS else len(FIELDS)):
+        value = F.date_format(fields[name], times) if name.endswith("_time") else fields[name].cast("string")
+        there = value.isNotNull() & (value != "") if name in FIELDS else value.isNotNull()
+        lines.append(F.when(there, F.concat(F.lit(f"  {labels.get(name, name.replace('_', ' ').title())}: "), value)))
+    body = F.concat_ws("\n", *lines)
+    return F.when(body == "", "").otherwise(F.concat(F.lit(tag[0] + "\n"), body, F.lit("\n" + tag[1])))
+
+
 #: Character classes of the quality score.
 PRIVATE = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
 COMPATIBLE = r"[\x{3200}-\x{33FF}\x{3700}-\x{37FF}]"

@@ -63,19 +63,43 @@ def adjacent_tables(tables: DataFrame, gap: float = 30, overlap: float = 0.8) ->
     return first.withColumn("part", (F.sum("_new").over(order) - 1).cast("int")).drop("_new")
 
 
-def candidate_scores(cells: DataFrame, least: float = 0.35) -> DataFrame:
+def candidate_scores(cells: DataFrame, boxes: DataFrame | None = None, least: float = 0.35) -> DataFrame:
     """(doc, page, id, n_rows, n_cols, fill, confidence, kept): what speaks for and against each candidate table.
 
-    cells: doc, page, id, r, c, text. Fewer than two rows or columns, or a cell of over 800 characters, is rejected.
+    cells: doc, page, id, r, c, text; boxes, where they are known: doc, page, id, y0, y1, x0, x1, height (of the page), told (whether
+    the cells were told by the file rather than guessed). Confidence 0 for fewer than two rows or columns, a cell of over 800 characters, over
+    0.6 of the filled cells being paragraphs, or two columns of which the first is empty in 0.6 of the rows and the second
+    over 80 characters long in 0.3. Null texts are empty; rows with a null doc, page, id, r or c take no part.
     """
-    text = F.coalesce(F.trim("text"), F.lit(""))
-    rows = cells.groupBy(*PAGE, "id", "r").agg(F.count("*").alias("n"), F.sum((text != "").cast("int")).alias("full"), F.max("c").alias("c"), F.sum((F.length(text) >= 2).cast("int")).alias("meaning"), F.sum((F.length(text) > 300).cast("int")).alias("long"), F.max(F.length(text)).alias("longest"))
-    found = rows.groupBy(*PAGE, "id").agg(F.count("*").alias("n_rows"), (F.max("c") + 1).cast("long").alias("n_cols"), F.sum("n").alias("n"), F.sum("full").alias("full"), F.sum((F.col("full") == 0).cast("int")).alias("bare"), F.sum("meaning").alias("meaning"), F.sum("long").alias("long"), F.max("longest").alias("longest"))
-    fill = F.col("full") / (F.col("n_rows") * F.col("n_cols"))
-    minus = lambda when, n: F.when(when, F.lit(n)).otherwise(F.lit(0.0))
-    score = F.lit(1.1) - minus(fill < 0.05, 0.5) - minus((fill >= 0.05) & (fill < 0.15), 0.25) - minus(F.col("bare") >= F.col("n_rows") * 0.7, 0.25) - minus(F.col("meaning") < 2, 0.25) - minus(F.col("n_cols") > 5 * F.col("n_rows"), 0.25) - minus(F.col("long") > 0.4 * F.col("n"), 0.25)
-    bad = (F.col("n_rows") < 2) | (F.col("n_cols") < 2) | (F.col("longest") > 800)
-    scored = found.select(*PAGE, "id", "n_rows", "n_cols", F.round(fill, 6).alias("fill"), F.round(F.when(bad, 0.0).otherwise(score), 6).alias("confidence"))
+    known = cells.dropna(subset=[*PAGE, "id", "r", "c"])
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    known = known.select(*PAGE, "id", "r", "c", text.alias("text"), F.length(text).alias("n"), F.size(F.split(text, r"\s+")).alias("words"), text.rlike("[.。?!,、]").alias("marks"))
+    n, words, marks = F.col("n"), F.col("words"), F.col("marks")
+    # How long texts of how many words are paragraphs, and the limits and penalties below.
+    paragraph = ((n >= 100) & (words >= 8) & marks) | ((n >= 150) & marks) | ((n >= 80) & (words >= 10))
+    count = lambda when: F.count(F.when(when, 1))
+    rows = known.groupBy(*PAGE, "id", "r").agg(
+        F.count("*").alias("cells"), count(n > 0).alias("full"), F.max("c").alias("c"), count(n >= 2).alias("meaning"), count(n > 300).alias("long"), F.max("n").alias("longest"), F.sum("n").alias("letters"), count(paragraph).alias("paragraphs"),
+        F.max(F.when(F.col("c") == 0, n)).alias("first"), F.max(F.when(F.col("c") == 1, n)).alias("second"),
+    )
+    found = rows.groupBy(*PAGE, "id").agg(
+        F.count("*").alias("n_rows"), (F.max("c") + 1).cast("long").alias("n_cols"), *[F.sum(x).alias(x) for x in ("cells", "full", "meaning", "long", "letters", "paragraphs")], count(F.col("full") == 0).alias("bare"), F.max("longest").alias("longest"),
+        count(F.col("second").isNotNull() & (F.coalesce("first", F.lit(0)) == 0)).alias("blank_first"), count(F.col("second") > 80).alias("long_second"),
+    )
+    fill = F.col("full") / F.col("cells")
+    minus = lambda when, x: F.when(when, F.lit(x)).otherwise(F.lit(0.0))
+    base, more = F.lit(1.1), F.lit(0.0)
+    if boxes is not None:
+        found = found.join(boxes.select(*PAGE, "id", "x0", "y0", "x1", "y1", "height", "told"), [*PAGE, "id"])
+        area, high = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.col("y1") - F.col("y0")
+        base = F.when(F.col("told"), 1.1).otherwise(1.0)
+        more = minus((area <= 0) | (F.col("letters") * 50 < area * 0.005), 0.1) + minus((high > F.col("height") * 0.7) & (F.col("n_rows") > 15) & (F.col("n_cols") == 2), 0.15)
+    score = base - minus(fill < 0.05, 0.3) - minus((fill >= 0.05) & (fill < 0.15), 0.15) - minus(F.col("bare") >= F.col("n_rows") * 0.7, 0.15) - minus(F.col("meaning") < 2, 0.15) - minus(F.col("n_rows") - F.col("bare") < 2, 0.15)
+    score = score - minus(F.col("n_cols") > 5 * F.col("n_rows"), 0.1) - minus(F.col("long") > 0.4 * F.col("full"), 0.2) - minus(F.col("paragraphs") > 0.1 * F.greatest(F.lit(1), F.col("full")), 0.15) - more
+    two = (F.col("n_cols") == 2) & (F.col("blank_first") >= F.col("n_rows") * 0.6) & (F.col("long_second") >= F.col("n_rows") * 0.3)
+    bad = (F.col("n_rows") < 2) | (F.col("n_cols") < 2) | (F.col("longest") > 800) | two | (F.col("paragraphs") > 0.6 * F.greatest(F.lit(1), F.col("full")))
+    confidence = F.when(bad, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    scored = found.select(*PAGE, "id", "n_rows", "n_cols", F.round(fill, 6).alias("fill"), F.round(confidence, 6).alias("confidence"))
     return scored.withColumn("kept", F.col("confidence") >= least)
 
 
