@@ -19,7 +19,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without a letter or of too narrow a margin go.
 
-    Null and empty texts have no letter and go; repeated rows stay or go together; an empty table gives no rows.
+    Dictionaries come from a bounded sample of the documents with an id (at most 256 texts a language); these few are judged by dictionaries that hold
+    them, so that they nearly always stay. Null and empty texts have no letter and go; repeated rows stay or go together; an empty table gives no rows.
     """
     found = identify(docs.select(COLUMNS), learn(docs, F.col("doc_id").isNotNull()))
     return found.where("not rejected").select(COLUMNS)
