@@ -76,11 +76,11 @@ def connected(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     labels = cut(nodes.select(*keys, "id").distinct().withColumn("root", F.col("id")))
     while not links.isEmpty():
         both = links.select(*keys, F.col("a").alias("id"), F.col("b").alias("to")).union(links.select(*keys, F.col("b").alias("id"), F.col("a").alias("to")))
-        least = cut(both.groupBy(*keys, "id").agg(F.least("id", F.min("to")).alias("to")))
+        least = both.groupBy(*keys, "id").agg(F.least("id", F.min("to")).alias("to"))
         further = least.select(*keys, F.col("id").alias("to"), F.col("to").alias("further"))
         jumped = cut(least.join(further, [*keys, "to"], "left").select(*keys, "id", F.least("to", "further").alias("to")))
         moved = lambda rows, c: rows.join(jumped.withColumnRenamed("id", c), [*keys, c], "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: E731, B023
-        old = (links, labels, least, jumped)
+        old = (links, labels, jumped)
         links, labels = cut(ends(moved(moved(links, "a"), "b"))), cut(moved(labels, "root").select(*keys, "id", "root"))
         for table in old:
             freed(table)
