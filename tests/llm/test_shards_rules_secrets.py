@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.llm.queries import RULES, op5_sharding_rows, op7_secrets_rows
-from docweave.llm.secrets import ALPHABETS, _with_p, redacted, secrets
+from docweave.llm.secrets import ALARMS, ALPHABETS, _with_p, null_runs, redacted, secrets, thresholds, with_p_text
 from docweave.llm.url_rules import judge
 
 
@@ -173,3 +173,59 @@ def test_p_values_of_random_strings(spark, name, n):
     text = ["".join(rnd.choice(["/the", "some", "over", "path", "with", "house", "2024", "-"]) for _ in range(30))[:n] for _ in range(300)]
     low = [r.p for r in _with_p(spark.createDataFrame([(v,) for v in text], "value string")).collect()]
     assert sum(p <= 0.05 for p in low) >= 0.8 * len(low)
+
+
+def slug(rnd, n):
+    """Words, separators and a number, n characters in all."""
+    words = "the some over path with house river green under value index report summer people market window little garden between morning company language number station holiday picture kitchen machine student country".split()
+    out = f"{rnd.randint(1, 2030)}"
+    while len(out) < n:
+        out += rnd.choice("/-_") + (rnd.choice(words).capitalize() if rnd.random() < 0.2 else rnd.choice(words))
+    return out[:n]
+
+
+def test_reported_side_by_length(spark):
+    """False alarms of text and of fresh null runs, and power, by length and encoding (printed)."""
+    rnd = random.Random(77)
+    values = [(f"{name} {n}", "".join(rnd.choices(ALPHABETS[name], k=n))) for name in ALPHABETS for n in (24, 32, 40, 64, 128, 600) for _ in range(200)]
+    values += [(f"text {n}", slug(rnd, n)) for n in (24, 32, 40, 64, 128, 600) for _ in range(2000)]
+    share = lambda level: F.avg((F.col("p_text") <= level).cast("int"))
+    rows = with_p_text(_with_p(spark.createDataFrame(values, "what string, value string"))).groupBy("what").agg(share(0.05).alias("at5"), share(0.01).alias("at1")).collect()
+    for r in sorted(rows, key=lambda r: (r.what.split()[0], int(r.what.split()[1]))):
+        print(r.what, round(r.at5, 3), round(r.at1, 3))
+        if r.what.startswith("text"):
+            assert r.at5 <= 0.05 and r.at1 <= 0.01
+        elif int(r.what.split()[1]) >= 64:
+            assert r.at5 >= 0.95
+    fresh = with_p_text(_with_p(null_runs(spark, 1000, seed=9).select("value"))).groupBy("encoding", "length_class").agg(share(0.05).alias("at5"), share(0.01).alias("at1")).collect()
+    assert len(fresh) == 60 and all(r.at5 <= 0.09 and r.at1 <= 0.03 for r in fresh)
+    assert sum(r.at5 for r in fresh) / len(fresh) <= 0.05 and sum(r.at1 for r in fresh) / len(fresh) <= 0.01
+
+
+def test_thresholds():
+    rnd = random.Random(4)
+    for _ in range(50):
+        bins = {b: rnd.randint(1, 20) for b in rnd.sample(range(-80, 1), 12)}
+        ends = sorted(2 ** ((b + 1) / 4) for b, n in bins.items() for _ in range(n))
+        kept = [i for i, p in enumerate(ends, 1) if p <= ALARMS * i / len(ends)]
+        got = thresholds({5: bins})
+        assert sum(n for b, n in bins.items() if 5 in got and b <= got[5]) == (max(kept) if kept else 0)
+    assert thresholds({}) == {}
+
+
+def test_reported_runs_are_secrets(spark):
+    """Half the runs of every length are text: few of those reported are, most secrets of 40 characters or more are found."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(1200):
+        n, secret = rnd.choice((24, 32, 40, 64, 100, 300)), i % 2
+        value = "".join(rnd.choices(ALPHABETS["base64"], k=n)) if secret else slug(rnd, n)
+        rows.append((i, f"see {value} there", n, secret))
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, secret int").repartition(4)
+    got = {r.doc_id for r in secrets(df).where("exists(spans, s -> s.kind = 3)").collect()}
+    wrong, right = sum(not rows[i][3] for i in got), sum(rows[i][3] for i in got)
+    print(f"{right} secrets and {wrong} texts reported")
+    assert wrong <= 0.05 * len(got)
+    for n, least in ((40, 0.8), (64, 0.95), (100, 0.95), (300, 0.95)):
+        mine = [r[0] for r in rows if r[2] == n and r[3] and not brute_base(r[1])]
+        assert sum(i in got for i in mine) >= least * len(mine)
