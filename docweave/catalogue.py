@@ -244,7 +244,21 @@ def annotation_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.notes_of_tables(b.where("id % 2 = 0").withColumn("text", F.concat(F.lit("* "), "text")), b.where("id % 2 = 1"))
 
 
-@query()
+@query(f"""
+with recursive b as (
+  {BOXES}
+), s as (
+  select *, (x1 - x0) * (y1 - y0) as area, row_number() over (partition by doc, page order by id % 10 / 10 - 0.15::double * (id % 3) desc, id) as n from b
+), t as (
+  select doc, page, n, true as taken, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'area': area}}] as kept from s where n = 1
+  union all
+  select s.doc, s.page, s.n, free, case when free then list_append(t.kept, {{'x0': s.x0, 'y0': s.y0, 'x1': s.x1, 'y1': s.y1, 'area': s.area}}) else t.kept end
+  from t join s on s.doc = t.doc and s.page = t.page and s.n = t.n + 1,
+  lateral (select len(list_filter(t.kept, lambda k: greatest(0, least(s.x1, k.x1) - greatest(s.x0, k.x0)) * greatest(0, least(s.y1, k.y1) - greatest(s.y0, k.y0)) >= 0.3::double * least(s.area, k.area))) = 0 as free) as x
+)
+select s.doc, s.page, s.id, s.x0, s.y0, s.x1, s.y1, cast(s.id % 10 / 10 as double) as confidence, cast(s.id % 3 as int) as priority
+from s join t on t.doc = s.doc and t.page = s.page and t.n = s.n where t.taken
+""")
 def table_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates left after overlap suppression; tests hold it against a plain loop."""
     scored = boxes(spark, sf_dir).withColumns({"confidence": (F.col("id") % 10 / 10).cast("double"), "priority": (F.col("id") % 3).cast("int")})
@@ -260,9 +274,28 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr("cast(l_suppkey % 5 as int) as doc", "cast(l_linenumber % 3 as int) as sheet", "cast(l_orderkey % 400 as int) as r", "cast(l_partkey % 30 as int) as c")
 
 
-@query()
+@query("""
+with recursive c as (
+  select distinct cast(l_suppkey % 5 as int) as doc, cast(l_linenumber % 3 as int) as sheet, cast(l_orderkey % 400 as int) as r, cast(l_partkey % 30 as int) as c from lineitem
+), i as (
+  select *, c - row_number() over (partition by doc, sheet, r order by c) as k from c
+), g as (
+  select doc, sheet, r, min(c) as c1, max(c) as c2, row_number() over (order by doc, sheet, r, min(c)) as id from i group by doc, sheet, r, k
+), p as (
+  select a.id as a, b.id as b from g a join g b on a.doc = b.doc and a.sheet = b.sheet and abs(a.r - b.r) = 1 and a.c1 <= b.c2 and b.c1 <= a.c2
+), w as (
+  select id, id as other from g
+  union
+  select w.id, p.b from w join p on p.a = w.other
+), m as (
+  select id, min(other) as root from w group by id
+), f as (
+  select doc, sheet, root, min(r) as r1, min(c1) as c1, max(r) as r2, max(c2) as c2, count(*) as runs from g join m using (id) group by doc, sheet, root
+)
+select doc, sheet, cast(row_number() over (partition by doc, sheet order by r1, c1, r2, c2, root) - 1 as int) as block, r1, c1, r2, c2, runs from f
+""")
 def sheet_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of touching cells of each sheet; tests hold it against a flood fill."""
+    """Boxes of touching cells of each sheet; tests hold it against a flood fill too."""
     return G.components(_cells(spark, sf_dir))
 
 

@@ -149,10 +149,24 @@ def tables_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.rendered_tables(cells.withColumn("col_span", F.when((F.col("c") == 0) & (F.col("n_nationkey") % 2 == 0), 2).otherwise(1)))
 
 
-@query()
+def _unions(rounds: int) -> str:
+    """Rounds of unions of what hangs together, as so many recursive tables."""
+    out = ["with recursive u0 as (select distinct p_partkey // 50 as doc, p_size % 3 as sheet, p_partkey * 7 % 60 as r1, p_partkey * p_size % 40 as c1, p_partkey * 7 % 60 + 4 as r2, p_partkey * p_size % 40 + 3 as c2 from part)"]
+    meets = "a.doc = b.doc and a.sheet = b.sheet and a.r1 <= b.r2 and b.r1 <= a.r2 and a.c1 <= b.c2 and b.c1 <= a.c2"
+    for i in range(1, rounds + 1):
+        out.append(f"n{i} as (select *, row_number() over (order by doc, sheet, r1, c1, r2, c2) as id from u{i - 1})")
+        out.append(f"p{i} as (select a.id as a, b.id as b from n{i} a join n{i} b on {meets})")
+        out.append(f"w{i} as (select a as id, b as other from p{i} union select w.id, p.b from w{i} w join p{i} p on p.a = w.other)")
+        out.append(f"m{i} as (select id, min(other) as root from w{i} group by id)")
+        out.append(f"u{i} as (select doc, sheet, min(r1) as r1, min(c1) as c1, max(r2) as r2, max(c2) as c2 from n{i} join m{i} using (id) group by doc, sheet, root)")
+    last = f"u{rounds}"
+    return ", ".join(out) + f" select cast(doc as bigint) as doc, cast(sheet as int) as sheet, cast(row_number() over (partition by doc, sheet order by r1, c1, r2, c2) - 1 as int) as block, cast(r1 as int) as r1, cast(c1 as int) as c1, cast(r2 as int) as r2, cast(c2 as int) as c2 from {last}"
+
+
+@query(_unions(8))
 def boxes_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of sheets without overlaps; tests hold it against repeated unions."""
-    rows = table(spark, sf_dir, "part").selectExpr("cast(floor(p_partkey / 50) as bigint) as doc", "p_size % 3 as sheet", "cast(p_partkey * 7 % 60 as int) as r1", "cast(p_partkey * 11 % 40 as int) as c1")
+    """Boxes of sheets without overlaps; tests hold it against repeated unions too."""
+    rows = table(spark, sf_dir, "part").selectExpr("cast(floor(p_partkey / 50) as bigint) as doc", "p_size % 3 as sheet", "cast(p_partkey * 7 % 60 as int) as r1", "cast(p_partkey * p_size % 40 as int) as c1")
     return D.merged_boxes(rows.selectExpr("*", "r1 + 4 as r2", "c1 + 3 as c2"))
 
 

@@ -6,11 +6,13 @@ one page is the largest group.
 
 from __future__ import annotations
 
+import pandas as pd
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .layout import islands
+from .near import connected, cut
 
 PAGE = ["doc", "page"]
 
@@ -132,40 +134,70 @@ def cell_runs(cells: DataFrame) -> DataFrame:
     return numbered.groupBy("doc", "sheet", "r", "_i").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).drop("_i")
 
 
-def components(cells: DataFrame) -> DataFrame:
-    """(doc, sheet, block, r1, c1, r2, c2, runs): boxes of the cells that touch in rows or columns, counted by top and left.
+def touching_runs(runs: DataFrame) -> DataFrame:
+    """(doc, sheet, a, b): ids of runs (doc, sheet, id, r, c1, c2) of neighbouring rows that share a column.
 
-    Runs are found by windows; only the runs of one sheet meet in a task.
+    Runs of one row are apart, so of two that share a column the one that starts later need only look at the last run of
+    the other row that has started: a window over two rows, without pairing all their runs.
     """
+    lower = F.explode(F.array(F.lit(0), F.lit(1)))
+    both = runs.withColumn("_lower", lower).withColumn("_pair", F.col("r") - F.col("_lower"))
+    so_far = Window.partitionBy("doc", "sheet", "_pair").orderBy("c1", "_lower").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda side: F.last(F.when(F.col("_lower") == side, F.struct("id", "c2")), ignorenulls=True).over(so_far)
+    met = both.withColumn("_last0", last(0)).withColumn("_last1", last(1))
+    met = met.select("doc", "sheet", "c1", F.col("id").alias("a"), F.when(F.col("_lower") == 0, F.col("_last1")).otherwise(F.col("_last0")).alias("_other"))
+    return met.where("_other.c2 >= c1").select("doc", "sheet", "a", F.col("_other.id").alias("b"))
+
+
+def _rooted(band: pd.DataFrame) -> pd.DataFrame:
+    """A band's runs with root, the smallest id of those that hang together within the band."""
+    band = band.sort_values(["r", "c1"], ignore_index=True)
+    root = list(range(len(band)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    rows = {r: list(g) for r, g in band.groupby("r").groups.items()}
+    c1, c2 = band["c1"].tolist(), band["c2"].tolist()
+    for r in sorted(rows):
+        above, k = rows.get(r - 1, []), 0
+        for i in rows[r]:
+            while k < len(above) and c2[above[k]] < c1[i]:
+                k += 1
+            j = k
+            while j < len(above) and c1[above[j]] <= c2[i]:
+                x, y = find(i), find(above[j])
+                root[max(x, y)] = min(x, y)
+                j += 1
+    ids = band["id"].to_numpy()
+    return band.assign(root=ids[[find(i) for i in range(len(band))]])
+
+
+def components(cells: DataFrame, rows: int = 64) -> DataFrame:
+    """(doc, sheet, block, r1, c1, r2, c2, runs): boxes of the cells that touch in rows or columns, counted by top and left.
 
-    def joined(sheet: pd.DataFrame) -> pd.DataFrame:
-        sheet = sheet.sort_values(["r", "c1"], ignore_index=True)
-        root = list(range(len(sheet)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
-        above: list[int] = []
-        rows = {r: list(g) for r, g in sheet.groupby("r").groups.items()}
-        c1, c2 = sheet["c1"].to_numpy(), sheet["c2"].to_numpy()
-        for r in sorted(rows):
-            above, k = rows.get(r - 1, []), 0
-            for i in rows[r]:
-                while k < len(above) and c2[above[k]] < c1[i]:
-                    k += 1
-                j = k
-                while j < len(above) and c1[above[j]] <= c2[i]:
-                    root[find(i)] = find(above[j])
-                    j += 1
-        sheet["root"] = [find(i) for i in range(len(sheet))]
-        boxes = sheet.groupby("root").agg(r1=("r", "min"), c1=("c1", "min"), r2=("r", "max"), c2=("c2", "max"), runs=("r", "size")).sort_values(["r1", "c1"], ignore_index=True)
-        return boxes.assign(doc=sheet["doc"].iloc[0], sheet=sheet["sheet"].iloc[0], block=range(len(boxes)))[["doc", "sheet", "block", "r1", "c1", "r2", "c2", "runs"]]
-
-    runs = cell_runs(cells)
-    kinds = dict(runs.dtypes)
-    return runs.groupBy("doc", "sheet").applyInPandas(joined, f"doc {kinds['doc']}, sheet {kinds['sheet']}, block int, r1 int, c1 int, r2 int, c2 int, runs long")
+    Runs come from windows over a row. Bands of `rows` rows (two at least), however long the sheet, are joined in a task
+    each; what they leave is linked over their borders and joined by rounds of Spark joins. Boxes that tie count by
+    bottom, right, then their first run. Repeated cells count once, cells without doc, sheet, r or c are left out, an
+    empty table gives none.
+    """
+    keys = ["doc", "sheet"]
+    runs = cell_runs(cells.dropna(subset=[*keys, "r", "c"]))
+    runs = runs.withColumn("id", F.col("r").cast("long") * 2**31 + F.col("c1")).withColumn("band", F.floor(F.col("r") / rows))
+    banded = cut(runs.groupBy(*keys, "band").applyInPandas(_rooted, ", ".join(f"{c} {t}" for c, t in runs.dtypes) + ", root long"))
+    borders = touching_runs(banded.where(F.pmod("r", F.lit(rows)).isin(0, rows - 1))).join(banded.select(*keys, F.col("id").alias("a"), F.col("root").alias("ra"), F.col("band").alias("ba")), [*keys, "a"])
+    borders = borders.join(banded.select(*keys, F.col("id").alias("b"), F.col("root").alias("rb"), F.col("band").alias("bb")), [*keys, "b"]).where("ba <> bb")
+    edges = cut(borders.select(*keys, F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    nodes = edges.select(*keys, F.col("a").alias("id")).union(edges.select(*keys, F.col("b").alias("id")))
+    over = connected(nodes, edges, keys).select(*keys, F.col("id").alias("root"), F.col("root").alias("whole"))
+    ranges = [f(c).cast("int").alias(n) for f, c, n in ((F.min, "r", "r1"), (F.min, "c1", "c1"), (F.max, "r", "r2"), (F.max, "c2", "c2"))]
+    parts = banded.groupBy(*keys, "root").agg(*ranges, F.count("*").alias("runs")).join(over, [*keys, "root"], "left")
+    box = [F.min("r1").alias("r1"), F.min("c1").alias("c1"), F.max("r2").alias("r2"), F.max("c2").alias("c2"), F.sum("runs").alias("runs")]
+    found = parts.groupBy(*keys, F.coalesce("whole", "root").alias("root")).agg(*box)
+    block = F.row_number().over(Window.partitionBy(*keys).orderBy("r1", "c1", "r2", "c2", "root")) - 1
+    return found.select(*keys, block.alias("block"), "r1", "c1", "r2", "c2", "runs")
 
 
 def merged_elements(elements: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ sheet, so one of these is the largest group. Numbers given as defaults are fixed
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .layout import islands
+from .near import connected, cut, freed, near_pairs
 
 PAGE = ["doc", "page"]
 
@@ -167,21 +167,24 @@ def rendered_tables(cells: DataFrame) -> DataFrame:
 
 
 def merged_boxes(boxes: DataFrame) -> DataFrame:
-    """(doc, sheet, block, r1, c1, r2, c2): boxes of a sheet, overlapping ones replaced by their union until none overlap, in order."""
-
-    def joined(sheet: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(sheet[["r1", "c1", "r2", "c2"]].itertuples(index=False, name=None))
-        done: list[tuple[int, int, int, int]] = []
-        for a in left:  # a union may reach boxes that were apart before
-            while True:
-                met = [b for b in done if a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]]
-                if not met:
-                    break
-                done = [b for b in done if b not in met]
-                a = (min(a[0], *(b[0] for b in met)), min(a[1], *(b[1] for b in met)), max(a[2], *(b[2] for b in met)), max(a[3], *(b[3] for b in met)))
-            done.append(a)
-        out = pd.DataFrame(sorted(done), columns=["r1", "c1", "r2", "c2"])
-        return out.assign(doc=sheet["doc"].iloc[0], sheet=sheet["sheet"].iloc[0], block=range(len(out)))[["doc", "sheet", "block", "r1", "c1", "r2", "c2"]]
-
-    kinds = dict(boxes.dtypes)
-    return boxes.groupBy("doc", "sheet").applyInPandas(joined, f"doc {kinds['doc']}, sheet {kinds['sheet']}, block int, r1 int, c1 int, r2 int, c2 int")
+    """(doc, sheet, block, r1, c1, r2, c2): boxes of a sheet, overlapping ones replaced by their union until none overlap, in order.
+
+    In each round boxes that hang together by overlaps become one, as a union may reach boxes that were apart before;
+    rounds end when no two overlap. Overlaps come from a join on tiles, so a sheet may hold any number of boxes. Equal
+    boxes are one, boxes with a null are left out, an empty table gives none.
+    """
+    keys, sides = ["doc", "sheet"], ["r1", "c1", "r2", "c2"]
+    left = cut(boxes.select(*keys, *[F.col(c).cast("int").alias(c) for c in sides]).dropna().distinct())
+    meets = (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("b.y0") <= F.col("a.y1"))
+    while True:
+        named = left.select(*keys, F.struct(*sides).alias("id"), F.col("c1").alias("x0"), F.col("r1").alias("y0"), F.col("c2").alias("x1"), F.col("r2").alias("y1"))
+        pairs = cut(near_pairs(named, keys, meets, 0))
+        if pairs.isEmpty():
+            break
+        roots = connected(named, pairs, keys)
+        union = [F.min("id.r1").alias("r1"), F.min("id.c1").alias("c1"), F.max("id.r2").alias("r2"), F.max("id.c2").alias("c2")]
+        old, left = (left, pairs), cut(roots.groupBy(*keys, "root").agg(*union).select(*keys, *sides))
+        for t in old:
+            freed(t)
+    block = F.row_number().over(Window.partitionBy(*keys).orderBy(*sides)) - 1
+    return left.select(*keys, block.alias("block"), *sides)

@@ -28,6 +28,19 @@ def test_components_equal_flood_fill(spark):
     assert sorted((d, s, *b) for d, s, _, *b in got) == sorted(want)
 
 
+def test_components_over_bands(spark):
+    """Snakes and combs through many bands, equal whatever the bands' height; odd input."""
+    cells = [(1, 0, r, c) for r in range(40) for c in range(9) if r % 4 == 0 or c == (8 if r % 8 < 4 else 0)]
+    cells += [(1, 1, r, c) for r in range(30) for c in (0, 2, 4)] + [(1, 1, 29, c) for c in range(5)] + [(2, 0, 7, 3)] * 3
+    odd = [(None, 0, 1, 1), (1, None, 1, 1), (1, 0, None, 1), (1, 0, 1, None)]
+    df = spark.createDataFrame(cells + odd, "doc int, sheet int, r int, c int")
+    n_runs = {(1, 0): 10 + 10 * 3, (1, 1): 29 * 3 + 1, (2, 0): 1}
+    for rows in (2, 5, 64):
+        got = sorted(map(tuple, G.components(df, rows).collect()))
+        assert got == [(1, 0, 0, 0, 0, 39, 8, n_runs[1, 0]), (1, 1, 0, 0, 0, 29, 4, n_runs[1, 1]), (2, 0, 0, 7, 3, 7, 3, 1)]
+    assert G.components(df.where("false")).count() == 0
+
+
 def test_suppression_equals_loop(spark):
     rows = catalogue.boxes(spark, SF).selectExpr("doc", "page", "id", "x0", "y0", "x1", "y1", "id % 10 / 10D as c", "id % 3 as p").collect()
     taken = []
