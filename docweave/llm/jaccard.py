@@ -15,7 +15,10 @@ Texts become sets of shingle hashes; texts of equal sets are one node. Nodes tha
    next level up. The tree is joined with itself from the root down: the sum of coordinate minima bounds the overlap of
    two boxes, and pairs of nodes that can't reach the similarity go with all below them. What passes among the sets is
    verified on the whole sets, except pairs that links already connect.
-   A family of over FAMILY_BYTES is dealt to tiles, and every pair of tiles is a task, so no task is unbounded.
+   Families chain texts that only share marks, so the largest grows faster than the corpus. One of over FAMILY_BYTES is
+   cut into clusters, which overlap: each holds the nodes of all marks that have the same least node, so that nodes that
+   can link meet in one, and a node goes to as many as its marks have least nodes. What a mark's nodes hold of over
+   FAMILY_BYTES is dealt to tiles, and every pair of tiles is a task, so no task is unbounded.
 3. Components over the links found, which a task gives as one star for each component of its family. Sets are told apart by 128 bits there and in the result; 64 bits, which suffice to
    propose candidates, name them in the families.
 """
@@ -140,16 +143,22 @@ def _marks(n: int, percent: int):
     return marks
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (mark, node) ordered by both to pairs that connect each mark's nodes: of a block of rows, each node with the
-    least that it reaches."""
-    mark, lead, held, size = None, 0, [], 0
+def _all_marks(n: int, percent: int):
+    """Rows (node, text) to rows (mark, node)."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in slices(batches, "text"):
+            nodes = batch.column(0).to_numpy()
+            each = [signatures(s, percent) for s in sets_of(*text_buffer(batch.column(1)), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64)), pa.array(np.repeat(nodes, [len(x) for x in each]))], names=["mark", "node"])
+
+    return marks
 
-    def solve() -> pa.RecordBatch:
-        pairs = np.concatenate(held)
-        node, least = stars(pairs[:, 0], pairs[:, 1])
-        return pa.RecordBatch.from_arrays([pa.array(least), pa.array(node)], names=["a", "b"])
 
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows (mark, node) ordered by both to distinct pairs, of a block of rows, of each mark's least node and another."""
+    mark, lead, held, size = None, 0, [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -162,17 +171,33 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(np.unique(np.stack([leads[differ], nodes[differ]], 1), axis=0))
         size += len(held[-1])
         if size >= EDGES:
-            yield solve()
+            yield np.concatenate(held)
             held, size = [], 0
     if size:
-        yield solve()
+        yield np.concatenate(held)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (mark, node) ordered by both to pairs that connect each mark's nodes: of a block of rows, each node with the
+    least that it reaches."""
+    for pairs in _led(batches):
+        node, least = stars(pairs[:, 0], pairs[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(node)], names=["a", "b"])
+
+
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (mark, node) ordered by both to (lead, node): each mark's least node with all that it has, if they are several."""
+    for pairs in _led(batches):
+        lead = np.unique(pairs[:, 0])
+        pairs = np.unique(np.concatenate([pairs, np.stack([lead, lead], 1)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["lead", "node"])
 
 
 def _sets(n: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, at = text_buffer(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets_of(data, at, n)], pa.binary())], names=["id", "family", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets_of(data, at, n)], pa.binary())], names=["id", "clusters", "items"])
 
     return sets
 
@@ -293,6 +318,17 @@ def _families(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return components(marks.mapInArrow(_pairs, "a long, b long"))
 
 
+def _clusters(chosen: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, clusters) for rows (id, node, n_shingles, family, large, text): structs (cluster, tiles), being the family or, if it
+    is large, the leads of the node's marks. A node of the family names a cluster, so no two families share one."""
+    marks = chosen.where("large").select("node", "text").mapInArrow(_all_marks(n, percent), "mark long, node long").repartition("mark").sortWithinPartitions("mark", "node")
+    leads = marks.mapInArrow(_leads, "lead long, node long").distinct()
+    split = chosen.where("large").select("id", "node", "n_shingles").distinct().join(leads, "node").select("id", "n_shingles", F.col("lead").alias("cluster"))
+    placed = written(chosen.where("not large").select("id", "n_shingles", F.col("family").alias("cluster")).distinct().union(split))
+    tiles = placed.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") * 8 / FAMILY_BYTES).cast("int").alias("tiles"))
+    return written(placed.join(tiles, "cluster").groupBy("id").agg(F.collect_list(F.struct("cluster", "tiles")).alias("clusters")))
+
+
 def row_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, i, k, n_shingles, component) for each row of docs (doc_id, text; other columns are ignored).
 
@@ -305,13 +341,16 @@ def row_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     set_id = F.to_binary(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("node", "twin")]), F.lit("hex"))
     family = _families(rows, n, percent).withColumnRenamed("component", "family")
     one = nodes.where("node is not null").groupBy("node", "twin").agg(F.min(F.struct("i", "k")).alias("at"), F.max("n_shingles").alias("n"))
-    member = written(one.join(family, "node").select("at.i", "at.k", set_id.alias("id"), "family", "n"))
-    tiles = member.groupBy("family").agg(F.ceil(F.sum("n") * 8 / FAMILY_BYTES).cast("int").alias("tiles"))
-    sets = rows.join(member.hint("merge"), ["i", "k"]).select("id", "family", "text").mapInArrow(_sets(n), "id binary, family long, items binary")
-    dealt = sets.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    member = written(one.join(family, "node").select("at.i", "at.k", set_id.alias("id"), "node", "family", F.col("n").alias("n_shingles")))
+    large = member.groupBy("family").agg((F.sum("n_shingles") * 8 > FAMILY_BYTES).alias("large"))
+    chosen = rows.join(member.join(large, "family").hint("merge"), ["i", "k"]).select("id", "node", "n_shingles", "family", "large", "text")
+    chosen = written(chosen)
+    sets = chosen.select("id", "text").join(_clusters(chosen, n, percent).hint("merge"), "id").select("id", "clusters", "text")
+    sets = sets.mapInArrow(_sets(n), "id binary, clusters array<struct<cluster:long,tiles:int>>, items binary")
+    dealt = sets.select("id", "items", F.inline("clusters")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    dealt = dealt.select("family", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "id", "items", "tile")
-    dealt = dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
+    dealt = dealt.select("cluster", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "id", "items", "tile")
+    dealt = dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     component = components(dealt.mapInArrow(_verify(percent), "a binary, b binary")).withColumnRenamed("node", "id")
     named = nodes.select("doc_id", "i", "k", "n_shingles", F.when(F.col("node").isNotNull(), set_id).alias("id"))
     return named.join(component, "id", "left").select("doc_id", "i", "k", "n_shingles", F.coalesce("component", "id").alias("component"))

@@ -58,6 +58,38 @@ def test_components_against_all_pairs(spark, monkeypatch, n, percent, family):
     assert got == brute(rows, n, percent)
 
 
+def chain(n):
+    """Texts of which each shares a third with the next, so that they are one family without a link."""
+    parts = [" ".join(f"p{i}x{j}" for j in range(30)) for i in range(n + 2)]
+    return [f"{parts[i]} {parts[i + 1]} {parts[i + 2]}" for i in range(n)]
+
+
+def test_a_chain_is_dealt_in_proportion(spark, monkeypatch):
+    """A family that marks alone chain together and that is over FAMILY_BYTES doesn't go to all pairs of its tiles."""
+    monkeypatch.setattr(J, "FAMILY_BYTES", 20_000)
+    verify, dealt = J._verify, {}
+    for n in (200, 800):
+        rows = spark.sparkContext.accumulator(0)
+
+        def counted(percent, rows=rows):
+            def run(batches):
+                def seen():
+                    for batch in batches:
+                        rows.add(batch.num_rows)
+                        yield batch
+
+                yield from verify(percent)(seen())
+
+            return run
+
+        monkeypatch.setattr(J, "_verify", counted)
+        found = J.jaccard_components(spark.createDataFrame(list(enumerate(chain(n))), "doc_id long, text string"), 3, 80).collect()
+        assert sorted((r.doc_id, r.component_id) for r in found) == [(i, i) for i in range(n)]
+        dealt[n] = rows.value
+    assert dealt[200] >= 200
+    assert dealt[800] < 6 * dealt[200]
+
+
 def test_empty(spark):
     assert op9_jaccard_rows(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
