@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from docweave.llm import jaccard as J
+from docweave.llm.common import small_star
 from docweave.llm.queries import op9_jaccard_rows
 
 
@@ -149,6 +150,15 @@ def graphs():
     }
 
 
+def test_small_star_makes_a_row_for_a_row(spark):
+    rnd = random.Random(9)
+    edges = sorted({(max(a, b), min(a, b)) for a, b in graphs()["random"] + [(rnd.randrange(40), 50 + rnd.randrange(3)) for _ in range(200)] if a != b})
+    found = [tuple(r) for r in small_star(spark.createDataFrame(edges, "u long, v long")).collect()]
+    assert len(found) == len(edges)
+    assert all(u > v for u, v in found)
+    assert smallest(found) == smallest(edges)
+
+
 @pytest.mark.parametrize("name", graphs())
 def test_components_of_graphs(spark, name):
     edges = [e for e in graphs()[name] if e[0] != e[1]]
