@@ -31,7 +31,7 @@ LONGEST = 4
 BUCKETS = 1 << 20
 #: Occurrences of a pivot for each task that mines it.
 SHARE = 1 << 17
-#: Words that a task gathers before it sends fragments, and bytes of fragments that it mines together.
+#: Words that a task counts together (a quarter of them where it makes fragments, which take more memory a word), and bytes of fragments that it mines together.
 GATHERED, MINED = 1 << 20, 1 << 23
 #: Ranges by hash of which each gives a language's first rows before the last ranking.
 RANKED = 64
@@ -82,8 +82,8 @@ class Held:
         return out
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(words, hashes, pieces, language numbers, languages) of about GATHERED words each, from rows (lang, text)."""
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
+    """(words, hashes, pieces, language numbers, languages) of about `most` words each, from rows (lang, text)."""
     held, langs = Held(), {}
     for batch in slices(batches, "text"):
         column = batch.column(0).to_pylist()
@@ -91,7 +91,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             langs.setdefault(lang, len(langs))
         data, at = text_buffer(batch.column(1))
         held.add(data, at, np.array([langs[x] for x in column]))
-        if held.size >= GATHERED:
+        if held.size >= most:
             yield (*held.taken(), list(langs))
     if held.size:
         yield (*held.taken(), list(langs))
@@ -106,7 +106,7 @@ def _lang_hashes(langs: list[str]) -> np.ndarray:
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, text) to (lang, phrase, bucket, n)."""
     forget()
-    for words, hashes, _, lang, langs in _gathered(batches):
+    for words, hashes, _, lang, langs in _gathered(batches, GATHERED):
         coded = words.dictionary_encode()
         code, first = _coded(lang, coded.indices.to_numpy(zero_copy_only=False))
         mark = _mixed(hashes[first] + _lang_hashes(langs)[lang[first]])
@@ -120,7 +120,7 @@ def _fragments(shared, least: int):
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, part = shared.value, TaskContext.get().partitionId()
-        for turn, (words, hashes, pieces, lang, langs) in enumerate(_gathered(batches)):
+        for turn, (words, hashes, pieces, lang, langs) in enumerate(_gathered(batches, GATHERED // 4)):
             mark = _mixed(hashes + _lang_hashes(langs)[lang])
             often = counts[(mark % np.uint64(BUCKETS)).astype(np.int64)]
             good = np.flatnonzero(often >= least)

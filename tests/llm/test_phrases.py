@@ -1,7 +1,11 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from docweave.llm import phrases as P
@@ -92,3 +96,20 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, lang string, text string")
     assert op11_collocations_rows(empty).count() == 0
     assert op11_collocations_rows(spark.createDataFrame([(1, None, None), (2, "en", " . ")], empty.schema)).count() == 0
+
+
+def test_fragments_take_bounded_memory(monkeypatch):
+    """A task's arrays for fragments, however many words it has, stay below 150 MB."""
+    monkeypatch.setattr(P, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(5000)])
+    batches = (pa.record_batch({"lang": ["en"] * 100, "text": [" ".join(words[rng.zipf(1.3, 500) % 5000]) for _ in range(100)]}) for _ in range(26))
+    shared = SimpleNamespace(value=rng.integers(30, 4000, P.BUCKETS))
+    tracemalloc.start()
+    try:
+        assert sum(x.num_rows for x in P._fragments(shared, 30)(batches))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    print(f"{peak:.0f} MB")
+    assert peak < 150
