@@ -57,11 +57,12 @@ def overlap_ratio(a: dict[str, Column], b: dict[str, Column]) -> Column:
 def best_cells(images: DataFrame, cells: DataFrame, least: float = 0.6, keys: list[str] | None = None, tile: float = 50) -> DataFrame:
     """(keys, image, cell, ratio): the cell of most overlap of each image, if that is at least `least`; ties go to the smaller cell.
 
-    keys: what images and cells must share, such as doc and page. Both are dealt to the tiles they touch, so that the join
-    is on equal keys and tiles however many boxes a page has.
+    keys: what images and cells must share, such as doc and page. Boxes that are alike are compared once, however many images
+    and cells have them. Both are dealt to the tiles they touch, so that the join is on equal keys and tiles.
     """
-    keys = keys or ["page"]
-    box = lambda p: {c: F.col(f"{p}.{c}") for c in ("x0", "y0", "x1", "y1")}
+    keys, corners = keys or ["page"], ["x0", "y0", "x1", "y1"]
+    box = lambda p: {c: F.col(f"{p}.{c}") for c in corners}
+    most = F.max(F.struct("ratio", (-F.col("cell")).alias("m"))).alias("x")
 
     def tiled(boxes: DataFrame) -> DataFrame:
         for a in "xy":
@@ -69,10 +70,12 @@ def best_cells(images: DataFrame, cells: DataFrame, least: float = 0.6, keys: li
             boxes = boxes.withColumn(f"_{a}", F.explode(F.sequence(first, F.greatest(first, last))))
         return boxes
 
-    i, c = tiled(images).alias("i"), tiled(cells).alias("c")
+    i = tiled(images.select(*keys, *corners).distinct()).alias("i")
+    c = tiled(cells.groupBy(*keys, *corners).agg(F.min("cell").alias("cell"))).alias("c")
     near = (F.col("i.x0") < F.col("c.x1")) & (F.col("c.x0") < F.col("i.x1")) & (F.col("i.y0") < F.col("c.y1")) & (F.col("c.y0") < F.col("i.y1"))
     for k in (*keys, "_x", "_y"):
         near &= F.col(f"i.{k}") == F.col(f"c.{k}")
-    found = i.join(c, near).select(*[f"i.{k}" for k in keys], "i.image", "c.cell", overlap_ratio(box("i"), box("c")).alias("ratio"))
-    best = found.groupBy(*keys, "image").agg(F.max(F.struct("ratio", (-F.col("cell")).alias("m"))).alias("x"))
-    return best.select(*keys, "image", (-F.col("x.m")).alias("cell"), F.col("x.ratio").alias("ratio")).where(F.col("ratio") >= least)
+    found = i.join(c, near).select(*[f"i.{k}" for k in (*keys, *corners)], "c.cell", overlap_ratio(box("i"), box("c")).alias("ratio"))
+    best = found.groupBy(*keys, *corners).agg(most).where(F.col("x.ratio") >= least)
+    placed = images.select("image", *keys, *corners).join(best, [*keys, *corners]).select(*keys, "image", F.col("x.ratio").alias("ratio"), (-F.col("x.m")).alias("cell"))
+    return placed.groupBy(*keys, "image").agg(most).select(*keys, "image", (-F.col("x.m")).alias("cell"), F.col("x.ratio").alias("ratio"))
