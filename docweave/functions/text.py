@@ -120,6 +120,12 @@ LABELS = {
 }
 
 
+def shown_time(time: Column, times: str) -> Column:
+    """date_format, but years of five digits and more stand without a plus sign."""
+    late = F.year(time.cast("timestamp")) > 9999
+    return F.when(late, F.date_format(time, times.replace("yyyy", "y"))).otherwise(F.date_format(time, times))
+
+
 def labelled_metadata(fields: dict[str, Column], language: str = "ko", times: str = "yyyy-MM-dd HH:mm:ss", tag: tuple[str, str] = ("<Document-Metadata>", "</Document-Metadata>")) -> Column:
     """Tagged block of the fields that are there, the usual ones first and in their order, under their labels.
 
@@ -129,7 +135,7 @@ def labelled_metadata(fields: dict[str, Column], language: str = "ko", times: st
     labels = dict(zip((*FIELDS, *MORE_FIELDS), LABELS[language], strict=True))
     lines = []
     for name in sorted(fields, key=lambda k: FIELDS.index(k) if k in FIELDS else len(FIELDS)):
-        value = F.date_format(fields[name], times) if name.endswith("_time") else fields[name].cast("string")
+        value = shown_time(fields[name], times) if name.endswith("_time") else fields[name].cast("string")
         there = value.isNotNull() & (value != "") if name in FIELDS else value.isNotNull()
         lines.append(F.when(there, F.concat(F.lit(f"  {labels.get(name, name.replace('_', ' ').title())}: "), value)))
     body = F.concat_ws("\n", *lines)
