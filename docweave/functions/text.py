@@ -48,11 +48,13 @@ def is_numeric(text: Column) -> Column:
 
 
 def column_letter(index: Column) -> Column:
-    """A, B, ... Z, AA, ... for 1, 2, ...: bijective base 26."""
-    parts, rest = [], index.cast("bigint")
-    for _ in range(4):
-        parts.append(F.when(rest > 0, F.char((F.pmod(rest - 1, F.lit(26)) + 65).cast("bigint"))).otherwise(""))
-        rest = F.floor((rest - 1) / 26)
+    """A, B, ... Z, AA, ... for 1, 2, ...: bijective base 26 of any bigint; none below 1, null for null."""
+    n, parts, first, power = index.cast("bigint"), [], 1, 1
+    for _ in range(14):
+        digit = F.call_function("div", n - first, F.lit(power)) % 26
+        parts.append(F.when(n < first, "").otherwise(F.char(digit + 65)))
+        power *= 26
+        first += power
     return F.concat(*reversed(parts))
 
 
