@@ -38,7 +38,7 @@ _scalar_of_turns("fields_shown", lambda: K.without_fields(F.concat(F.lit("x\x13P
 _scalar_of_turns("markdown_tables", lambda: K.is_markdown_table(F.concat(F.lit("| a |\n"), F.when(F.col("turn") % 2 == 0, F.lit("| --- |\n")).otherwise(F.lit("---\n")), "role")), "is_table", "turn % 2 = 0")
 _scalar_of_turns("chunk_positions", lambda: K.chunk_position(F.when(F.col("turn") % 3 == 0, F.substring("text", 11, 40)).when(F.col("turn") % 3 == 1, F.concat(F.substring(F.split("text", "\n")[0], 1, 200), F.lit("\n#"))).otherwise(F.lit("#nowhere#")), F.concat(F.lit(">"), "text")), "at", "cast(case turn % 3 when 0 then position(substring(text, 11, 40) in '>' || text) - 1 when 1 then case when position(substring(string_split(text, chr(10))[1], 1, 200) || chr(10) || '#' in '>' || text) > 0 then 1 when length(trim(substring(string_split(text, chr(10))[1], 1, 200))) >= 10 then position(trim(substring(string_split(text, chr(10))[1], 1, 200)) in '>' || text) - 1 when length(substring(string_split(text, chr(10))[1], 1, 200)) >= 8 then coalesce(nullif(position(substring(substring(string_split(text, chr(10))[1], 1, 200) || chr(10) || '#', 1, 50) in '>' || text), 0), 0) - 1 else -1 end else -1 end as int)")
 LETTERS = "case when p_partkey < 1 then '' else case when p_partkey > 702 then chr(cast(97 + ((p_partkey - 703) // 676) % 26 as int)) else '' end || case when p_partkey > 26 then chr(cast(97 + ((p_partkey - 27) // 26) % 26 as int)) else '' end || chr(cast(97 + (p_partkey - 1) % 26 as int)) end"
-scalar("list_numbers", "part", "p_partkey", lambda: F.concat_ws(" ", K.numbered(F.col("p_partkey"), "alphaLcPeriod"), K.numbered(F.col("p_size"), "arabicParenBoth")), "number", f"{LETTERS} || '. (' || p_size || ')'")
+scalar("list_numbers", "part", "p_partkey", lambda: F.concat(K.numbered(F.col("p_partkey"), "alphaLcPeriod"), F.lit(" "), K.numbered(F.col("p_size"), "arabicParenBoth")), "number", f"{LETTERS} || '. (' || p_size || ')'")
 scalar("pdf_dates", "orders", "o_orderkey", lambda: K.pdf_date(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("134501+09'00'"))).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.lit("D:2020"))).cast("string"), "at", "case o_orderkey % 3 when 0 then strftime(o_orderdate, '%Y-%m-%d') || ' 13:45:01' when 1 then strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' end")
 
 
